@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op10_mix_sources
+from .ngram_join import op7_ngram_jaccard
 
 QUERIES = {
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_mix_sources": op10_mix_sources,
 }
 
