@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .mixing import op10_mix_sources
 from .ngram_join import op7_ngram_jaccard
+from .substring import op6_substring_dedup
 
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_mix_sources": op10_mix_sources,
 }
