@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Hands rows to Python workers in batches of about ``size`` bytes, so that long texts don't add up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 class Scratch:
     """Tables written once under the shared folder.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import Scratch, by_value
+from .common import Scratch, by_value, small_batches
 from .textnp import Words, mix64, shingle_sets, slices
 
 by_value(__name__)
@@ -18,6 +18,8 @@ SKETCH_BITS = 18
 SALT = 32
 #: Documents in a group of the matrix.
 GROUP = 32
+#: Bits of the filter that spares texts of classes without candidates the way through the shuffle.
+FILTER = 1 << 22
 
 
 def sets_of(column: pa.Array, k: int):
@@ -91,17 +93,95 @@ def postings(k: int, level: np.ndarray, percent: int):
     return run
 
 
-def class_texts(k: int):
-    """Rows (class id, text), one for each class in a task."""
+def class_bits(k: int):
+    """Rows (class id, set size, row of the matrix), one for each class in a task.
+
+    The row holds a bit for each range of the token space, four times as many as the set has tokens, as bytes.
+    """
 
     def run(batches):
         seen = set()
         for batch in batches:
-            for a, b, _, first, rid in sets_of(batch["text"], k):
-                keep = []
+            for _, _, tokens, first, rid in sets_of(batch["text"], k):
+                out = []
                 for i, r in enumerate(rid.tolist()):
                     if first[i + 1] > first[i] and r not in seen:
                         seen.add(r)
+                        out.append((r, int(first[i + 1] - first[i]), row_bits(tokens[first[i] : first[i + 1]])))
+                yield pa.RecordBatch.from_pylist([dict(zip(("rid", "n", "bits"), x)) for x in out], pa.schema([("rid", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())]))
+
+    return run
+
+
+def row_bits(tokens: np.ndarray) -> bytes:
+    width = max(6, int(4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(1 << width, bool)
+    bits[(mix64(tokens) >> np.uint64(64 - width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(rows: list[bytes]) -> list[np.ndarray]:
+    """Rows of the matrix as booleans, all over the ranges of the shortest."""
+    rows = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in rows]
+    m = min(map(len, rows))
+    return [x if len(x) == m else x.reshape(m, -1).any(axis=1) for x in rows]
+
+
+def bound_pairs(percent: int):
+    """Of rows (u, v, n_u, n_v, bits_u, bits_v) those whose rows of the matrix allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = batch["n_u"].to_pylist(), batch["n_v"].to_pylist()
+            keep = []
+            for i, pair in enumerate(zip(batch["bits_u"].to_pylist(), batch["bits_v"].to_pylist())):
+                if 100 * min(u[i], v[i]) < percent * max(u[i], v[i]):
+                    continue
+                x, y = folded(pair)
+                most = min(u[i] - int((x & ~y).sum()), v[i] - int((y & ~x).sum()))
+                if (100 + percent) * most >= percent * (u[i] + v[i]):
+                    keep.append(i)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["u"].take(keep), batch["v"].take(keep)], ["u", "v"])
+
+    return run
+
+
+def unions(key, table):
+    """The token union of a group of at most some ``GROUP`` classes, as a row of the matrix."""
+    union = np.logical_or.reduce(folded(table["bits"].to_pylist()))
+    return pa.table({"gid": [key[0].as_py()], "union": pa.array([np.packbits(union).tobytes()], pa.binary())})
+
+
+def qualify(percent: int):
+    """Of rows (u, gid, n, bits, union) those whose overlap with the union of the group can reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            n, keep = batch["n"].to_pylist(), []
+            for i, pair in enumerate(zip(batch["bits"].to_pylist(), batch["union"].to_pylist())):
+                x, union = folded(pair)
+                if 100 * (n[i] - int((x & ~union).sum())) >= percent * n[i]:
+                    keep.append(i)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["u"].take(keep), batch["gid"].take(keep)], ["u", "gid"])
+
+    return run
+
+
+def class_texts(k: int, wanted: np.ndarray):
+    """Rows (class id, text), one for each class in a task whose bit in the filter ``wanted`` is set."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for a, b, _, first, rid in sets_of(batch["text"], k):
+                at = rid & (FILTER - 1)
+                hit = (wanted[at >> 3] >> (7 - (at & 7))) & 1
+                keep = []
+                for i in np.flatnonzero(hit & (np.diff(first) > 0)).tolist():
+                    if rid[i] not in seen:
+                        seen.add(rid[i])
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), batch["text"].slice(a, b - a).take(pa.array(keep, pa.int64()))], ["rid", "text"])
 
@@ -138,33 +218,6 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def unions(k: int):
-    """The token union of each group, as the bytes of its sorted tokens."""
-
-    def run(key, table):
-        parts = [tokens for _, _, tokens, _, _ in sets_of(table["text"].combine_chunks(), k)]
-        union = np.unique(np.concatenate(parts))
-        return pa.table({"gid": [key[0].as_py()], "tokens": pa.array([union.tobytes()], pa.binary())})
-
-    return run
-
-
-def qualify(k: int, percent: int):
-    """Of rows (u, gid, text, tokens of the group) those whose overlap with the union can reach the threshold."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b, tokens, first, _ in sets_of(batch["text"], k):
-                keep = []
-                for i in range(b - a):
-                    x, union = tokens[first[i] : first[i + 1]], np.frombuffer(batch["tokens"][a + i].as_py(), np.uint64)
-                    if 100 * common(x, union) >= percent * len(x):
-                        keep.append(a + i)
-                yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(keep, pa.int64())) for c in ("u", "gid")], ["u", "gid"])
-
-    return run
-
-
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for every row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -175,9 +228,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     2. Each class posts its prefix, the rarest tokens, of which two similar sets share one at least (prefix filter).
        A token that one class alone posts goes. Each posting list names a leader; every class is compared with the
        leader that it meets most often, and the linked ones are grouped (connected components).
-    3. Groups of at most ``GROUP`` members store the union of their tokens. A class that shares a posted token with a
-       group of another component is bounded by its overlap with that union; only groups that qualify are opened and
-       their members compared. Classes of one component are never compared again, so a group of n near copies costs in
+    3. Groups of some ``GROUP`` members store the union of their tokens as a row of a bit matrix over ranges of the token
+       space. A class that shares a posted token with a group of another component is bounded by its overlap with that
+       union; only groups that qualify are opened, their members bounded by their own rows and then compared. Classes of one component are never compared again, so a group of n near copies costs in
        the order of n comparisons.
 
     All comparisons are exact counts over the shingles of whole texts. Null or empty texts, and texts without words, have
@@ -185,6 +238,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     has no other. Empty input: empty result. Memory: one slice of texts, or the longest text, at a time.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_text_hash"))
     scratch.table(docs.mapInArrow(survey(k), "kind string, a long, b long, c long, n long"), "survey", by="kind")
     rows = scratch.spark.read.schema("a long, b long, c long, n long, kind string").parquet(scratch.path("survey"))
@@ -217,15 +271,26 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     best = meets.groupBy("u").agg(F.max(F.struct("_n", "v"))["v"].alias("v"))
 
     involved = posted.select("rid").distinct()
-    texts = text.mapInArrow(class_texts(k), "rid long, text string").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
-    texts = scratch.table(texts, "texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u")
+    bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
+    bits = scratch.table(bits, "bits")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, by the bound of their matrix rows and then by the texts of those left."""
+        both = pairs.join(bits.select(F.col("rid").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u")), "u")
+        both = both.join(bits.select(F.col("rid").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v")), "v")
+        both = both.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(bound_pairs(percent), "u long, v long")
+        both = scratch.table(both, f"bound_{name}")
+        want = scratch.table(both.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), f"want_{name}")
+        wanted = np.zeros(FILTER, np.uint8)
+        wanted[want.select(F.col("rid").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = 1
+        texts = text.mapInArrow(class_texts(k, np.packbits(wanted)), "rid long, text string").join(want, "rid", "left_semi").dropDuplicates(["rid"])
+        texts = scratch.table(texts, f"texts_{name}")
+        both = both.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
-        return both.select("u", "v", "text_u", "text_v").mapInArrow(compare(k, percent), "u long, v long")
+        both = both.select("u", "v", "text_u", "text_v").mapInArrow(compare(k, percent), "u long, v long")
+        return scratch.table(both, f"links_{name}")
 
-    first = scratch.table(linked(best), "links1")
+    first = linked(best, "leaders")
     comps = scratch.table(graph.components(scratch, first, "cc_a"), "components1")
 
     # the matrix, over tokens on which two components meet
@@ -247,12 +312,12 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     )
     near = scratch.table(near.select("u", "gid").distinct(), "near")
     opened = member.join(near.select("gid").distinct(), "gid", "left_semi")
-    stored = opened.join(texts, "rid").select("gid", "text").groupBy("gid").applyInArrow(unions(k), "gid long, tokens binary")
+    stored = opened.join(bits, "rid").select("gid", "bits").groupBy("gid").applyInArrow(unions, "gid long, union binary")
     stored = scratch.table(stored, "unions")
-    asked = near.join(texts.withColumnRenamed("rid", "u"), "u").join(stored, "gid").select("u", "gid", "text", "tokens")
-    asked = scratch.table(asked.mapInArrow(qualify(k, percent), "u long, gid long"), "qualified")
+    asked = near.join(bits.withColumnRenamed("rid", "u"), "u").join(stored, "gid").select("u", "gid", "n", "bits", "union")
+    asked = scratch.table(asked.mapInArrow(qualify(percent), "u long, gid long"), "qualified")
     pairs = asked.join(member, "gid").select("u", F.col("rid").alias("v")).distinct()
-    second = scratch.table(linked(pairs), "links2")
+    second = linked(pairs, "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
     out = table.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))

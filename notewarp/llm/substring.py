@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value
+from .common import Scratch, by_value, small_batches
 from .textnp import BASE_WORD, Words, grams, slices, spans
 
 by_value(__name__)
@@ -165,6 +165,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     the source coordinates that the piece carries.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rk"))
     schema = "kind string, doc_id long, rk long, first int, windows int, anchor long, span long, sha string"
     scratch.table(docs.mapInArrow(edges(k), schema), "edges", by="kind")

@@ -55,7 +55,7 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(column: pa.Array, size: int = 1 << 21):
+def slices(column: pa.Array, size: int = 1 << 20):
     """(first row, last row, bytes, offsets) of runs of rows of about ``size`` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
