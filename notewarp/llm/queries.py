@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .mixing import op10_mix_sources
 from .ngram_join import op7_ngram_jaccard
 from .substring import op6_substring_dedup
+from .tokenstore import op5_token_store
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
+    "op5_token_store": op5_token_store,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_mix_sources": op10_mix_sources,
