@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -19,6 +20,11 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def process_store() -> dict:
+    """What a Python worker keeps from task to task. Functions shipped by value get new globals with each task."""
+    return sys.modules.setdefault("_notewarp_store", types.ModuleType("_notewarp_store")).__dict__
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Hands rows to Python workers in batches of about ``size`` bytes, so that long texts don't add up in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
@@ -88,3 +94,6 @@ def running_total(scratch: Scratch, df: DataFrame, order: list, value: str, out:
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_part", "_seq", "_base")
     )
+
+
+by_value(__name__)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import bitfilter, graph
 from .common import Scratch, by_value, small_batches
 from .textnp import Words, mix64, shingle_sets, slices
 
@@ -18,8 +18,6 @@ SKETCH_BITS = 18
 SALT = 32
 #: Documents in a group of the matrix.
 GROUP = 32
-#: Bits of the filter that spares texts of classes without candidates the way through the shuffle.
-FILTER = 1 << 22
 
 
 def sets_of(column: pa.Array, k: int):
@@ -147,39 +145,60 @@ def bound_pairs(percent: int):
     return run
 
 
-def unions(key, table):
-    """The token union of a group of at most some ``GROUP`` classes, as a row of the matrix."""
-    union = np.logical_or.reduce(folded(table["bits"].to_pylist()))
-    return pa.table({"gid": [key[0].as_py()], "union": pa.array([np.packbits(union).tobytes()], pa.binary())})
+def matrix(key, table):
+    """A group of some ``GROUP`` classes at most: its members, their rows of the matrix and the union of these."""
+    rows = table["bits"].to_pylist()
+    union = np.packbits(np.logical_or.reduce(folded(rows))).tobytes()
+    one = {"gid": [key[0].as_py()], "rids": [table["rid"].to_pylist()], "ns": [table["n"].to_pylist()], "rows": [rows], "union": [union]}
+    return pa.table(one, pa.schema([("gid", pa.int64()), ("rids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("rows", pa.list_(pa.binary())), ("union", pa.binary())]))
 
 
-def qualify(percent: int):
-    """Of rows (u, gid, n, bits, union) those whose overlap with the union of the group can reach the threshold."""
+def open_groups(percent: int):
+    """Of rows (u, n, bits, single, gid, mixed, rids, ns, rows, union) the pairs (u, member) that may link.
+
+    A group is opened if the overlap of the query with its union can reach the threshold. In a mixed group each of two
+    queries would find the other, so only the smaller does.
+    """
 
     def run(batches):
+        last, group = None, None
         for batch in batches:
-            n, keep = batch["n"].to_pylist(), []
-            for i, pair in enumerate(zip(batch["bits"].to_pylist(), batch["union"].to_pylist())):
-                x, union = folded(pair)
-                if 100 * (n[i] - int((x & ~union).sum())) >= percent * n[i]:
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["u"].take(keep), batch["gid"].take(keep)], ["u", "gid"])
+            left, right = [], []
+            cols = {c: batch[c] for c in ("u", "n", "bits", "gid", "mixed")}
+            for i in range(len(batch)):
+                u, n, bits, gid, mixed = (cols[c][i].as_py() for c in ("u", "n", "bits", "gid", "mixed"))
+                if gid != last:
+                    members = batch["rows"][i].as_py()
+                    last, group = gid, (
+                        np.array(batch["rids"][i].as_py(), np.int64), np.array(batch["ns"][i].as_py(), np.int64), np.stack(folded(members)), batch["union"][i].as_py()
+                    )
+                rids, ns, rows, union = group
+                x, all_ = folded([bits, union])
+                if 100 * (n - int((x & ~all_).sum())) < percent * n:
+                    continue
+                x = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+                m = min(len(x), rows.shape[1])
+                x, y = x.reshape(m, -1).any(axis=1), rows.reshape(len(rows), m, -1).any(axis=2)
+                most = np.minimum(n - (x & ~y).sum(axis=1), ns - (y & ~x).sum(axis=1))
+                ok = ((100 + percent) * most >= percent * (n + ns)) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns))
+                if mixed:
+                    ok &= rids > u
+                right.extend(rids[ok].tolist())
+                left.extend([u] * int(ok.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
     return run
 
 
 def class_texts(k: int, wanted: np.ndarray):
-    """Rows (class id, text), one for each class in a task whose bit in the filter ``wanted`` is set."""
+    """Rows (class id, text), one for each class in a task, of those that the filter ``wanted`` lets pass."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for a, b, _, first, rid in sets_of(batch["text"], k):
-                at = rid & (FILTER - 1)
-                hit = (wanted[at >> 3] >> (7 - (at & 7))) & 1
                 keep = []
-                for i in np.flatnonzero(hit & (np.diff(first) > 0)).tolist():
+                for i in np.flatnonzero(bitfilter.hit(wanted, rid) & (np.diff(first) > 0)).tolist():
                     if rid[i] not in seen:
                         seen.add(rid[i])
                         keep.append(i)
@@ -226,12 +245,14 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
     1. Documents of equal sets are one class. A count sketch over all shingles orders the tokens, rare before frequent.
     2. Each class posts its prefix, the rarest tokens, of which two similar sets share one at least (prefix filter).
-       A token that one class alone posts goes. Each posting list names a leader; every class is compared with the
-       leader that it meets most often, and the linked ones are grouped (connected components).
-    3. Groups of some ``GROUP`` members store the union of their tokens as a row of a bit matrix over ranges of the token
-       space. A class that shares a posted token with a group of another component is bounded by its overlap with that
-       union; only groups that qualify are opened, their members bounded by their own rows and then compared. Classes of one component are never compared again, so a group of n near copies costs in
-       the order of n comparisons.
+       A token that one class alone posts goes. Of each token's classes the most central leads, the one whose tokens are
+       shared the most; a class joins the cluster of the leader that it meets most often and is compared with it. The
+       linked ones are components.
+    3. Clusters are cut into groups of some ``GROUP`` classes, of one component or without links so far. A group stores the
+       union of its tokens and its members' tokens as rows of a bit matrix over ranges of the token space. A class
+       asks the groups of its cluster and those with which it shares a posted token, if their members are of other
+       components. The overlap with the union bounds that with any member; only groups that qualify are opened, their
+       members bounded by their own rows, and what is left is compared.
 
     All comparisons are exact counts over the shingles of whole texts. Null or empty texts, and texts without words, have
     an empty set and no link. Repeated rows give repeated rows. A null doc_id never names a component unless its class
@@ -257,67 +278,75 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     text = docs.select("text")
     posted = text.mapInArrow(postings(k, level, percent), "token long, rid long, n int")
     frequent = F.shiftrightunsigned("token", 61) > 0
+    # what a frequent token has is dealt over SALT parts, so that none holds all of it
     posted = posted.withColumn("salt", F.when(frequent, F.pmod("rid", F.lit(SALT))).otherwise(0).cast("int"))
     part = Window.partitionBy("token", "salt")
-    posted = posted.withColumns({"leader": F.min("rid").over(part), "_last": F.max("rid").over(part)})
-    posted = posted.where(frequent | (F.col("leader") != F.col("_last"))).drop("_last", "salt")
-    posted = scratch.table(posted, "postings")
-    tops = posted.where(frequent).groupBy("token").agg(F.min("leader").alias("top"), F.max("rid").alias("_last"))
-    tops = tops.where("top != _last")
-    chains = posted.where(frequent).select("token", F.col("leader").alias("u")).distinct().join(tops, "token")
-    chains = chains.select("u", F.col("top").alias("v"))
-    meets = posted.where("rid != leader").select(F.col("rid").alias("u"), F.col("leader").alias("v"))
-    meets = meets.unionByName(chains.where("u != v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("_n"))
-    best = meets.groupBy("u").agg(F.max(F.struct("_n", "v"))["v"].alias("v"))
+    posted = posted.withColumns({"_a": F.min("rid").over(part), "_b": F.max("rid").over(part), "size": F.count(F.lit(1)).over(part)})
+    posted = posted.where(frequent | (F.col("_a") != F.col("_b")))
+    posted = scratch.table(posted.select("token", "rid", "n", "size"), "postings")
+    # the class whose tokens most others post too leads
+    central = posted.groupBy("rid").agg((F.sum("size") / F.max("n")).alias("central"))
+    tops = posted.join(central, "rid").groupBy("token").agg(F.max(F.struct("central", "rid"))["rid"].alias("leader"))
+    meets = posted.join(tops, "token").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("_n"))
+    meets = meets.groupBy("rid").agg(
+        F.max(F.struct("_n", "leader"))["leader"].alias("cluster"),
+        F.max(F.when(F.col("rid") != F.col("leader"), F.struct("_n", "leader")))["leader"].alias("v"),
+    )
+    meets = scratch.table(meets, "meets")
+    best = meets.where("v is not null").select(F.col("rid").alias("u"), "v")
 
     involved = posted.select("rid").distinct()
     bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
     bits = scratch.table(bits, "bits")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link, by the bound of their matrix rows and then by the texts of those left."""
+    def bounded(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bits.select(F.col("rid").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u")), "u")
         both = both.join(bits.select(F.col("rid").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v")), "v")
-        both = both.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(bound_pairs(percent), "u long, v long")
-        both = scratch.table(both, f"bound_{name}")
+        return both.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(bound_pairs(percent), "u long, v long")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, by their texts."""
+        both = scratch.table(pairs, f"bound_{name}")
         want = scratch.table(both.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), f"want_{name}")
-        wanted = np.zeros(FILTER, np.uint8)
-        wanted[want.select(F.col("rid").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = 1
-        texts = text.mapInArrow(class_texts(k, np.packbits(wanted)), "rid long, text string").join(want, "rid", "left_semi").dropDuplicates(["rid"])
+        texts = text.mapInArrow(class_texts(k, bitfilter.build(want, "rid")), "rid long, text string").join(want, "rid", "left_semi").dropDuplicates(["rid"])
         texts = scratch.table(texts, f"texts_{name}")
         both = both.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
         both = both.select("u", "v", "text_u", "text_v").mapInArrow(compare(k, percent), "u long, v long")
         return scratch.table(both, f"links_{name}")
 
-    first = linked(best, "leaders")
+    first = linked(bounded(best), "leaders")
     comps = scratch.table(graph.components(scratch, first, "cc_a"), "components1")
 
-    # the matrix, over tokens on which two components meet
-    known = posted.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    known = scratch.table(known.select("token", "rid", "n", "label"), "known")
+    # groups: of one cluster, and of one component or of classes that have no link yet
+    info = bits.select("rid", "n").join(meets.select("rid", "cluster"), "rid").join(comps.withColumnRenamed("node", "rid"), "rid", "left")
+    sizes = info.groupBy("cluster", "label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_parts"))
+    on = (F.col("cluster") == F.col("_c")) & F.col("label").eqNullSafe(F.col("_l"))
+    info = info.join(sizes.select(F.col("cluster").alias("_c"), F.col("label").alias("_l"), "_parts"), on)
+    info = info.withColumn("gid", F.xxhash64("cluster", "label", F.pmod(F.xxhash64("rid"), "_parts")))
+    info = scratch.table(info.select("rid", "n", "cluster", "label", "gid"), "members")
+    # a class without a link asks all groups, one of a component those of the components after its own
+    rule = F.col("_from").isNull() | (F.col("_from") < F.col("label"))
+    rule = rule & (100 * F.col("n") >= percent * F.col("_low")) & (percent * F.col("n") <= 100 * F.col("_high"))
+    bounds = [F.min("n").alias("_low"), F.max("n").alias("_high")]
+    asks = info.select(F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
+    inner = info.groupBy("cluster", "gid", "label").agg(*bounds)
+    near = asks.join(inner, F.col("_own") == F.col("cluster")).where(rule).select("u", "gid")
+    posts = scratch.table(posted.select("token", "rid").join(info, "rid"), "posts")
     scratch.free("postings")
-    meet = known.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("token")
-    known = known.join(meet, "token")
-    sizes = comps.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_parts"))
-    member = known.select("rid", "label").distinct().join(sizes, "label", "left")
-    member = member.withColumn("gid", F.xxhash64("label", F.pmod(F.xxhash64("rid"), F.coalesce("_parts", F.lit(1)))))
-    member = scratch.table(member.select("rid", "gid"), "members")
-    posts = scratch.table(known.join(member, "rid"), "posts")
-    scratch.free("known")
-    cells = posts.groupBy("token", "gid", "label").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
-    asks = posts.select("token", F.col("rid").alias("u"), "n", F.col("label").alias("_from"))
-    near = asks.join(cells, "token").where(
-        (F.col("_from") < F.col("label")) & (100 * F.col("n") >= percent * F.col("_low")) & (percent * F.col("n") <= 100 * F.col("_high"))
-    )
-    near = scratch.table(near.select("u", "gid").distinct(), "near")
-    opened = member.join(near.select("gid").distinct(), "gid", "left_semi")
-    stored = opened.join(bits, "rid").select("gid", "bits").groupBy("gid").applyInArrow(unions, "gid long, union binary")
-    stored = scratch.table(stored, "unions")
-    asked = near.join(bits.withColumnRenamed("rid", "u"), "u").join(stored, "gid").select("u", "gid", "n", "bits", "union")
-    asked = scratch.table(asked.mapInArrow(qualify(percent), "u long, gid long"), "qualified")
-    pairs = asked.join(member, "gid").select("u", F.col("rid").alias("v")).distinct()
-    second = linked(pairs, "groups")
+    meet = posts.groupBy("token").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).where("_a != _b").select("token")
+    posts = posts.join(meet, "token")
+    cells = posts.groupBy("token", "gid", "label", "cluster").agg(*bounds)
+    asks = posts.select("token", F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
+    across = asks.join(cells, "token").where(rule & (F.col("_own") != F.col("cluster"))).select("u", "gid")
+    near = scratch.table(near.unionByName(across).distinct(), "near")
+    opened = info.join(near.select("gid").distinct(), "gid", "left_semi").select("rid", "gid").join(bits, "rid")
+    schema = "gid long, rids array<long>, ns array<int>, rows array<binary>, union binary"
+    stored = scratch.table(opened.select("gid", "rid", "n", "bits").groupBy("gid").applyInArrow(matrix, schema), "matrix")
+    mixed = info.groupBy("gid").agg(F.max(F.col("label").isNull()).alias("mixed"))
+    asked = near.join(bits.withColumnRenamed("rid", "u"), "u").join(stored.join(mixed, "gid"), "gid")
+    asked = asked.select("u", "n", "bits", "gid", "mixed", "rids", "ns", "rows", "union")
+    second = linked(asked.mapInArrow(open_groups(percent), "u long, v long"), "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
     out = table.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .common import Scratch, by_value, small_batches
 from .textnp import BASE_WORD, Words, grams, slices, spans
 
@@ -182,15 +183,16 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     branch = scratch.table(branch.join(source, ["anchor", "span"]), "branches")
     again = branch.where("doc_id > _low").select("rk", "first", "windows")
 
-    texts = docs.join(shared.select("rk").distinct(), "rk", "left_semi").dropDuplicates(["rk"])
-    texts = scratch.table(texts, "texts")
+    involved = scratch.table(shared.select("rk").distinct(), "involved")
+    texts = docs.mapInArrow(bitfilter.rows(bitfilter.build(involved, "rk"), "rk"), docs.schema)
+    texts = scratch.table(texts.join(involved, "rk", "left_semi").dropDuplicates(["rk"]), "texts")
     cut = branch.where("doc_id = _low").groupBy("rk").agg(F.collect_set(F.struct("first", "windows")).alias("pieces"))
     windows = texts.join(cut, "rk").select("doc_id", "rk", "text", "pieces").mapInArrow(expand(k), "h1 long, h2 long, doc_id long, rk long, first int")
     windows = scratch.table(windows, "windows")
     low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high")
     single = windows.join(low, ["h1", "h2"]).where("doc_id > _low").select("rk", "first", F.lit(1).alias("windows"))
     found = scratch.table(plain.unionByName(again).unionByName(single), "found")
-    scratch.free("windows", "branches", "shared")
+    scratch.free("windows", "branches", "shared", "involved")
     return base, found, texts
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import by_value
+from .common import by_value, process_store
 
 by_value(__name__)
 
@@ -34,8 +34,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int, kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  a table for each process
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
+    kept = process_store().setdefault("powers", {})
     if base not in kept or len(kept[base][0]) < n:
         size = max(n, 1 << 16)
         both = []
@@ -55,7 +56,7 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(column: pa.Array, size: int = 1 << 20):
+def slices(column: pa.Array, size: int = 1 << 19):
     """(first row, last row, bytes, offsets) of runs of rows of about ``size`` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
