@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -12,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, process_store, running_total, small_batches
-from .textnp import BASE_WORD, mix64, powers
+from .textnp import BASE_WORD, mix64, powers, slices
 
 by_value(__name__)
 
 #: Ids under the rolling hash; least, mean and largest length of a chunk in ids. A chunk is cut by its content alone.
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
-#: Pieces of text whose ids a Python worker keeps, in each of two generations.
-PIECES = 200_000
+#: Pieces of text whose ids a task keeps, in each of two generations.
+PIECES = 250_000
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: The reflected polynomial of CRC-32 (fixed by the algorithm).
 CRC_POLY = 0xEDB88320
 
@@ -27,12 +30,14 @@ CRC_POLY = 0xEDB88320
 class Encoder:
     """Ids of texts by the tokenizers library, with the ids of repeated pieces kept.
 
-    A byte-level BPE cuts a text by a pattern before it merges, and a single space between two characters that are not
-    white space always begins a new part. So the ids of such a text are those of its pieces between spaces, each
-    with its space, one after the other; texts with other spaces are encoded whole.
+    A byte-level BPE cuts a text by a pattern before it merges. The pattern always cuts before a space or line feed that
+    stands between two characters that are not white space, and before a comma or full stop behind a letter or digit. So
+    the ids of a text are those of its pieces between such places, one after the other. A text with other spaces, or
+    with commas or full stops elsewhere (``doubtful``), is encoded whole.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -44,36 +49,49 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [x.split(" ") for x in texts]
+    def encode(self, texts: list[str], doubtful: np.ndarray) -> list[bytes]:
+        cut = [x.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n").split("\0") for x in texts]
         if len(self.new) > PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         missing = []
-        for p in set().union(*[x[1:] for x in cut]).difference(new):
+        for p in set().union(*cut).difference(new):
             if p in old:
                 new[p] = old[p]
-            elif not p or p[0].isspace() or p[-1].isspace():
-                new[p] = None
-            else:
+            elif not p or p in ",." or p == "\n" or not (p[-1].isspace() or p[0] == " " and p[1].isspace()):
                 missing.append(p)
-        new.update(zip(missing, self.raw([" " + p for p in missing])))
-        plain = [not x[0] or x[0][-1].isspace() for x in cut]
-        heads = self.raw([x[0] for x in cut])
+            else:
+                new[p] = None
+        new.update(zip(missing, self.raw(missing)))
+        new["\n"] = None
+        get = new.__getitem__
         out, whole = [], []
         for i, pieces in enumerate(cut):
             try:
-                if len(pieces) > 1 and plain[i]:
+                if doubtful[i]:
                     raise TypeError
-                out.append(heads[i] + b"".join([new[p] for p in pieces[1:]]))
+                out.append(b"".join(map(get, pieces)))
             except TypeError:
                 out.append(b"")
                 whole.append(i)
-        for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
-            out[i] = ids
+        if whole:
+            for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
+                out[i] = ids
         return out
 
 
+def doubtful(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts with a NUL, or a comma or full stop that does not follow an ASCII letter or digit or one of U+00C0 to U+00FF."""
+    mark = np.flatnonzero((data == 44) | (data == 46))
+    before, two = data[mark - 1], data[mark - 2]
+    latin = (before >= 128) & (two == 0xC3) & (before != 0x97) & (before != 0xB7)
+    first = np.isin(mark, offsets)
+    bad = np.concatenate([mark[first | ~(ALNUM[before] | latin)], np.flatnonzero(data == 0)])
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, bad, "right") - 1] = True
+    return out
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document: where a rolling hash over ROLL ids hits, none under LEAST or over MOST ids."""
     n = len(ids)
@@ -123,10 +141,11 @@ def chunked(path: str, end_id: int):
         end = np.array([end_id], encoder.kind).tobytes()
         width = encoder.kind.itemsize
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
+            for a, b, data, offsets in slices(batch["text"]):
+                part = batch.slice(a, b - a)
                 out = [[] for _ in names]
-                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode([x or "" for x in part["text"].to_pylist()])):
+                texts = [x or "" for x in part["text"].to_pylist()]
+                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode(texts, doubtful(data, offsets))):
                     raw += end
                     ids, last, mine = np.frombuffer(raw, encoder.kind), 0, []
                     for k, e in enumerate(cuts(ids)):
@@ -141,6 +160,7 @@ def chunked(path: str, end_id: int):
                     out[7][-1] = merkle(mine)
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+        encoder.new, encoder.old = {}, {}  # the memory is wanted by what comes next
 
     return run
 
