@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op4_decontaminate
 from .mixing import op10_mix_sources
 from .ngram_join import op7_ngram_jaccard
+from .quality import op8_quality_resampling
 from .substring import op6_substring_dedup
 from .tokenstore import op5_token_store
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_quality_resampling": op8_quality_resampling,
     "op10_mix_sources": op10_mix_sources,
 }
 
