@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .langid import op3_language_id
 from .mixing import op10_mix_sources
 from .ngram_join import op7_ngram_jaccard
 from .quality import op8_quality_resampling
@@ -10,6 +11,7 @@ from .substring import op6_substring_dedup
 from .tokenstore import op5_token_store
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_substring_dedup": op6_substring_dedup,
