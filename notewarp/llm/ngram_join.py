@@ -36,6 +36,11 @@ def sketch_bucket(tokens: np.ndarray) -> np.ndarray:
     return (mix64(tokens ^ np.uint64(0xA5A5A5A5)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def meeting(n):
+    """Posted tokens that two linked sets share at least, by the size of the smaller: prefixes are longer for its sake."""
+    return 1 + n // 20
+
+
 def survey(k: int):
     """Rows (kind d: doc_id, hash of the text, class id, set size; kind s: sketch bucket, count)."""
 
@@ -76,7 +81,7 @@ def postings(k: int, level: np.ndarray, percent: int):
                     if not n or r in seen:
                         continue
                     seen.add(r)
-                    p = n - -(-n * percent // 100) + 1
+                    p = min(n, n - -(-n * percent // 100) + meeting(n))
                     x = tokens[first[i] : first[i + 1]]
                     out.append(np.partition(x, p - 1)[:p] if p < n else x)
                     who.append(i)
@@ -92,9 +97,10 @@ def postings(k: int, level: np.ndarray, percent: int):
 
 
 def class_bits(k: int):
-    """Rows (class id, set size, row of the matrix), one for each class in a task.
+    """Rows (class id, set size, bits, odd), one for each class in a task.
 
-    The row holds a bit for each range of the token space, four times as many as the set has tokens, as bytes.
+    The token space is cut into at least four times as many ranges as the set has tokens. ``bits`` tells which ranges have
+    tokens, ``odd`` which have an odd number.
     """
 
     def run(batches):
@@ -105,39 +111,46 @@ def class_bits(k: int):
                 for i, r in enumerate(rid.tolist()):
                     if first[i + 1] > first[i] and r not in seen:
                         seen.add(r)
-                        out.append((r, int(first[i + 1] - first[i]), row_bits(tokens[first[i] : first[i + 1]])))
-                yield pa.RecordBatch.from_pylist([dict(zip(("rid", "n", "bits"), x)) for x in out], pa.schema([("rid", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())]))
+                        out.append((r, int(first[i + 1] - first[i]), *row_bits(tokens[first[i] : first[i + 1]])))
+                schema = pa.schema([("rid", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("odd", pa.binary())])
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
 
     return run
 
 
-def row_bits(tokens: np.ndarray) -> bytes:
+def row_bits(tokens: np.ndarray) -> tuple[bytes, bytes]:
     width = max(6, int(4 * len(tokens) - 1).bit_length())
-    bits = np.zeros(1 << width, bool)
-    bits[(mix64(tokens) >> np.uint64(64 - width)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    count = np.bincount((mix64(tokens) >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
+    return np.packbits(count > 0).tobytes(), np.packbits(count % 2 == 1).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(row, np.uint8))
 
 
-def folded(rows: list[bytes]) -> list[np.ndarray]:
-    """Rows of the matrix as booleans, all over the ranges of the shortest."""
-    rows = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in rows]
-    m = min(map(len, rows))
-    return [x if len(x) == m else x.reshape(m, -1).any(axis=1) for x in rows]
+def fold(row: np.ndarray, m: int, how=np.bitwise_or) -> np.ndarray:
+    """Rows of the matrix over the m ranges of a shorter one: ranges of tokens join, counts of odd ones add up."""
+    return row if row.shape[-1] == m else how.reduce(row.reshape(*row.shape[:-1], m, -1), axis=-1)
 
 
 def bound_pairs(percent: int):
-    """Of rows (u, v, n_u, n_v, bits_u, bits_v) those whose rows of the matrix allow a link."""
+    """Of rows (u, v, n_u, n_v, odd_u, odd_v) those that may link.
+
+    A range of which one set has an odd and the other an even number of tokens holds a token that only one has, so such
+    ranges are at most as many as the tokens in which the sets differ.
+    """
 
     def run(batches):
         for batch in batches:
             u, v = batch["n_u"].to_pylist(), batch["n_v"].to_pylist()
             keep = []
-            for i, pair in enumerate(zip(batch["bits_u"].to_pylist(), batch["bits_v"].to_pylist())):
+            for i, (x, y) in enumerate(zip(batch["odd_u"].to_pylist(), batch["odd_v"].to_pylist())):
                 if 100 * min(u[i], v[i]) < percent * max(u[i], v[i]):
                     continue
-                x, y = folded(pair)
-                most = min(u[i] - int((x & ~y).sum()), v[i] - int((y & ~x).sum()))
-                if (100 + percent) * most >= percent * (u[i] + v[i]):
+                x, y = unpacked(x), unpacked(y)
+                m = min(len(x), len(y))
+                apart = int((fold(x, m, np.bitwise_xor) ^ fold(y, m, np.bitwise_xor)).sum())
+                if (100 + percent) * apart <= (100 - percent) * (u[i] + v[i]):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch["u"].take(keep), batch["v"].take(keep)], ["u", "v"])
@@ -146,15 +159,17 @@ def bound_pairs(percent: int):
 
 
 def matrix(key, table):
-    """A group of some ``GROUP`` classes at most: its members, their rows of the matrix and the union of these."""
-    rows = table["bits"].to_pylist()
-    union = np.packbits(np.logical_or.reduce(folded(rows))).tobytes()
+    """A group of some ``GROUP`` classes at most: its members, their odd ranges and the union of their tokens' ranges."""
+    bits, odd = ([unpacked(x) for x in table[c].to_pylist()] for c in ("bits", "odd"))
+    m = min(map(len, bits))
+    union = np.packbits(np.bitwise_or.reduce([fold(x, m) for x in bits])).tobytes()
+    rows = [np.packbits(fold(x, m, np.bitwise_xor)).tobytes() for x in odd]
     one = {"gid": [key[0].as_py()], "rids": [table["rid"].to_pylist()], "ns": [table["n"].to_pylist()], "rows": [rows], "union": [union]}
     return pa.table(one, pa.schema([("gid", pa.int64()), ("rids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("rows", pa.list_(pa.binary())), ("union", pa.binary())]))
 
 
 def open_groups(percent: int):
-    """Of rows (u, n, bits, single, gid, mixed, rids, ns, rows, union) the pairs (u, member) that may link.
+    """Of rows (u, n, odd, gid, mixed, rids, ns, rows, union) the pairs (u, member) that may link.
 
     A group is opened if the overlap of the query with its union can reach the threshold. In a mixed group each of two
     queries would find the other, so only the smaller does.
@@ -164,23 +179,19 @@ def open_groups(percent: int):
         last, group = None, None
         for batch in batches:
             left, right = [], []
-            cols = {c: batch[c] for c in ("u", "n", "bits", "gid", "mixed")}
+            cols = {c: batch[c] for c in ("u", "n", "odd", "gid", "mixed")}
             for i in range(len(batch)):
-                u, n, bits, gid, mixed = (cols[c][i].as_py() for c in ("u", "n", "bits", "gid", "mixed"))
+                u, n, odd, gid, mixed = (cols[c][i].as_py() for c in ("u", "n", "odd", "gid", "mixed"))
                 if gid != last:
-                    members = batch["rows"][i].as_py()
-                    last, group = gid, (
-                        np.array(batch["rids"][i].as_py(), np.int64), np.array(batch["ns"][i].as_py(), np.int64), np.stack(folded(members)), batch["union"][i].as_py()
-                    )
+                    rids, ns = (np.array(batch[c][i].as_py(), np.int64) for c in ("rids", "ns"))
+                    last, group = gid, (rids, ns, np.stack([unpacked(x) for x in batch["rows"][i].as_py()]), unpacked(batch["union"][i].as_py()))
                 rids, ns, rows, union = group
-                x, all_ = folded([bits, union])
-                if 100 * (n - int((x & ~all_).sum())) < percent * n:
+                x = unpacked(odd)
+                m = min(len(x), len(union))
+                if 100 * (n - int((fold(x, m) & ~fold(union, m) & 1).sum())) < percent * n:
                     continue
-                x = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-                m = min(len(x), rows.shape[1])
-                x, y = x.reshape(m, -1).any(axis=1), rows.reshape(len(rows), m, -1).any(axis=2)
-                most = np.minimum(n - (x & ~y).sum(axis=1), ns - (y & ~x).sum(axis=1))
-                ok = ((100 + percent) * most >= percent * (n + ns)) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns))
+                apart = (fold(x, m, np.bitwise_xor) ^ fold(rows, m, np.bitwise_xor)).sum(axis=1)
+                ok = ((100 + percent) * apart <= (100 - percent) * (n + ns)) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns))
                 if mixed:
                     ok &= rids > u
                 right.extend(rids[ok].tolist())
@@ -244,14 +255,14 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     is the smallest doc_id reachable. The method is a token-group matrix:
 
     1. Documents of equal sets are one class. A count sketch over all shingles orders the tokens, rare before frequent.
-    2. Each class posts its prefix, the rarest tokens, of which two similar sets share one at least (prefix filter).
+    2. Each class posts its prefix, the rarest tokens, of which two similar sets share some at least (prefix filter).
        A token that one class alone posts goes. Of each token's classes the most central leads, the one whose tokens are
        shared the most; a class joins the cluster of the leader that it meets most often and is compared with it. The
        linked ones are components.
     3. Clusters are cut into groups of some ``GROUP`` classes, of one component or without links so far. A group stores the
-       union of its tokens and its members' tokens as rows of a bit matrix over ranges of the token space. A class
-       asks the groups of its cluster and those with which it shares a posted token, if their members are of other
-       components. The overlap with the union bounds that with any member; only groups that qualify are opened, their
+       union of its tokens and the parities of its members' tokens as rows of a bit matrix over ranges of the token space. A class
+       asks the groups of its cluster and those with which it shares as many posted tokens as a link would, if their members
+       are of other components. The overlap with the union bounds that with any member; only groups that qualify are opened, their
        members bounded by their own rows, and what is left is compared.
 
     All comparisons are exact counts over the shingles of whole texts. Null or empty texts, and texts without words, have
@@ -296,13 +307,13 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     best = meets.where("v is not null").select(F.col("rid").alias("u"), "v")
 
     involved = posted.select("rid").distinct()
-    bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
+    bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary, odd binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
     bits = scratch.table(bits, "bits")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bits.select(F.col("rid").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u")), "u")
-        both = both.join(bits.select(F.col("rid").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v")), "v")
-        return both.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(bound_pairs(percent), "u long, v long")
+        both = pairs.join(bits.select(F.col("rid").alias("u"), F.col("n").alias("n_u"), F.col("odd").alias("odd_u")), "u")
+        both = both.join(bits.select(F.col("rid").alias("v"), F.col("n").alias("n_v"), F.col("odd").alias("odd_v")), "v")
+        return both.select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(bound_pairs(percent), "u long, v long")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, by their texts."""
@@ -332,20 +343,22 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     asks = info.select(F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
     inner = info.groupBy("cluster", "gid", "label").agg(*bounds)
     near = asks.join(inner, F.col("_own") == F.col("cluster")).where(rule).select("u", "gid")
-    posts = scratch.table(posted.select("token", "rid").join(info, "rid"), "posts")
+    posts = scratch.table(posted.select("token", "rid").distinct().join(info, "rid"), "posts")
     scratch.free("postings")
     meet = posts.groupBy("token").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).where("_a != _b").select("token")
     posts = posts.join(meet, "token")
     cells = posts.groupBy("token", "gid", "label", "cluster").agg(*bounds)
     asks = posts.select("token", F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
-    across = asks.join(cells, "token").where(rule & (F.col("_own") != F.col("cluster"))).select("u", "gid")
-    near = scratch.table(near.unionByName(across).distinct(), "near")
+    across = asks.join(cells, "token").where(rule & (F.col("_own") != F.col("cluster"))).groupBy("u", "gid")
+    across = across.agg(F.count(F.lit(1)).alias("_met"), F.max("n").alias("_n"), F.min("_low").alias("_low"))
+    least = F.floor(F.least("_n", "_low") / 20) + 1
+    near = scratch.table(near.unionByName(across.where(F.col("_met") >= least).select("u", "gid")), "near")
     opened = info.join(near.select("gid").distinct(), "gid", "left_semi").select("rid", "gid").join(bits, "rid")
     schema = "gid long, rids array<long>, ns array<int>, rows array<binary>, union binary"
-    stored = scratch.table(opened.select("gid", "rid", "n", "bits").groupBy("gid").applyInArrow(matrix, schema), "matrix")
+    stored = scratch.table(opened.select("gid", "rid", "n", "bits", "odd").groupBy("gid").applyInArrow(matrix, schema), "matrix")
     mixed = info.groupBy("gid").agg(F.max(F.col("label").isNull()).alias("mixed"))
-    asked = near.join(bits.withColumnRenamed("rid", "u"), "u").join(stored.join(mixed, "gid"), "gid")
-    asked = asked.select("u", "n", "bits", "gid", "mixed", "rids", "ns", "rows", "union")
+    asked = near.join(bits.select(F.col("rid").alias("u"), "n", "odd"), "u").join(stored.join(mixed, "gid"), "gid")
+    asked = asked.select("u", "n", "odd", "gid", "mixed", "rids", "ns", "rows", "union")
     second = linked(asked.mapInArrow(open_groups(percent), "u long, v long"), "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
