@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, process_store, running_total, small_batches
-from .textnp import BASE_WORD, mix64, powers, slices
+from .textnp import BASE_BYTE, BASE_WORD, mix64, powers, slices, spans
 
 by_value(__name__)
 
@@ -21,6 +21,11 @@ by_value(__name__)
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
 #: Pieces of text whose ids a task keeps, in each of two generations.
 PIECES = 250_000
+#: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
+MARK = np.zeros(256, np.uint8)
+MARK[[32, 10]], MARK[[44, 46]] = 1, 2
+BLANK = np.zeros(256, bool)
+BLANK[[0, *range(9, 14), *range(28, 33)]] = True
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: The reflected polynomial of CRC-32 (fixed by the algorithm).
@@ -32,8 +37,8 @@ class Encoder:
 
     A byte-level BPE cuts a text by a pattern before it merges. The pattern always cuts before a space or line feed that
     stands between two characters that are not white space, and before a comma or full stop behind a letter or digit. So
-    the ids of a text are those of its pieces between such places, one after the other. A text with other spaces, or
-    with commas or full stops elsewhere (``doubtful``), is encoded whole.
+    the ids of a text are those of its pieces between such places, one after the other. A text with such characters in
+    other places (``pieces_of`` tells) is encoded whole. Pieces are known by a 64-bit hash of their bytes.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -43,67 +48,96 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], doubtful: np.ndarray) -> list[bytes]:
-        cut = [x.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n").split("\0") for x in texts]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a slice, and where those of each text begin."""
+        starts, ends, doubtful = pieces_of(data, offsets)
+        hashes, at, which = np.unique(spans(data, starts, ends, BASE_BYTE), return_index=True, return_inverse=True)
         if len(self.new) > PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
+        keys = hashes.tolist()
         missing = []
-        for p in set().union(*cut).difference(new):
-            if p in old:
-                new[p] = old[p]
-            elif not p or p in ",." or p == "\n" or not (p[-1].isspace() or p[0] == " " and p[1].isspace()):
-                missing.append(p)
-            else:
-                new[p] = None
-        new.update(zip(missing, self.raw(missing)))
-        new["\n"] = None
-        get = new.__getitem__
-        out, whole = [], []
-        for i, pieces in enumerate(cut):
-            try:
-                if doubtful[i]:
-                    raise TypeError
-                out.append(b"".join(map(get, pieces)))
-            except TypeError:
-                out.append(b"")
-                whole.append(i)
-        if whole:
-            for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
-                out[i] = ids
-        return out
-
-
-def doubtful(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The texts with a NUL, or a comma or full stop that does not follow an ASCII letter or digit or one of U+00C0 to U+00FF."""
-    mark = np.flatnonzero((data == 44) | (data == 46))
-    before, two = data[mark - 1], data[mark - 2]
-    latin = (before >= 128) & (two == 0xC3) & (before != 0x97) & (before != 0xB7)
-    first = np.isin(mark, offsets)
-    bad = np.concatenate([mark[first | ~(ALNUM[before] | latin)], np.flatnonzero(data == 0)])
-    out = np.zeros(len(offsets) - 1, bool)
-    out[np.searchsorted(offsets, bad, "right") - 1] = True
-    return out
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document: where a rolling hash over ROLL ids hits, none under LEAST or over MOST ids."""
+        for i, h in enumerate(keys):
+            if h not in new:
+                if h in old:
+                    new[h] = old[h]
+                else:
+                    missing.append(i)
+        view = data.tobytes()
+        texts = [view[a:b].decode() for a, b in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())] if missing else []
+        new.update(zip([keys[i] for i in missing], self.raw(texts)))
+        found = [new[h] for h in keys]
+        whole = np.flatnonzero(doubtful).tolist()
+        found += self.raw([view[offsets[i] : offsets[i + 1]].decode() for i in whole]) if whole else []
+        size = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
+        pool, place = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        # a doubtful text is one piece, after those of the other texts
+        which = np.concatenate([which, np.arange(len(keys), len(found))])
+        order = np.argsort(np.concatenate([starts, offsets[:-1][doubtful]]), kind="stable")
+        which, begin = which[order], np.concatenate([starts, offsets[:-1][doubtful]])[order]
+        n = size[which]
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = pool[np.arange(total) + np.repeat(place[which] - upto + n, n)]
+        first = np.concatenate([[0], upto])[np.searchsorted(begin, offsets)]
+        return ids, first
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of a slice of texts, and the texts to encode whole, of which there are no pieces.
+
+    A text is doubtful if a space or line feed has white space or an end of the text beside it, or a comma or full stop
+    does not follow a letter or digit. Of letters beyond ASCII only those of U+00C0 to U+00FF count before a comma, and
+    beside a space only characters of blocks without white space.
+    """
+    n = len(data)
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)])
+    kind = MARK[data]
+    mark = np.flatnonzero(kind)
+    p3, p2, p1, nx = padded[mark], padded[mark + 1], padded[mark + 2], padded[mark + 4]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    solid_before = np.where(p1 < 128, ~BLANK[p1], ((p2 >= 0xC3) & (p2 <= 0xDF)) | ((p3 >= 0xE4) & (p3 <= 0xED)))
+    solid_after = np.where(nx < 128, ~BLANK[nx], ((nx >= 0xC3) & (nx <= 0xDF)) | ((nx >= 0xE4) & (nx <= 0xED)) | (nx >= 0xF0))
+    letter = ALNUM[p1] | ((p1 >= 128) & (p2 == 0xC3) & (p1 != 0x97) & (p1 != 0xB7))
+    gap = kind[mark] == 1
+    bad = np.where(gap, ~solid_before | ~solid_after | edge[mark + 1], ~letter) | edge[mark]
+    doubtful = np.zeros(len(offsets) - 1, bool)
+    doubtful[np.searchsorted(offsets, mark[bad], "right") - 1] = True
+    begins = kind > 0
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], n)
+    keep = ~doubtful[np.searchsorted(offsets, starts, "right") - 1]
+    return starts[keep], ends[keep], doubtful & (np.diff(offsets) > 0)
+
+
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Where a rolling hash over the last ROLL ids hits; the place is that behind them."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < ROLL:
+        return np.zeros(0, np.int64)
     up, down = powers(BASE_WORD, n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix64(ids) * up[:n], out=total[1:])
     ends = np.arange(ROLL, n + 1)
     h = (total[ends] - total[ends - ROLL]) * down[ends - ROLL]
+    return ends[(h >> np.uint64(40)) % np.uint64(MEAN) == 0]
+
+
+def cuts(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids: at its places, none under LEAST (but the last) or over MOST ids."""
     out, last = [], 0
-    for e in ends[(h >> np.uint64(40)) % np.uint64(MEAN) == 0].tolist():
+    for e in places:
         while e - last > MOST:
             last += MOST
             out.append(last)
@@ -138,29 +172,32 @@ def chunked(path: str, end_id: int):
         if kept.get("encoder_path") != path:
             kept["encoder_path"], kept["encoder"] = path, Encoder(path)
         encoder, seen, row = kept["encoder"], set(), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], encoder.kind).tobytes()
+        encoder.forget()
         width = encoder.kind.itemsize
         for batch in batches:
-            for a, b, data, offsets in slices(batch["text"]):
-                part = batch.slice(a, b - a)
-                out = [[] for _ in names]
-                texts = [x or "" for x in part["text"].to_pylist()]
-                for doc, raw in zip(part["doc_id"].to_pylist(), encoder.encode(texts, doubtful(data, offsets))):
-                    raw += end
-                    ids, last, mine = np.frombuffer(raw, encoder.kind), 0, []
-                    for k, e in enumerate(cuts(ids)):
-                        payload = raw[last * width : e * width]
+            for a, b, data, offsets in slices(batch["text"], 1 << 20):
+                found, first = encoder.encode(data, offsets)
+                # each document's end id goes in behind its ids
+                ids = np.insert(found, first[1:], end_id)
+                first = first + np.arange(len(first))
+                places = cut_places(ids)
+                raw, out = ids.tobytes(), [[] for _ in names]
+                at = np.searchsorted(places, first[:-1] + ROLL), np.searchsorted(places, first[1:], "right")
+                for doc, begin, end, low, high in zip(batch["doc_id"].slice(a, b - a).to_pylist(), first[:-1].tolist(), first[1:].tolist(), *(x.tolist() for x in at)):
+                    last, mine = 0, []
+                    for k, e in enumerate(cuts(end - begin, (places[low:high] - begin).tolist())):
+                        payload = raw[(begin + last) * width : (begin + e) * width]
                         h = hashlib.sha256(payload).digest()
                         mine.append(h)
                         fresh = h not in seen
                         seen.add(h)
-                        for x, v in zip(out, (row, doc, k, last, e - last, h, len(ids), None, payload if fresh else None)):
+                        for x, v in zip(out, (row, doc, k, last, e - last, h, end - begin, None, payload if fresh else None)):
                             x.append(v)
                         last = e
                     out[7][-1] = merkle(mine)
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
-        encoder.new, encoder.old = {}, {}  # the memory is wanted by what comes next
+        encoder.forget()  # the memory is wanted by what comes next
 
     return run
 
