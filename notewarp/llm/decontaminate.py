@@ -144,6 +144,12 @@ def contamination(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark."""
+    found = contamination(docs, bench, k).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("_key"), "left_anti")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, bench).drop("key")

@@ -43,6 +43,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return s.select("_src", "_source_size", target.alias("_target"))
 
 
+def doc_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to (doc_id, source) of every row of ``docs``.
 
@@ -58,13 +62,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     one unit of the threshold only inside the last bucket, where they are taken one by one. Empty input: empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
-    doc_hash = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
     sized = scratch.table(
         docs.select(
             F.col("doc_id"),
             F.col("source").alias("_src"),
             word_count(F.col("text")).alias("size"),
-            doc_hash.alias("_hash"),
+            doc_hash(seed).alias("_hash"),
         ),
         "sized",
     )
@@ -170,6 +173,23 @@ def refine(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` as ``mix`` takes them, each as often as its copies, none if it has none."""
+    plan = mix(docs, weights, budget, cap, seed).groupBy(F.col("_hash").alias("_h"))
+    plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    plan = Scratch(docs.sparkSession, "mixed").table(plan, "copies")
+    rows = docs.withColumn("_hash", doc_hash(seed)).join(plan, F.col("_hash") == F.col("_h"))
+    # rows that are equal share their copies: the first ones get what is over
+    turn = F.row_number().over(Window.partitionBy("_hash").orderBy("_h"))
+    if plan.where("_rows > 1").isEmpty():
+        rows = rows.withColumn("_n", F.col("_copies"))
+    else:
+        over = (turn <= F.col("_copies") % F.col("_rows")).cast("long")
+        rows = rows.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + over)
+    rows = rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
+    return rows.drop("_hash", "_h", "_copies", "_rows", "_n", "_each")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -380,9 +380,10 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keep = first.unionByName(empty).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    again = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")
-    )
+    again = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    if again.isEmpty():
+        return kept.drop("_text_hash")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
     repeated = kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
     return kept.join(again, on, "left_anti").unionByName(repeated).drop("_text_hash")
