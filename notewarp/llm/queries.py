@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
+from .chat import op1_chat_tree
 from .decontaminate import op4_decontaminate
 from .langid import op3_language_id
 from .mixing import op10_mix_sources
@@ -11,6 +13,8 @@ from .substring import op6_substring_dedup
 from .tokenstore import op5_token_store
 
 QUERIES = {
+    "op1_chat_tree": op1_chat_tree,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
