@@ -169,19 +169,19 @@ def matrix(key, table):
 
 
 def open_groups(percent: int):
-    """Of rows (u, n, odd, gid, mixed, rids, ns, rows, union) the pairs (u, member) that may link.
+    """Of rows (u, n, odd, gid, twice, rids, ns, rows, union) the pairs (u, member) that may link.
 
-    A group is opened if the overlap of the query with its union can reach the threshold. In a mixed group each of two
-    queries would find the other, so only the smaller does.
+    A group is opened if the overlap of the query with its union can reach the threshold. Where two queries
+    ask each other's groups (``twice``), only the smaller finds the other.
     """
 
     def run(batches):
         last, group = None, None
         for batch in batches:
             left, right = [], []
-            cols = {c: batch[c] for c in ("u", "n", "odd", "gid", "mixed")}
+            cols = {c: batch[c] for c in ("u", "n", "odd", "gid", "twice")}
             for i in range(len(batch)):
-                u, n, odd, gid, mixed = (cols[c][i].as_py() for c in ("u", "n", "odd", "gid", "mixed"))
+                u, n, odd, gid, twice = (cols[c][i].as_py() for c in ("u", "n", "odd", "gid", "twice"))
                 if gid != last:
                     rids, ns = (np.array(batch[c][i].as_py(), np.int64) for c in ("rids", "ns"))
                     last, group = gid, (rids, ns, np.stack([unpacked(x) for x in batch["rows"][i].as_py()]), unpacked(batch["union"][i].as_py()))
@@ -192,7 +192,7 @@ def open_groups(percent: int):
                     continue
                 apart = (fold(x, m, np.bitwise_xor) ^ fold(rows, m, np.bitwise_xor)).sum(axis=1)
                 ok = ((100 + percent) * apart <= (100 - percent) * (n + ns)) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns))
-                if mixed:
+                if twice:
                     ok &= rids > u
                 right.extend(rids[ok].tolist())
                 left.extend([u] * int(ok.sum()))
@@ -297,7 +297,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     posted = scratch.table(posted.select("token", "rid", "n", "size"), "postings")
     # the class whose tokens most others post too leads
     central = posted.groupBy("rid").agg((F.sum("size") / F.max("n")).alias("central"))
-    tops = posted.join(central, "rid").groupBy("token").agg(F.max(F.struct("central", "rid"))["rid"].alias("leader"))
+    tops = posted.join(central, "rid").groupBy("token")
+    tops = tops.agg(F.max(F.struct("central", "rid"))["rid"].alias("leader"), F.min("rid").alias("_a"), F.max("rid").alias("_b"))
+    tops = scratch.table(tops.where("_a != _b").select("token", "leader"), "tops")
     meets = posted.join(tops, "token").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("_n"))
     meets = meets.groupBy("rid").agg(
         F.max(F.struct("_n", "leader"))["leader"].alias("cluster"),
@@ -306,7 +308,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     meets = scratch.table(meets, "meets")
     best = meets.where("v is not null").select(F.col("rid").alias("u"), "v")
 
-    involved = posted.select("rid").distinct()
+    involved = meets.select("rid")
     bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary, odd binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
     bits = scratch.table(bits, "bits")
 
@@ -342,23 +344,25 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     bounds = [F.min("n").alias("_low"), F.max("n").alias("_high")]
     asks = info.select(F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
     inner = info.groupBy("cluster", "gid", "label").agg(*bounds)
-    near = asks.join(inner, F.col("_own") == F.col("cluster")).where(rule).select("u", "gid")
-    posts = scratch.table(posted.select("token", "rid").distinct().join(info, "rid"), "posts")
-    scratch.free("postings")
+    near = asks.join(inner, F.col("_own") == F.col("cluster")).where(rule).select("u", "gid", F.col("label").isNull().alias("twice"))
+    posts = posted.select("token", "rid").distinct().join(tops.select("token"), "token").join(info, "rid")
+    posts = scratch.table(posts, "posts")
+    scratch.free("postings", "tops")
     meet = posts.groupBy("token").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).where("_a != _b").select("token")
     posts = posts.join(meet, "token")
     cells = posts.groupBy("token", "gid", "label", "cluster").agg(*bounds)
     asks = posts.select("token", F.col("rid").alias("u"), "n", F.col("label").alias("_from"), F.col("cluster").alias("_own"))
-    across = asks.join(cells, "token").where(rule & (F.col("_own") != F.col("cluster"))).groupBy("u", "gid")
+    # of two classes without links one asks, that of the smaller cluster
+    once = F.col("_from").isNotNull() | F.col("label").isNotNull() | (F.col("_own") < F.col("cluster"))
+    across = asks.join(cells, "token").where(rule & once & (F.col("_own") != F.col("cluster"))).groupBy("u", "gid")
     across = across.agg(F.count(F.lit(1)).alias("_met"), F.max("n").alias("_n"), F.min("_low").alias("_low"))
     least = F.floor(F.least("_n", "_low") / 20) + 1
-    near = scratch.table(near.unionByName(across.where(F.col("_met") >= least).select("u", "gid")), "near")
+    near = scratch.table(near.unionByName(across.where(F.col("_met") >= least).select("u", "gid", F.lit(False).alias("twice"))), "near")
     opened = info.join(near.select("gid").distinct(), "gid", "left_semi").select("rid", "gid").join(bits, "rid")
     schema = "gid long, rids array<long>, ns array<int>, rows array<binary>, union binary"
     stored = scratch.table(opened.select("gid", "rid", "n", "bits", "odd").groupBy("gid").applyInArrow(matrix, schema), "matrix")
-    mixed = info.groupBy("gid").agg(F.max(F.col("label").isNull()).alias("mixed"))
-    asked = near.join(bits.select(F.col("rid").alias("u"), "n", "odd"), "u").join(stored.join(mixed, "gid"), "gid")
-    asked = asked.select("u", "n", "odd", "gid", "mixed", "rids", "ns", "rows", "union")
+    asked = near.join(bits.select(F.col("rid").alias("u"), "n", "odd"), "u").join(stored, "gid")
+    asked = asked.select("u", "n", "odd", "gid", "twice", "rids", "ns", "rows", "union")
     second = linked(asked.mapInArrow(open_groups(percent), "u long, v long"), "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
