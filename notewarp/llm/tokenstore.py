@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ by_value(__name__)
 
 #: Ids under the rolling hash; least, mean and largest length of a chunk in ids. A chunk is cut by its content alone.
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
-#: Pieces of text whose ids a task keeps, in each of two generations.
-PIECES = 250_000
+#: Pieces of text whose ids a Python worker keeps, in each of two generations.
+PIECES = 400_000
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
 #: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
 MARK = np.zeros(256, np.uint8)
 MARK[[32, 10]], MARK[[44, 46]] = 1, 2
@@ -47,7 +50,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
-        self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(f"<u{array(self.code).itemsize}")
         self.forget()
 
     def forget(self) -> None:
@@ -55,7 +59,7 @@ class Encoder:
         self.old: dict[int, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and where those of each text begin."""
@@ -65,20 +69,17 @@ class Encoder:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         keys = hashes.tolist()
-        missing = []
-        for i, h in enumerate(keys):
-            if h not in new:
-                if h in old:
-                    new[h] = old[h]
-                else:
-                    missing.append(i)
+        missing = [i for i, h in enumerate(keys) if h not in new]
+        if old:
+            new.update([(h, old[h]) for h in [keys[i] for i in missing] if h in old])
+            missing = [i for i in missing if keys[i] not in new]
         view = data.tobytes()
         texts = [view[a:b].decode() for a, b in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())] if missing else []
         new.update(zip([keys[i] for i in missing], self.raw(texts)))
-        found = [new[h] for h in keys]
+        found = list(map(new.__getitem__, keys))
         whole = np.flatnonzero(doubtful).tolist()
         found += self.raw([view[offsets[i] : offsets[i + 1]].decode() for i in whole]) if whole else []
-        size = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         pool, place = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
         # a doubtful text is one piece, after those of the other texts
         which = np.concatenate([which, np.arange(len(keys), len(found))])
@@ -172,10 +173,9 @@ def chunked(path: str, end_id: int):
         if kept.get("encoder_path") != path:
             kept["encoder_path"], kept["encoder"] = path, Encoder(path)
         encoder, seen, row = kept["encoder"], set(), TaskContext.get().partitionId() << 40
-        encoder.forget()
         width = encoder.kind.itemsize
         for batch in batches:
-            for a, b, data, offsets in slices(batch["text"], 1 << 20):
+            for a, b, data, offsets in slices(batch["text"], SLICE):
                 found, first = encoder.encode(data, offsets)
                 # each document's end id goes in behind its ids
                 ids = np.insert(found, first[1:], end_id)
@@ -197,7 +197,6 @@ def chunked(path: str, end_id: int):
                     out[7][-1] = merkle(mine)
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
-        encoder.forget()  # the memory is wanted by what comes next
 
     return run
 
@@ -210,7 +209,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch)
     root of its hash tree, and its recipe: chunks as (off, n, hash). ``shards``: one row per file range of ``documents``:
     first start, number of ids and a digest over its documents' starts and roots.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SLICE)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "rk long, doc_id long, ord int, off long, n int, hash binary, n_tokens long, root binary, payload binary"
     rows = docs.mapInArrow(chunked(tokenizer, end_id), schema)
