@@ -8,6 +8,7 @@ from .decontaminate import op4_decontaminate
 from .langid import op3_language_id
 from .mixing import op10_mix_sources
 from .ngram_join import op7_ngram_jaccard
+from .pii import op9_pii_pseudonyms
 from .quality import op8_quality_resampling
 from .substring import op6_substring_dedup
 from .tokenstore import op5_token_store
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality_resampling": op8_quality_resampling,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_mix_sources": op10_mix_sources,
 }
 
