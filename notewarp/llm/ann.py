@@ -14,10 +14,11 @@ from .common import Scratch, by_value, small_batches
 
 by_value(__name__)
 
-#: Vectors that the tree is fitted on at most (those of the least hashes of vec_id), branches of a node, sample vectors of a leaf.
-SAMPLE, BRANCHES, LEAF = 16_384, 8, 24
+#: Vectors that the tree is fitted on at most (those of the least hashes of vec_id), branches of a node, sample vectors that a
+#: leaf has at least before it is split, and leaves that are aimed at.
+SAMPLE, BRANCHES, LEAF, LEAVES = 16_384, 8, 24, 128
 #: Queries for which all vectors are compared to calibrate the number of leaves, and the recall asked of them.
-PROBES, RECALL = 128, 0.97
+PROBES, RECALL = 256, 0.95
 #: Vectors and queries that meet in one task step at most.
 BLOCK, ASKED = 1024, 2048
 
@@ -28,10 +29,10 @@ class Tree:
     def __init__(self, sample: np.ndarray, seed: int = 5):
         self.centres, self.kids, self.leaf = [np.zeros(sample.shape[1])], [[]], [-1]
         self.leaves = 0
-        rng, todo = np.random.default_rng(seed), [(0, sample)]
+        rng, todo, most = np.random.default_rng(seed), [(0, sample)], max(LEAF, len(sample) // LEAVES)
         while todo:
             node, rows = todo.pop()
-            groups = split(rows, rng) if len(rows) > LEAF else []
+            groups = split(rows, rng) if len(rows) > most else []
             if len(groups) < 2:
                 self.leaf[node] = self.leaves
                 self.leaves += 1
