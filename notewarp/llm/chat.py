@@ -74,8 +74,10 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
     ``position_ids`` that go on from the parent's, and ``attends``: the [start, end) intervals of the packed tokens of its
     ancestors. ``conversations``: conv_id and the nodes on its path.
 
-    A node's key is the hash of its parent's key and its turn, so equal beginnings meet in one aggregation. Paths sort
-    depth-first, a parent before its children; the packed places are a running total over ranges of that order. A
+    A node's key is the hash of its parent's key and its turn, so equal beginnings meet in one aggregation. Conversations
+    are ranked by their paths over ranges of that order. A node belongs to the first conversation that has it, so
+    (rank, depth) is the depth-first order, the nodes of one conversation are a chain without a gap, and the ancestors of
+    a chain are one interval for each conversation that it passes through: all tables are linear in the turns. A
     conversation is one row, so its own turns must fit into memory; a tree need not.
     """
     small_batches(turns.sparkSession)
@@ -91,22 +93,27 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
     convs = convs.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), go_on))
     convs = scratch.table(convs, "formatted")
     convs.select("conv_id", "path").write.parquet(scratch.path("conversations"))
-    nodes = convs.select("path", "turns", F.posexplode("path").alias("depth", "key"))
-    nodes = nodes.select("key", F.slice("path", 1, F.col("depth") + 1).alias("path"), F.get("turns", F.col("depth")).alias("t"))
+    ranked = running_total(scratch, convs.select("path", "turns", F.lit(1).cast("long").alias("one")), [F.col("path")], "one", "rank", "order")
+    steps = scratch.table(ranked.select("rank", F.posexplode("path").alias("at", "key"), "turns").withColumn("t", F.get("turns", F.col("at"))).drop("turns"), "steps")
+    scratch.free("formatted", "order")
     # all that a key stands for is equal
-    nodes = nodes.groupBy("key").agg(F.first("path").alias("path"), F.first("t").alias("t")).select("key", "path", "t.role", "t.head", "t.body", "t.tail")
-    schema = "key string, path array<string>, role string, head string, body string, tail string, tokens array<int>, _from long, _to long"
+    nodes = steps.groupBy("key").agg(F.min(F.struct("rank", "at")).alias("_o"), F.first("t").alias("t"))
+    nodes = nodes.select("key", "_o.rank", F.col("_o.at").alias("at"), "t.role", "t.head", "t.body", "t.tail")
+    schema = "key string, rank long, at int, role string, head string, body string, tail string, tokens array<int>, _from long, _to long"
     nodes = scratch.table(nodes.mapInArrow(tokenize(tokenizer), schema).withColumn("n", F.size("tokens").cast("long")), "nodes")
-    scratch.free("formatted")
 
-    placed = running_total(scratch, nodes.select("key", "path", "n"), [F.col("path")], "n", "packed_start", "order")
+    placed = running_total(scratch, nodes.select("key", "rank", "at", "n"), [F.col("rank"), F.col("at")], "n", "packed_start", "places")
     placed = scratch.table(placed, "placed")
-    up = placed.select("key", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("_a"))
-    interval = F.struct(F.col("packed_start").alias("start"), (F.col("packed_start") + F.col("n")).alias("end"))
-    above = up.join(placed.select(F.col("key").alias("_a"), interval.alias("_i")), "_a")
-    above = above.groupBy("key").agg(F.array_sort(F.collect_list("_i")).alias("attends"))
-    tree = nodes.join(placed.select("key", "packed_start"), "key").join(above, "key", "left")
-    tree = tree.withColumn("attends", F.coalesce("attends", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    owners = placed.select("key", F.col("rank").alias("_owner"), "packed_start", (F.col("packed_start") + F.col("n")).alias("_end"))
+    above = steps.select("rank", "key").join(owners, "key").where("_owner < rank")
+    above = above.groupBy("rank", "_owner").agg(F.min("packed_start").alias("start"), F.max("_end").alias("end"))
+    above = above.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("above"))
+    heads = placed.groupBy("rank").agg(F.min("packed_start").alias("_head"))
+    tree = nodes.join(placed.select("key", "packed_start"), "key").join(heads, "rank").join(above, "rank", "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    own = F.array(F.struct(F.col("_head").alias("start"), F.col("packed_start").alias("end")))
+    attends = F.concat(F.coalesce("above", none), F.when(F.col("packed_start") > F.col("_head"), own).otherwise(none))
+    tree = tree.withColumn("attends", attends)
     first = F.aggregate("attends", F.lit(0).cast("long"), lambda s, i: s + i["end"] - i["start"])
     assistant = F.col("role") == "assistant"
 
@@ -116,7 +123,7 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
 
     tree = tree.select(
         "key",
-        F.size("path").alias("depth"),
+        (F.col("at") + 1).alias("depth"),
         "packed_start",
         F.concat("head", "body", "tail").alias("formatted"),
         loss(F.length("head"), F.length("head") + F.length("body")).alias("loss"),
@@ -126,7 +133,7 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
         "attends",
     )
     tree.write.parquet(scratch.path("tree"))
-    scratch.free("nodes", "placed", "order")
+    scratch.free("nodes", "placed", "places", "steps")
 
 
 def read_back(scratch: Scratch) -> DataFrame:
