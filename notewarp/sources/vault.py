@@ -11,14 +11,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import text as X
 from ..settings import MODES
 
-FILES = T.StructType.fromDDL("path string, rel_path string, mtime double, length bigint")
-CHANGES = T.StructType.fromDDL("path string, event_type string, ts double")
+FILES = "path string, rel_path string, mtime double, length bigint"
+CHANGES = "path string, event_type string, ts double"
 
 
 class Folder(InputPartition):
