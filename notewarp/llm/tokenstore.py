@@ -8,6 +8,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,7 +65,9 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and where those of each text begin."""
         starts, ends, doubtful = pieces_of(data, offsets)
-        hashes, at, which = np.unique(spans(data, starts, ends, BASE_BYTE), return_index=True, return_inverse=True)
+        which, hashes = pd.factorize(spans(data, starts, ends, BASE_BYTE))
+        at = np.zeros(len(hashes), np.int64)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the first place of each
         if len(self.new) > PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
@@ -82,9 +85,11 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         pool, place = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
         # a doubtful text is one piece, after those of the other texts
-        which = np.concatenate([which, np.arange(len(keys), len(found))])
-        order = np.argsort(np.concatenate([starts, offsets[:-1][doubtful]]), kind="stable")
-        which, begin = which[order], np.concatenate([starts, offsets[:-1][doubtful]])[order]
+        begin = starts
+        if whole:
+            begin = np.concatenate([starts, offsets[:-1][doubtful]])
+            order = np.argsort(begin, kind="stable")
+            which, begin = np.concatenate([which, np.arange(len(keys), len(found))])[order], begin[order]
         n = size[which]
         upto = np.cumsum(n)
         total = int(upto[-1]) if len(upto) else 0
@@ -128,8 +133,11 @@ def cut_places(ids: np.ndarray) -> np.ndarray:
     if n < ROLL:
         return np.zeros(0, np.int64)
     up, down = powers(BASE_WORD, n + 1)
+    kept = process_store()
+    if "mixed_ids" not in kept:
+        kept["mixed_ids"] = mix64(np.arange(1 << 16))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix64(ids) * up[:n], out=total[1:])
+    np.cumsum((kept["mixed_ids"][ids] if ids.dtype.itemsize == 2 else mix64(ids)) * up[:n], out=total[1:])
     ends = np.arange(ROLL, n + 1)
     h = (total[ends] - total[ends - ROLL]) * down[ends - ROLL]
     return ends[(h >> np.uint64(40)) % np.uint64(MEAN) == 0]
