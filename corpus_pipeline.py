@@ -15,7 +15,7 @@ from notewarp.llm.common import Scratch
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
     found = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.where("_kept").select(docs.columns)
+    return found.where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

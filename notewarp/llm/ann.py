@@ -96,7 +96,7 @@ def usable(vector: Column) -> Column:
 
 
 def vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.flatten(), np.float64).reshape(len(column), -1)
+    return np.array(column.flatten(), np.float64).reshape(len(column), -1 if len(column) else 1)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def nearest_neighbours(table: DataFrame, every: int = 50, n: int = 5, recall: fl
 
     def some(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         got = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(k).collect()
-        return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+        return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64).reshape(len(got), -1 if got else 1)
 
     tree = Tree(unit(some(rows, SAMPLE)[1]))
     index = scratch.table(rows.mapInArrow(put_in_leaves(tree), "leaf long, vec_id long, embedding array<double>"), "index")

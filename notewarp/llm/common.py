@@ -55,7 +55,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(self.path(name))
-        return self.read(name)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -67,6 +67,20 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Plain:
+    """A table under column names of our own, so that none of its own can clash with those that an operator adds."""
+
+    def __init__(self, table: DataFrame):
+        self.names, self.columns = table.columns, [f"c{i}" for i in range(len(table.columns))]
+        self.df = table.toDF(*self.columns)
+
+    def __getitem__(self, name: str):
+        return F.col(self.columns[self.names.index(name)])
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(n) for c, n in zip(self.columns, self.names)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

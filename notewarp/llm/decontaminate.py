@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Plain, Scratch
 
 #: What stands between words, once A-Z are lower case.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,7 +147,8 @@ def contamination(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark."""
     found = contamination(docs, bench, k).where("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("_key"), "left_anti")
+    plain = Plain(docs)
+    return plain.back(plain.df.join(found, F.xxhash64(plain["doc_id"], plain["text"]) == F.col("_key"), "left_anti"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

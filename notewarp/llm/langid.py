@@ -64,7 +64,7 @@ class Model:
     """The automata of all languages in one transition table over one alphabet.
 
     An entry holds the next state's row. A negative entry ends a phrase: the symbol is not a continuation, so the next
-    phrase starts with it, from the root.
+    phrase starts with it, from the root. A symbol that a language's sample lacks is a phrase of its own.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -75,13 +75,14 @@ class Model:
         parts, self.roots, base = [], [], 0
         for lang in self.langs:
             auto = Automaton([code[c] for c in texts[lang]])
-            n = len(auto.next)
+            n = len(auto.next) + 1  # the last state is that behind an unknown symbol
             table = np.full((n, self.width), -1, np.int64)
             for state, edges in enumerate(auto.next):
                 for c, to in edges.items():
                     table[state, c] = (base + to) * self.width
-            root = np.where(table[0] >= 0, table[0], base * self.width)
+            root = np.where(table[0] >= 0, table[0], (base + n - 1) * self.width)
             table = np.where(table >= 0, table, -root - 1)
+            table[0] = root
             parts.append(table)
             self.roots.append(base * self.width)
             base += n

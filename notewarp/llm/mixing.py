@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Plain, Scratch
 
 #: Bits of the hash that each level of histogram resolves.
 LEVEL_BITS = 12
@@ -43,8 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return s.select("_src", "_source_size", target.alias("_target"))
 
 
-def doc_hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
+def doc_hash(seed: int, of=F.col) -> Column:
+    return F.xxhash64(F.lit(seed), of("doc_id"), of("source"), of("text"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
@@ -178,7 +178,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float =
     plan = mix(docs, weights, budget, cap, seed).groupBy(F.col("_hash").alias("_h"))
     plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
     plan = Scratch(docs.sparkSession, "mixed").table(plan, "copies")
-    rows = docs.withColumn("_hash", doc_hash(seed)).join(plan, F.col("_hash") == F.col("_h"))
+    plain = Plain(docs)
+    rows = plain.df.withColumn("_hash", doc_hash(seed, plain.__getitem__)).join(plan, F.col("_hash") == F.col("_h"))
     # rows that are equal share their copies: the first ones get what is over
     turn = F.row_number().over(Window.partitionBy("_hash").orderBy("_h"))
     if plan.where("_rows > 1").isEmpty():
@@ -186,8 +187,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float =
     else:
         over = (turn <= F.col("_copies") % F.col("_rows")).cast("long")
         rows = rows.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + over)
-    rows = rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
-    return rows.drop("_hash", "_h", "_copies", "_rows", "_n", "_each")
+    return plain.back(rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

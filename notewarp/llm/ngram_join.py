@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitfilter, graph
-from .common import Scratch, by_value, small_batches
+from .common import Plain, Scratch, by_value, small_batches
 from .textnp import Words, mix64, shingle_sets, slices
 
 by_value(__name__)
@@ -382,15 +382,16 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first")
     first = found.where("n_shingles > 0").groupBy("class_id").agg(first).select("_first.doc_id", "_first.text_hash")
     keep = first.unionByName(empty).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
+    plain = Plain(docs)
+    hashed = plain.df.withColumns({"_doc": plain["doc_id"], "_text_hash": F.xxhash64(plain["text"])})
+    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+    kept = hashed.join(keep, on, "left_semi")
     again = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
     again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
     if again.isEmpty():
-        return kept.drop("_text_hash")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
-    repeated = kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return kept.join(again, on, "left_anti").unionByName(repeated).drop("_text_hash")
+        return plain.back(kept)
+    repeated = kept.join(again, on, "left_semi").dropDuplicates(["_doc", "_text_hash"])
+    return plain.back(kept.join(again, on, "left_anti").unionByName(repeated))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

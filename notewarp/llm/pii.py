@@ -266,7 +266,7 @@ def pseudonymise(docs: DataFrame, key: str, invert: bool = False) -> DataFrame:
     found = F.transform(F.regexp_extract_all(F.col("text"), F.lit(CANDIDATES), F.lit(0)), candidate)
     found = F.transform(found, lambda s: F.struct(s.alias("s"), kind_of(s).alias("kind")))
     gaps = F.split(F.col("text"), CANDIDATES, -1)
-    names = [f"_pii_{n}" for n in ("found", "gaps")]
+    names = [n + "_" * max(map(len, docs.columns)) for n in ("_found", "_gaps")]  # longer than any name there is
     out = docs.withColumns({names[0]: F.when(some, found), names[1]: F.when(some, gaps)})
     valid = F.filter(names[0], lambda x: x["kind"].isNotNull())
     new = F.transform(names[0], lambda x: F.when(x["kind"].isNull(), x["s"]["x"]).otherwise(pseudonym(f, x["kind"], x["s"])))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, small_batches
+from .common import Plain, Scratch, by_value, small_batches
 from .textnp import slices
 
 by_value(__name__)
@@ -54,13 +54,13 @@ def count_grams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def score(ratio: np.ndarray):
-    """Adds the number of n-grams and the mean log ratio to rows that have a column text."""
+def score(ratio: np.ndarray, text_column: str):
+    """Adds the number of n-grams and the mean log ratio of a text column to rows."""
 
     def run(batches):
         for batch in batches:
             count, mean = [], []
-            for a, b, data, offsets in slices(batch["text"]):
+            for a, b, data, offsets in slices(batch[text_column]):
                 bucket, text = gram_buckets(data, offsets)
                 n = np.bincount(text, minlength=b - a)
                 count.append(n)
@@ -90,17 +90,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(p_target) - np.log(p_raw)
 
 
-def gumbel(seed: int) -> Column:
+def gumbel(seed: int, doc_id: Column, text: Column) -> Column:
     """Gumbel noise by doc_id and text, the same in each run."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """Adds ``_n_grams``, ``_log_ratio`` and ``_key`` to the rows of ``docs``."""
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.withColumn("_noise", F.lit(0.0)).schema)
-    scored = docs.withColumn("_noise", gumbel(seed)).mapInArrow(score(ratio), f"{fields}, `_n_grams` long, `_log_ratio` double")
-    return scored.withColumn("_key", F.col("_log_ratio") * SHARPNESS + F.col("_noise")).drop("_noise")
+    """(row, n_grams, log_ratio, key) for the rows of ``docs``."""
+    plain = Plain(docs)
+    noisy = plain.df.withColumn("_noise", gumbel(seed, plain["doc_id"], plain["text"]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in noisy.schema)
+    text = plain.columns[plain.names.index("text")]
+    scored = noisy.mapInArrow(score(ratio, text), f"{fields}, `_n_grams` long, `_log_ratio` double")
+    row = F.struct(*[F.col(c).alias(n) for c, n in zip(plain.columns, plain.names)]).alias("row")
+    key = F.col("_log_ratio") * SHARPNESS + F.col("_noise")
+    return scored.select(row, F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), key.alias("key"))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -131,7 +136,7 @@ def share_of_target(labels: DataFrame) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29) -> DataFrame:
-    """The rows of ``docs`` with ``_n_grams``, ``_log_ratio``, ``_key`` and ``_kept``.
+    """(row, n_grams, log_ratio, key, kept) for every row of ``docs``, which is the struct ``row``.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and quality; more columns pass through or are ignored. The
     importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams. Its
@@ -145,14 +150,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     ratio = fit(docs, labels)
     share = share_of_target(labels) if share is None else share
     scored = weigh(docs, ratio, seed)
-    keys = scratch.table(weigh(docs.select("doc_id", "text"), ratio, seed).select("_key"), "keys")
-    least = kth_largest(keys, "_key", math.ceil(share * keys.count()))
-    return scored.withColumn("_kept", F.col("_key") >= F.lit(least if least is not None else math.inf))
+    keys = scratch.table(weigh(docs.select("doc_id", "text"), ratio, seed).select("key"), "keys")
+    least = kth_largest(keys, "key", math.ceil(share * keys.count()))
+    return scored.withColumn("kept", F.col("key") >= F.lit(least if least is not None else math.inf))
 
 
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = resample(docs.select("doc_id", "text"), labels)
-    return out.select(
-        "doc_id", F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
-    )
+    return out.select("row.doc_id", "n_grams", "log_ratio", F.col("key").alias("gumbel_key"), "kept")
