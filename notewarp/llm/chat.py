@@ -50,7 +50,7 @@ def tokenize(path: str):
     """Adds the ids of each part of a turn, so that the loss falls on whole tokens."""
 
     def run(batches):
-        kept = process_store()
+        kept = process_store("chat")
         if kept.get("chat_path") != path:
             from tokenizers import Tokenizer
 

@@ -20,9 +20,17 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def process_store() -> dict:
-    """What a Python worker keeps from task to task. Functions shipped by value get new globals with each task."""
-    return sys.modules.setdefault("_notewarp_store", types.ModuleType("_notewarp_store")).__dict__
+def process_store(job: str | None = None) -> dict:
+    """What a Python worker keeps from task to task. Functions shipped by value get new globals with each task.
+
+    A worker that turns to another kind of ``job`` drops what it kept for the last one.
+    """
+    kept = sys.modules.setdefault("_notewarp_store", types.ModuleType("_notewarp_store")).__dict__
+    if job and kept.get("job") != job:
+        for name in [k for k in kept if not k.startswith("__")]:
+            del kept[name]
+        kept["job"] = job
+    return kept
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitfilter, graph
-from .common import Plain, Scratch, by_value, small_batches
+from .common import Plain, Scratch, by_value, process_store, small_batches
 from .textnp import Words, mix64, shingle_sets, slices
 
 by_value(__name__)
@@ -22,6 +22,7 @@ GROUP = 32
 
 def sets_of(column: pa.Array, k: int):
     """(first row, last row, tokens sorted by row, first token of each row, class id of each row's set)."""
+    process_store("text")
     for a, b, data, offsets in slices(column):
         w = Words(data, offsets, lower=True)
         tokens, first = shingle_sets(w.hashes(), w.first, k)

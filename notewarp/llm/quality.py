@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Plain, Scratch, by_value, small_batches
+from .common import Plain, Scratch, by_value, process_store, small_batches
 from .textnp import slices
 
 by_value(__name__)
@@ -43,6 +43,7 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def count_grams(batches):
     """Rows (bucket, n-grams of all texts, n-grams of target texts), one set a task."""
+    process_store("text")
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for batch in batches:
         chosen = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
@@ -58,6 +59,7 @@ def score(ratio: np.ndarray, text_column: str):
     """Adds the number of n-grams and the mean log ratio of a text column to rows."""
 
     def run(batches):
+        process_store("text")
         for batch in batches:
             count, mean = [], []
             for a, b, data, offsets in slices(batch[text_column]):

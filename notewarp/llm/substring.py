@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitfilter
-from .common import Scratch, by_value, small_batches
+from .common import Scratch, by_value, process_store, small_batches
 from .textnp import BASE_WORD, Words, grams, slices, spans
 
 by_value(__name__)
@@ -79,6 +79,7 @@ def edges(k: int):
     names = ["kind", "doc_id", "rk", "first", "windows", "anchor", "span", "sha"]
 
     def run(batches):
+        process_store("text")
         for batch in batches:
             for a, b, data, offsets in slices(batch["text"]):
                 w = Words(data, offsets, lower=False)
@@ -107,6 +108,7 @@ def expand(k: int):
     """The single windows of the pieces that branch: two independent hashes and the source coordinates of each."""
 
     def run(batches):
+        process_store("text")
         for batch in batches:
             for a, b, data, offsets in slices(batch["text"]):
                 w = Words(data, offsets, lower=False)
@@ -132,6 +134,7 @@ def remove(k: int):
     """The text of each row without the words of its spans: counts, SHA-256 and the text that is kept."""
 
     def run(batches):
+        process_store("text")
         for batch in batches:
             for a, b, data, offsets in slices(batch["text"]):
                 w = Words(data, offsets, lower=False)

@@ -38,7 +38,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     kept = process_store().setdefault("powers", {})
     if base not in kept or len(kept[base][0]) < n:
-        size = max(2 * n, 1 << 16)
+        size = ((n >> 16) + 1) << 16
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)

@@ -22,9 +22,9 @@ by_value(__name__)
 #: Ids under the rolling hash; least, mean and largest length of a chunk in ids. A chunk is cut by its content alone.
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
 #: Pieces of text whose ids a Python worker keeps, in each of two generations.
-PIECES = 400_000
+PIECES = 300_000
 #: Bytes of text that are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
 MARK = np.zeros(256, np.uint8)
 MARK[[32, 10]], MARK[[44, 46]] = 1, 2
@@ -177,7 +177,7 @@ def chunked(path: str, end_id: int):
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        kept = process_store()
+        kept = process_store("tokens")
         if kept.get("encoder_path") != path:
             kept["encoder_path"], kept["encoder"] = path, Encoder(path)
         encoder, seen, row = kept["encoder"], set(), TaskContext.get().partitionId() << 40
