@@ -14,17 +14,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, process_store, running_total, small_batches
+from .common import Scratch, by_value, give_back, process_store, running_total, small_batches
 from .textnp import BASE_BYTE, BASE_WORD, mix64, powers, slices, spans
 
 by_value(__name__)
 
 #: Ids under the rolling hash; least, mean and largest length of a chunk in ids. A chunk is cut by its content alone.
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
-#: Pieces of text whose ids a Python worker keeps, in each of two generations.
+#: Pieces of text whose ids a task keeps, in each of two generations.
 PIECES = 300_000
 #: Bytes of text that are encoded together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
 MARK = np.zeros(256, np.uint8)
 MARK[[32, 10]], MARK[[44, 46]] = 1, 2
@@ -205,6 +205,8 @@ def chunked(path: str, end_id: int):
                     out[7][-1] = merkle(mine)
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+        encoder.forget()  # what comes next needs the memory
+        give_back()
 
     return run
 
