@@ -21,8 +21,8 @@ by_value(__name__)
 
 #: Ids under the rolling hash; least, mean and largest length of a chunk in ids. A chunk is cut by its content alone.
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
-#: Pieces of text whose ids a task keeps, in each of two generations.
-PIECES = 300_000
+#: Pieces of text whose ids a Python worker keeps, in each of two generations.
+PIECES = 200_000
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
 #: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
@@ -205,8 +205,7 @@ def chunked(path: str, end_id: int):
                     out[7][-1] = merkle(mine)
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
-        encoder.forget()  # what comes next needs the memory
-        give_back()
+        give_back()  # what comes next needs the memory
 
     return run
 
