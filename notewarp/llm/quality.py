@@ -18,8 +18,8 @@ by_value(__name__)
 GRAM, BITS = 5, 18
 #: Labelled rows that the target's model is fitted on at most, those of the least hashes of doc_id.
 SAMPLE = 20_000
-#: How much the mean log ratio weighs against the Gumbel noise.
-SHARPNESS = 200.0
+#: How much the mean log ratio weighs against the Gumbel noise, and the bins a unit of scores that a cut is placed by.
+SHARPNESS, FINE = 200.0, 8
 #: Digits count as one character.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[48:58] = 48
@@ -55,56 +55,90 @@ def count_grams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def score(ratio: np.ndarray, text_column: str):
-    """Adds the number of n-grams and the mean log ratio of a text column to rows."""
+def left_out(raw: np.ndarray, target: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The log ratio of each n-gram under the target's model without the text that the n-gram is of."""
+    _, place, times = np.unique((text << BITS) + bucket, return_inverse=True, return_counts=True)
+    p_raw = ((raw + 1) / (raw.sum() + len(raw)))[bucket]
+    rest = target.sum() - np.bincount(text)[text]
+    return np.log((target[bucket] - times[place] + len(raw) * p_raw) / (rest + len(raw))) - np.log(p_raw)
+
+
+def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndarray] | None = None, fitted: str = ""):
+    """Adds the number of n-grams and the mean log ratio of a text column to rows.
+
+    With the ``counts`` of raw and target n-grams, texts where ``fitted`` is true count as left out of the target's model.
+    """
 
     def run(batches):
         process_store("text")
         for batch in batches:
             count, mean = [], []
+            own = batch[fitted].to_numpy(zero_copy_only=False).astype(bool) if counts else None
             for a, b, data, offsets in slices(batch[text_column]):
                 bucket, text = gram_buckets(data, offsets)
                 n = np.bincount(text, minlength=b - a)
+                value = ratio[bucket]
+                if counts:
+                    some = own[a:b][text]
+                    value[some] = left_out(*counts, bucket[some], text[some])
                 count.append(n)
-                mean.append(np.bincount(text, ratio[bucket], b - a) / np.maximum(n, 1))
+                mean.append(np.bincount(text, value, b - a) / np.maximum(n, 1))
             cols = [pa.array(np.concatenate(x or [np.zeros(0)]).astype(t)) for x, t in ((count, np.int64), (mean, np.float64))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_n_grams", "_log_ratio"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratio of target and raw probability of each bucket.
+def judged(labels: DataFrame) -> DataFrame:
+    """(_id, _good) of labelled documents, at most SAMPLE good and SAMPLE bad ones. Those with labels of both kinds are neither."""
+    quality = F.col("quality")
+    each = labels.where(F.col("doc_id").isNotNull() & quality.isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    each = each.agg(F.bool_or(quality == 1).alias("_good"), F.bool_or(quality == 0).alias("_bad")).where("_good != _bad")
+    some = [each.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for good in (True, False)]
+    return some[0].unionAll(some[1]).select("_id", "_good")
 
-    Raw counts are of all texts, target counts of the texts of at most SAMPLE labelled rows of quality 1. The target's
-    model starts from the raw one with as many pseudo-counts as there are buckets, so buckets without evidence weigh 0.
-    """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+
+def count(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams of all texts and of the good texts of ``sample`` fall into each bucket."""
+    good = sample.where("_good")
     flagged = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left")
     flagged = flagged.select("text", F.col("_id").isNotNull().alias("target"))
     counts = flagged.mapInArrow(count_grams, "bucket long, raw long, target long").groupBy("bucket")
     counts = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # one row a bucket
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[counts["bucket"].to_numpy(np.int64)], target[counts["bucket"].to_numpy(np.int64)] = counts["raw"], counts["target"]
+    return raw, target
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     p_raw = (raw + 1) / (raw.sum() + len(raw))
     p_target = (target + len(raw) * p_raw) / (target.sum() + len(raw))
     return np.log(p_target) - np.log(p_raw)
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """The log ratio of target and raw probability of each bucket.
+
+    Raw counts are of all texts, target counts of the texts of at most SAMPLE labelled rows of quality 1. The target's
+    model starts from the raw one with as many pseudo-counts as there are buckets, so buckets without evidence weigh 0.
+    """
+    return log_ratio(*count(docs, judged(labels)))
+
+
 def gumbel(seed: int, doc_id: Column, text: Column) -> Column:
     """Gumbel noise by doc_id and text, the same in each run."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """(row, n_grams, log_ratio, key) for the rows of ``docs``."""
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, counts: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(row, n_grams, log_ratio, key) for the rows of ``docs``; with ``counts``, those where ``_good`` is true are left out of the model."""
     plain = Plain(docs)
     noisy = plain.df.withColumn("_noise", gumbel(seed, plain["doc_id"], plain["text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in noisy.schema)
     text = plain.columns[plain.names.index("text")]
-    scored = noisy.mapInArrow(score(ratio, text), f"{fields}, `_n_grams` long, `_log_ratio` double")
+    fitted = plain.columns[plain.names.index("_good")] if counts else ""
+    scored = noisy.mapInArrow(score(ratio, text, counts, fitted), f"{fields}, `_n_grams` long, `_log_ratio` double")
     row = F.struct(*[F.col(c).alias(n) for c, n in zip(plain.columns, plain.names)]).alias("row")
     key = F.col("_log_ratio") * SHARPNESS + F.col("_noise")
     return scored.select(row, F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), key.alias("key"))
@@ -131,10 +165,34 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return high if low == high else low
 
 
+def cut_between(at: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float | None:
+    """Where to part numbers of good and bad rows by their score ``at``; none if they are not told apart.
+
+    The share of good rows below and that of bad rows above come to the least there, in the middle of the widest such gap.
+    """
+    order = np.argsort(at)
+    at, good, bad = at[order], good[order], bad[order]
+    if len(at) < 2 or not good.sum() or not bad.sum():
+        return None
+    wrong = (np.cumsum(good) / good.sum() + 1 - np.cumsum(bad) / bad.sum())[:-1]
+    best = np.flatnonzero(wrong < wrong.min() + 1e-9)
+    i = best[np.argmax(at[best + 1] - at[best])]
+    return float(at[i] + at[i + 1]) / 2 if wrong[i] < 1 else None
+
+
+def least_key(docs: DataFrame, sample: DataFrame, raw: np.ndarray, target: np.ndarray, seed: int) -> float | None:
+    """The key that parts good and bad texts of ``sample``, each scored by a model that has not seen it."""
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    keys = weigh(labelled, log_ratio(raw, target), seed, (raw, target)).where("n_grams > 0")
+    bins = keys.groupBy((F.round(F.col("key") * FINE) / FINE).alias("at"))
+    bins = bins.agg(*[F.sum((F.col("row._good") == x).cast("long")).alias(n) for x, n in ((True, "good"), (False, "bad"))]).toPandas()
+    return cut_between(*[bins[c].to_numpy(float) for c in ("at", "good", "bad")])
+
+
 def share_of_target(labels: DataFrame) -> float:
-    """The share of quality 1 among labelled rows, plus three standard errors, so that clean documents are not short of room."""
+    """The share of quality 1 among labelled rows."""
     good, n = labels.where(F.col("quality").isNotNull()).agg(F.sum((F.col("quality") == 1).cast("long")), F.count(F.lit(1))).first()
-    return min(1.0, good / n + 3 * math.sqrt(good / n * (1 - good / n) / n)) if n else 1.0
+    return good / n if n else 1.0
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29) -> DataFrame:
@@ -143,18 +201,27 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     ``docs`` needs doc_id and text, ``labels`` doc_id and quality; more columns pass through or are ignored. The
     importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams. Its
     logarithm per n-gram, times SHARPNESS, plus Gumbel noise is the key, and the rows of the largest keys are kept (Gumbel
-    top-k: a sample without replacement by importance): ``share`` of all rows, by default that of quality 1 among
-    labels. Rows that tie with the last key kept are kept, so repeated rows share their fate. Null, empty and shorter texts
-    than an n-gram have ratio 0. Without labels all rows stay. Empty input: empty result.
+    top-k: a sample without replacement by importance). How many is read off the keys: all from the one on that parts good
+    and bad labelled texts, whatever the number of labels; or ``share`` of all rows where that is given. Where labels know
+    one kind only, or keys do not tell the two apart, the share is that of quality 1 among labels. Rows that tie with
+    the last key kept are kept, so repeated rows share their fate. Null, empty and shorter texts than an n-gram have
+    ratio 0; as nothing speaks against them, they are on no side of the cut and stay. Without labels all rows stay. Empty
+    input: empty result.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
-    ratio = fit(docs, labels)
-    share = share_of_target(labels) if share is None else share
+    sample = scratch.table(judged(labels), "judged")
+    raw, target = count(docs, sample)
+    ratio = log_ratio(raw, target)
     scored = weigh(docs, ratio, seed)
-    keys = scratch.table(weigh(docs.select("doc_id", "text"), ratio, seed).select("key"), "keys")
-    least = kth_largest(keys, "key", math.ceil(share * keys.count()))
-    return scored.withColumn("kept", F.col("key") >= F.lit(least if least is not None else math.inf))
+    if share is None and (least := least_key(docs, sample, raw, target, seed)) is not None:
+        kept = (F.col("key") >= least) | (F.col("n_grams") == 0)
+    else:
+        share = share_of_target(labels) if share is None else share
+        keys = scratch.table(weigh(docs.select("doc_id", "text"), ratio, seed).select("key"), "keys")
+        least = kth_largest(keys, "key", math.ceil(share * keys.count()))
+        kept = F.col("key") >= F.lit(least if least is not None else math.inf)
+    return scored.withColumn("kept", kept)
 
 
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

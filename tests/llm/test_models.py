@@ -101,6 +101,28 @@ def test_quality_weights(docs_of, spark):
         assert ratio[bucket(g)] == pytest.approx(math.log(p_target / p_raw))
 
 
+def test_quality_follows_the_corpus(docs_of, spark):
+    """The cut is the same for few labels and many, and a corpus of mostly junk loses its junk."""
+    words, noise = ["the", "quiet", "river", "runs", "along", "hills"], ["BUY!!", "NOW!!", "$$$", "CLICK!!"]
+    good = [(i, " ".join(rng.choices(words, k=40))) for i in range(100)]
+    junk = [(1000 + i, " ".join(rng.choices(noise, k=40))) for i in range(300)]
+    for n in (4, 60):
+        labels = labels_of(spark, [(i, 1, 0) for i in range(3 * n // 2)] + [(1000 + i, 0, 0) for i in range(n // 2)])
+        kept = {r["row"]["doc_id"] for r in quality.resample(docs_of(good + junk), labels).where("kept").collect()}
+        assert kept == {i for i, _ in good}
+    assert quality.cut_between(np.array([3.0, 1.0, 9.0, 8.0]), np.array([0, 0, 5, 2]), np.array([2, 7, 0, 0])) == 5.5
+    assert quality.cut_between(np.array([1.0, 2.0]), np.array([1, 1]), np.array([0, 0])) is None
+
+
+def test_left_out(docs_of):
+    """A model without a text is that of the others."""
+    data, offsets = np.frombuffer(b"abcdefabcdefxyzxyz", np.uint8), np.array([0, 12, 18])
+    bucket, text = quality.gram_buckets(data, offsets)
+    raw = np.bincount(bucket, minlength=1 << quality.BITS).astype(float)
+    without = quality.log_ratio(raw, np.bincount(bucket[text == 1], minlength=len(raw)))
+    assert quality.left_out(raw, raw, bucket, text)[text == 0] == pytest.approx(without[bucket[text == 0]])
+
+
 @pytest.mark.parametrize("k", [1, 7, 50, 99, 100, 500])
 def test_kth_largest(spark, k):
     values = [rng.choice([0.0, 1.5, -2.0, rng.gauss(0, 1), 1e9]) for _ in range(100)]
