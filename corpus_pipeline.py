@@ -13,9 +13,9 @@ from notewarp.llm.common import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps and that are not toxic."""
     found = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.where("kept").select("row.*")
+    return found.where("kept and not toxic").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

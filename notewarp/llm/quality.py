@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Plain, Scratch, by_value, process_store, small_batches
-from .textnp import slices
+from .textnp import LOWER, Words, slices
 
 by_value(__name__)
 
@@ -20,6 +20,11 @@ GRAM, BITS = 5, 18
 SAMPLE = 20_000
 #: How much the mean log ratio weighs against the Gumbel noise, and the bins a unit of scores that a cut is placed by.
 SHARPNESS, FINE = 200.0, 8
+#: Bits of the bucket of a word, and how many labelled documents of either kind a word is taken to be in besides.
+WORD_BITS, PRIOR = 20, 1
+#: What is no letter parts words, case aside.
+LETTERS = LOWER.copy()
+LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 32
 #: Digits count as one character.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[48:58] = 48
@@ -63,8 +68,64 @@ def left_out(raw: np.ndarray, target: np.ndarray, bucket: np.ndarray, text: np.n
     return np.log((target[bucket] - times[place] + len(raw) * p_raw) / (rest + len(raw))) - np.log(p_raw)
 
 
-def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndarray] | None = None, fitted: str = ""):
-    """Adds the number of n-grams and the mean log ratio of a text column to rows.
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word of each text, and the text it is of."""
+    words = Words(LETTERS[data], offsets, False)
+    bucket = (words.hashes() >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    return bucket, np.repeat(np.arange(len(offsets) - 1), words.count())
+
+
+def greatest(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The greatest value of the words of each of n texts, 0 at least."""
+    out = np.zeros(n)
+    np.maximum.at(out, text, value)
+    return out
+
+
+def count_words(batches):
+    """Rows (bucket, toxic texts, clean texts) with a word of the bucket, one set a task. Bucket -1 has all texts."""
+    process_store("text")
+    toxic, clean = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+    texts = np.zeros(2, np.int64)
+    for batch in batches:
+        chosen = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
+        texts += chosen.sum(), (~chosen).sum()
+        for a, b, data, offsets in slices(batch["text"]):
+            bucket, text = word_buckets(data, offsets)
+            both = np.unique((text << WORD_BITS) + bucket)  # a word counts once a text
+            bucket, of = both & ((1 << WORD_BITS) - 1), chosen[a:b][both >> WORD_BITS]
+            toxic += np.bincount(bucket[of], minlength=len(toxic))
+            clean += np.bincount(bucket[~of], minlength=len(clean))
+    at = np.flatnonzero(toxic + clean)
+    cols = [np.append(at, -1), np.append(toxic[at], texts[0]), np.append(clean[at], texts[1])]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "toxic", "clean"])
+
+
+def tone(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
+    """The log ratio of the rates of toxic and clean texts that have a word, of the numbers that have it and of all."""
+    n = sum(texts)
+    return np.log(toxic * n / texts[0] + PRIOR) - np.log(clean * n / texts[1] + PRIOR)
+
+
+def tone_left_out(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]):
+    """Rows (toxicity, toxic) of labelled texts, each without its own part in the numbers."""
+
+    def run(batches):
+        process_store("text")
+        for batch in batches:
+            chosen, most = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool), [np.zeros(0)]
+            for a, b, data, offsets in slices(batch["text"]):
+                bucket, text = word_buckets(data, offsets)
+                of = chosen[a:b][text]
+                value = tone(np.maximum(toxic[bucket] - of, 0), np.maximum(clean[bucket] - ~of, 0), texts)
+                most.append(greatest(value, text, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(most)), batch["toxic"]], ["toxicity", "toxic"])
+
+    return run
+
+
+def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndarray] | None = None, fitted: str = "", words: np.ndarray | None = None):
+    """Adds the number of n-grams and the mean log ratio of a text column to rows, and the greatest of ``words``, the tones by bucket.
 
     With the ``counts`` of raw and target n-grams, texts where ``fitted`` is true count as left out of the target's model.
     """
@@ -72,7 +133,7 @@ def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndar
     def run(batches):
         process_store("text")
         for batch in batches:
-            count, mean = [], []
+            count, mean, most = [], [], []
             own = batch[fitted].to_numpy(zero_copy_only=False).astype(bool) if counts else None
             for a, b, data, offsets in slices(batch[text_column]):
                 bucket, text = gram_buckets(data, offsets)
@@ -83,19 +144,31 @@ def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndar
                     value[some] = left_out(*counts, bucket[some], text[some])
                 count.append(n)
                 mean.append(np.bincount(text, value, b - a) / np.maximum(n, 1))
-            cols = [pa.array(np.concatenate(x or [np.zeros(0)]).astype(t)) for x, t in ((count, np.int64), (mean, np.float64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_n_grams", "_log_ratio"])
+                if words is None:
+                    most.append(np.zeros(b - a))
+                else:
+                    bucket, text = word_buckets(data, offsets)
+                    most.append(greatest(words[bucket], text, b - a))
+            cols = [pa.array(np.concatenate(x or [np.zeros(0)]).astype(t)) for x, t in ((count, np.int64), (mean, np.float64), (most, np.float64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_n_grams", "_log_ratio", "_toxicity"])
 
     return run
 
 
 def judged(labels: DataFrame) -> DataFrame:
-    """(_id, _good) of labelled documents, at most SAMPLE good and SAMPLE bad ones. Those with labels of both kinds are neither."""
-    quality = F.col("quality")
-    each = labels.where(F.col("doc_id").isNotNull() & quality.isNotNull()).groupBy(F.col("doc_id").alias("_id"))
-    each = each.agg(F.bool_or(quality == 1).alias("_good"), F.bool_or(quality == 0).alias("_bad")).where("_good != _bad")
-    some = [each.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for good in (True, False)]
-    return some[0].unionAll(some[1]).select("_id", "_good")
+    """(_id, _good, _toxic) of labelled documents, at most SAMPLE of each kind.
+
+    Good are those of quality 1 that are not toxic; those toxic only are neither good nor bad (null), those with labels
+    of both qualities are left out.
+    """
+    quality, toxic = F.col("quality"), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    each = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    each = each.agg(F.bool_or(quality == 1).alias("one"), F.bool_or(quality == 0).alias("zero"), F.bool_or(toxic).alias("_toxic"))
+    good = F.when(F.col("zero") & ~F.col("one"), False).when(F.col("one") & ~F.col("zero") & ~F.col("_toxic"), True)
+    each = each.select("_id", good.alias("_good"), "_toxic").where("_good is not null or _toxic")
+    kinds = ("_good", "not _good and not _toxic", "_toxic")
+    some = [each.where(k).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for k in kinds]
+    return some[0].unionAll(some[1]).unionAll(some[2])
 
 
 def count(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +192,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of target and raw probability of each bucket.
 
-    Raw counts are of all texts, target counts of the texts of at most SAMPLE labelled rows of quality 1. The target's
+    Raw counts are of all texts, target counts of the texts of at most SAMPLE labelled rows of quality 1 that are not toxic. The target's
     model starts from the raw one with as many pseudo-counts as there are buckets, so buckets without evidence weigh 0.
     """
     return log_ratio(*count(docs, judged(labels)))
@@ -131,17 +204,17 @@ def gumbel(seed: int, doc_id: Column, text: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, counts: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(row, n_grams, log_ratio, key) for the rows of ``docs``; with ``counts``, those where ``_good`` is true are left out of the model."""
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, counts: tuple | None = None, words: np.ndarray | None = None) -> DataFrame:
+    """(row, n_grams, log_ratio, toxicity, key) for the rows of ``docs``; with ``counts``, those where ``_good`` is true are left out of the model."""
     plain = Plain(docs)
     noisy = plain.df.withColumn("_noise", gumbel(seed, plain["doc_id"], plain["text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in noisy.schema)
     text = plain.columns[plain.names.index("text")]
     fitted = plain.columns[plain.names.index("_good")] if counts else ""
-    scored = noisy.mapInArrow(score(ratio, text, counts, fitted), f"{fields}, `_n_grams` long, `_log_ratio` double")
+    scored = noisy.mapInArrow(score(ratio, text, counts, fitted, words), f"{fields}, `_n_grams` long, `_log_ratio` double, `_toxicity` double")
     row = F.struct(*[F.col(c).alias(n) for c, n in zip(plain.columns, plain.names)]).alias("row")
     key = F.col("_log_ratio") * SHARPNESS + F.col("_noise")
-    return scored.select(row, F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), key.alias("key"))
+    return scored.select(row, *[F.col(f"_{n}").alias(n) for n in ("n_grams", "log_ratio", "toxicity")], key.alias("key"))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -182,23 +255,50 @@ def cut_between(at: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float | No
 
 def least_key(docs: DataFrame, sample: DataFrame, raw: np.ndarray, target: np.ndarray, seed: int) -> float | None:
     """The key that parts good and bad texts of ``sample``, each scored by a model that has not seen it."""
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.where("_good is not null")), F.col("doc_id") == F.col("_id"))
     keys = weigh(labelled, log_ratio(raw, target), seed, (raw, target)).where("n_grams > 0")
     bins = keys.groupBy((F.round(F.col("key") * FINE) / FINE).alias("at"))
     bins = bins.agg(*[F.sum((F.col("row._good") == x).cast("long")).alias(n) for x, n in ((True, "good"), (False, "bad"))]).toPandas()
     return cut_between(*[bins[c].to_numpy(float) for c in ("at", "good", "bad")])
 
 
+def toxic_words(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray | None, float]:
+    """The tone of each bucket of words, and the value of a toxic text's greatest; none and infinity where labels cannot tell.
+
+    The value parts the toxic and the other texts of ``sample`` best, each scored without its own part in the numbers.
+    """
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    counts = known.mapInArrow(count_words, "bucket long, toxic long, clean long").groupBy("bucket")
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0 or bucket = -1").toPandas()  # one row a bucket
+    every = counts["bucket"] == -1
+    texts, at = (int(counts["toxic"][every].sum()), int(counts["clean"][every].sum())), counts["bucket"][~every].to_numpy(np.int64)
+    if not min(texts):
+        return None, math.inf
+    toxic, clean = np.zeros(1 << WORD_BITS, np.int32), np.zeros(1 << WORD_BITS, np.int32)
+    toxic[at], clean[at] = counts["toxic"][~every], counts["clean"][~every]
+    bins = known.mapInArrow(tone_left_out(toxic, clean, texts), "toxicity double, toxic boolean")
+    bins = bins.groupBy((F.round(F.col("toxicity") * 64) / 64).alias("at")).agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(n) for x, n in ((True, "toxic"), (False, "clean"))])
+    least = cut_between(*[c.to_numpy(float) for _, c in bins.toPandas()[["at", "toxic", "clean"]].items()])
+    return tone(toxic, clean, texts).astype(np.float32), math.inf if least is None else least
+
+
+def share_of_toxic_kept(found: DataFrame, labels: DataFrame) -> float | None:
+    """The share of documents labelled toxic among the rows (doc_id, kept) of ``found`` that are kept."""
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    return found.join(toxic, "doc_id").agg(F.avg(F.col("kept").cast("double"))).first()[0]
+
+
 def share_of_target(labels: DataFrame) -> float:
-    """The share of quality 1 among labelled rows."""
-    good, n = labels.where(F.col("quality").isNotNull()).agg(F.sum((F.col("quality") == 1).cast("long")), F.count(F.lit(1))).first()
+    """The share of quality 1, toxic ones apart, among labelled rows."""
+    good = (F.col("quality") == 1) & F.coalesce(F.col("toxic") != 1, F.lit(True))
+    good, n = labels.where(F.col("quality").isNotNull()).agg(F.sum(good.cast("long")), F.count(F.lit(1))).first()
     return good / n if n else 1.0
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29) -> DataFrame:
-    """(row, n_grams, log_ratio, key, kept) for every row of ``docs``, which is the struct ``row``.
+    """(row, n_grams, log_ratio, toxicity, key, toxic, kept) for every row of ``docs``, which is the struct ``row``.
 
-    ``docs`` needs doc_id and text, ``labels`` doc_id and quality; more columns pass through or are ignored. The
+    ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic; more columns pass through or are ignored. The
     importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams. Its
     logarithm per n-gram, times SHARPNESS, plus Gumbel noise is the key, and the rows of the largest keys are kept (Gumbel
     top-k: a sample without replacement by importance). How many is read off the keys: all from the one on that parts good
@@ -207,13 +307,18 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     the last key kept are kept, so repeated rows share their fate. Null, empty and shorter texts than an n-gram have
     ratio 0; as nothing speaks against them, they are on no side of the cut and stay. Without labels all rows stay. Empty
     input: empty result.
+
+    ``kept`` is by quality alone; callers drop what is ``toxic`` besides. Toxicity is the greatest log ratio of a word, how
+    much more often labelled toxic texts have it than others, 0 at least: a mean over a text would drown a few words.
+    Toxic is what reaches the value that parts the two. Toxic labels are no part of the target.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     sample = scratch.table(judged(labels), "judged")
     raw, target = count(docs, sample)
     ratio = log_ratio(raw, target)
-    scored = weigh(docs, ratio, seed)
+    words, bound = toxic_words(docs, sample)
+    scored = weigh(docs, ratio, seed, words=words).withColumn("toxic", F.col("toxicity") >= F.lit(bound))
     if share is None and (least := least_key(docs, sample, raw, target, seed)) is not None:
         kept = (F.col("key") >= least) | (F.col("n_grams") == 0)
     else:
@@ -227,4 +332,5 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = resample(docs.select("doc_id", "text"), labels)
-    return out.select("row.doc_id", "n_grams", "log_ratio", F.col("key").alias("gumbel_key"), "kept")
+    kept = (F.col("kept") & ~F.col("toxic")).alias("kept")
+    return out.select("row.doc_id", "n_grams", "log_ratio", F.col("key").alias("gumbel_key"), kept, "toxicity", "toxic")

@@ -123,6 +123,27 @@ def test_left_out(docs_of):
     assert quality.left_out(raw, raw, bucket, text)[text == 0] == pytest.approx(without[bucket[text == 0]])
 
 
+def test_toxic(docs_of, spark):
+    """Toxic words tell in clean prose, in documents without a label too."""
+    words = ["the", "quiet", "river", "runs", "along", "hills"]
+    clean = [(i, " ".join(rng.choices(words, k=60))) for i in range(200)]
+    toxic = [(1000 + i, x.replace(" runs", " you MORON,", 2) + " runs runs") for i, x in clean[:60]]
+    junk = [(2000 + i, " ".join(rng.choices(["BUY!!", "NOW!!", "$$$"], k=40))) for i in range(40)]
+    labels = labels_of(spark, [(i, 1, 0) for i in range(100)] + [(1000 + i, 1, 1) for i in range(30)] + [(2000 + i, 0, 0) for i in range(20)])
+    out = quality.resample(docs_of([*clean, *toxic, *junk, (None, None), (3000, "")]), labels)
+    assert {r["row"]["doc_id"] for r in out.where("kept and not toxic").collect()} == {i for i, _ in clean} | {None, 3000}
+    assert quality.share_of_toxic_kept(out.selectExpr("row.doc_id", "kept and not toxic kept"), labels) == 0
+    assert quality.share_of_target(labels) == 100 / 150
+    assert quality.resample(docs_of(clean + toxic), labels.where("toxic = 0")).where("toxic").count() == 0
+
+
+def test_toxic_documents(spark):
+    path = "/root/testdata/sf0.01"
+    out = quality.op8_quality_resampling(spark, path)
+    assert out.join(spark.read.parquet(f"{path}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").where("not kept").count() <= 15
+    assert quality.share_of_toxic_kept(out, spark.read.parquet(f"{path}/labels.parquet")) < 0.1
+
+
 @pytest.mark.parametrize("k", [1, 7, 50, 99, 100, 500])
 def test_kth_largest(spark, k):
     values = [rng.choice([0.0, 1.5, -2.0, rng.gauss(0, 1), 1e9]) for _ in range(100)]
