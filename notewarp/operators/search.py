@@ -15,7 +15,8 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.terms import case_variants
 
-HIT = ("file_path", "chunk_id", "file_type", "score", "snippet")
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 1024
 
 
 def of_type(chunks: DataFrame, file_type: str | None) -> DataFrame:
@@ -27,22 +28,39 @@ def ranked(hits: DataFrame, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def shown(cosine: str) -> Column:
+    return F.round(cosine, 4).alias("score")
+
+
 def semantic(chunks: DataFrame, vector: list[float], n: int = 10, file_type: str | None = None, chars: int = 300) -> DataFrame:
-    """The n chunks of the largest cosine, exact, ties by chunk_id. Zero vectors come last. A scan and a top-k, no shuffle."""
-    found = of_type(chunks, file_type).withColumn("score", F.round(V.cosine(F.col("embedding"), V.literal(vector)), 4))
-    order = [F.col("score").desc_nulls_last(), F.col("chunk_id")]
-    found = found.select("file_path", "chunk_id", "file_type", "score", X.snippet(F.col("text"), chars).alias("snippet"))
-    return ranked(found.orderBy(*order).limit(n), *order)
+    """The n chunks of the largest cosine, exact, ties by chunk_id. Zero vectors come last. A scan and a top-k, no shuffle.
+
+    The order is that of the cosine itself; only the reported score is rounded.
+    """
+    found = of_type(chunks, file_type).withColumn("_near", V.cosine(F.col("embedding"), V.literal(vector)))
+    order = [F.col("_near").desc_nulls_last(), F.col("chunk_id")]
+    found = found.select("file_path", "chunk_id", "file_type", shown("_near"), X.snippet(F.col("text"), chars).alias("snippet"), "_near")
+    return ranked(found.orderBy(*order).limit(n), *order).drop("_near")
 
 
 def semantic_batch(chunks: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """``semantic`` for a table of queries (query_id, vector): the n best of each by a ranked window with its partial limit.
 
-    The queries go to all tasks, so they must be few; callers with many split them.
+    The queries are stated ones that go to all tasks, in blocks of QUERY_BLOCK rows by a count of them: each block is an
+    array that every chunk is compared with, and what leaves a task is n rows for each query at most.
     """
-    pairs = chunks.join(queries, how="cross").withColumn("score", F.round(V.cosine(F.col("embedding"), F.col("vector")), 4))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("query_id", "rank", "chunk_id", "score")
+    numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = -(-numbered.count() // QUERY_BLOCK)
+    found = None
+    for i in range(max(1, blocks)):
+        block = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == i)
+        block = block.agg(F.collect_list(F.struct("query_id", "vector")).alias("_asked"))
+        pairs = chunks.select("chunk_id", "embedding").join(F.broadcast(block)).select("chunk_id", "embedding", F.explode("_asked").alias("_q"))
+        pairs = pairs.select("_q.query_id", "chunk_id", V.cosine(F.col("embedding"), F.col("_q.vector")).alias("_near"))
+        found = pairs if found is None else found.unionByName(pairs)
+    order = Window.partitionBy("query_id").orderBy(F.col("_near").desc_nulls_last(), "chunk_id")
+    found = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+    return found.select("query_id", "rank", "chunk_id", shown("_near"))
 
 
 def matches(term: str, text: Column, match: str = "variants") -> Column:

@@ -11,7 +11,7 @@ from ..operators import search
 from ..operators.embed import prefixed
 from . import tables as t
 
-COSINE = "round(list_cosine_similarity(v.embedding, q.embedding), 4)"
+COSINE = "list_cosine_similarity(v.embedding, q.embedding)"
 
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ QUERIES = {
 def _semantic_sql(n: int, where: str = "true") -> str:
     return f"""
 WITH {t.VECTORS_SQL}, q AS (SELECT embedding FROM vectors WHERE vec_id = 7),
-s AS (SELECT v.chunk_id, v.file_type, {COSINE} AS score FROM vectors v, q WHERE {where})
-SELECT row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, chunk_id, file_type, score FROM s ORDER BY score DESC, chunk_id LIMIT {n}"""
+s AS (SELECT v.chunk_id, v.file_type, {COSINE} AS near FROM vectors v, q WHERE {where})
+SELECT row_number() OVER (ORDER BY near DESC, chunk_id) AS rank, chunk_id, file_type, round(near, 4) AS score FROM s ORDER BY near DESC, chunk_id LIMIT {n}"""
 
 
 def _lexical_sql(terms: list[str], n: int, where: str = "true", chars: int = 300, ci: bool = False) -> str:
@@ -111,21 +111,21 @@ SQL = {
     "semantic_topk": _semantic_sql(10),
     "semantic_topk_filtered": _semantic_sql(5, "v.file_type = '3'"),
     "semantic_batch_topk": f"""
-WITH {t.VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, v.chunk_id, {COSINE} AS score FROM vectors v, vectors q WHERE q.vec_id < 4)
-SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
+WITH {t.VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, v.chunk_id, {COSINE} AS near FROM vectors v, vectors q WHERE q.vec_id < 4)
+SELECT query_id, rank, chunk_id, round(near, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "lexical_topk": _lexical_sql(["License", "token", "reer", "erthly"], 20),
     "lexical_filtered": _lexical_sql(["license", "reer"], 15, "file_type = 'en'", 50),
     "lexical_repeat_term": _lexical_sql(["token", "token"], 10),
     "lexical_ci": _lexical_sql(["license"], 25, ci=True),
     "hybrid_search": f"""
 WITH {t.VECTORS_SQL}, c AS (SELECT v.*, d.text FROM vectors v JOIN documents d ON d.doc_id = v.vec_id), q AS (SELECT embedding FROM vectors WHERE vec_id = 7),
-lex AS (SELECT chunk_id, CAST(0.8 AS DOUBLE) AS score, 1 AS match_terms FROM c
+lex AS (SELECT chunk_id, CAST(0.8 AS DOUBLE) AS near, 1 AS match_terms FROM c
   WHERE contains(text, 'License') OR contains(text, 'license') OR contains(text, 'LICENSE') ORDER BY chunk_id LIMIT 12),
-sem AS (SELECT v.chunk_id, {COSINE} AS score FROM c v, q ORDER BY score DESC, chunk_id LIMIT 36),
-both_ AS (SELECT 0 AS part, chunk_id, score, 'lexical' AS source, CAST(match_terms AS BIGINT) AS match_terms FROM lex
-  UNION ALL SELECT 1, chunk_id, score, 'semantic', NULL FROM sem WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.chunk_id = sem.chunk_id)),
-o AS (SELECT row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN 0 ELSE -score END, chunk_id) AS rank, * FROM both_)
-SELECT rank, chunk_id, score, source, match_terms FROM o WHERE rank <= 12""",
+sem AS (SELECT v.chunk_id, {COSINE} AS near FROM c v, q ORDER BY near DESC, chunk_id LIMIT 36),
+both_ AS (SELECT 0 AS part, chunk_id, near, 'lexical' AS source, CAST(match_terms AS BIGINT) AS match_terms FROM lex
+  UNION ALL SELECT 1, chunk_id, near, 'semantic', NULL FROM sem WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.chunk_id = sem.chunk_id)),
+o AS (SELECT row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN 0 ELSE -near END, chunk_id) AS rank, * FROM both_)
+SELECT rank, chunk_id, round(near, 4) AS score, source, match_terms FROM o WHERE rank <= 12""",
     "term_extract": f"""
 WITH w AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: rtrim(w, '.,;:!?')),
   lambda w: w <> '' AND (regexp_matches(w, '[一-鿿぀-ヿ]') OR (length(w) >= 2 AND NOT list_contains([{_STOP}], lower(w))))) AS terms FROM benchmark)

@@ -55,6 +55,18 @@ def test_semantic_order_opposite_and_zero_vectors(chunks):
     assert ids(search.semantic(chunks, [1.0, 0.0], file_type="text", n=2)) == ["A", "B"]
 
 
+def test_order_is_by_the_cosine_not_by_the_rounded_score(spark):
+    rows = [("a", [1.0, 0.004]), ("b", [1.0, 0.0]), ("c", [1.0, 0.002])]
+    df = spark.createDataFrame([(i, i, "text", "x", v) for i, v in rows], "chunk_id string, file_path string, file_type string, text string, embedding array<double>")
+    hits = search.semantic(df, [1.0, 0.0], 2).orderBy("rank").collect()
+    assert [h["chunk_id"] for h in hits] == ["b", "c"] and {h["score"] for h in hits} == {1.0}
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "query_id long, vector array<double>")
+    batch = search.semantic_batch(df, queries, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in batch] == [(i, c) for i in range(5) for c in "bc"]
+    assert search.semantic_batch(df, queries.where("false")).collect() == []
+    assert [h["chunk_id"] for h in search.hybrid(df, [1.0, 0.0], [], 2).orderBy("rank").collect()] == ["b", "c"]
+
+
 def test_hybrid_lexical_first_without_repeats(spark):
     rows = [("a", 0.75), ("b", 0.70), ("d", 0.60), ("c", 0.1)]
     vec = lambda s: [s, (1 - s * s) ** 0.5]
