@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -45,17 +46,32 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where that is unset a local master gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="notewarp-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
-    """Hands rows to Python workers in batches of about ``size`` bytes, so that long texts don't add up in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20):
+    """Hands rows to Python workers in batches of about ``size`` bytes, so that long texts don't add up in memory.
+
+    Holds for what is run inside; the setting is put back afterwards, so results that need it must be written inside.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 class Scratch:
@@ -65,8 +81,11 @@ class Scratch:
     what led to them. ``free`` deletes the tables that no later step reads.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -80,12 +99,23 @@ class Scratch:
         return self.spark.read.parquet(self.path(name))
 
     def free(self, *names: str) -> None:
+        """Deletes the tables of these names, or without any the whole folder."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for at in [self.path(n) for n in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing():
+    """Deletes on leaving every scratch folder that was opened inside: for steps whose result has been written elsewhere."""
+    first = len(Scratch.opened)
+    yield
+    for scratch in Scratch.opened[first:]:
+        scratch.free()
+    del Scratch.opened[first:]
+
+
 class Plain:
     """A table under column names of our own, so that none of its own can clash with those that an operator adds."""
 
@@ -104,8 +134,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(scratch: Scratch, df: DataFrame, order: list, value: str, out: str, name: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before this one in the global ``order``.
+#: Keys that one join treats as hot at most.
+HOT = 1024
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``count`` the rows of ``left`` with that key.
+
+    Keys with more than a HOT-th of the ``total`` rows of ``left`` are HOT at most, so their rows of ``right`` are
+    broadcast and their rows of ``left`` stay where they are; all other keys meet in a shuffle. ``count`` goes.
+    """
+    most = max(1, total // HOT)
+    hot, cold = right.where(F.col(count) > most).drop(count), right.where(F.col(count) <= most).drop(count)
+    some = left.join(F.broadcast(hot), keys)
+    return some.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
+def running_total(scratch: Scratch, df: DataFrame, order: list, values: dict[str, str], name: str) -> DataFrame:
+    """Adds for each (column, out) of ``values`` the sum of the column over all rows before this one in the global ``order``.
 
     The rows are dealt by range and written; the totals of the ranges, one row per partition, are summed; a window
     inside each range adds the rest. No task sees more than one range.
@@ -118,15 +164,14 @@ def running_total(scratch: Scratch, df: DataFrame, order: list, value: str, out:
         .withColumn("_seq", F.monotonically_increasing_id())
     )
     dealt = scratch.table(dealt, name)
-    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))
+    zero = {v: F.lit(0).cast(dealt.schema[v].dataType if dealt.schema[v].dataType.typeName() == "double" else "long") for v in values}
+    parts = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_total_{v}").over(before), zero[v]).alias(f"_base_{v}") for v in values])
     inside = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.join(parts, "_part")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_part", "_seq", "_base")
-    )
+    summed = dealt.join(F.broadcast(parts), "_part")  # one row a partition
+    summed = summed.withColumns({out: F.col(f"_base_{v}") + F.coalesce(F.sum(v).over(inside), zero[v]) for v, out in values.items()})
+    return summed.drop("_part", "_seq", *[f"_base_{v}" for v in values])
 
 
 by_value(__name__)

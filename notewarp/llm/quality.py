@@ -18,8 +18,8 @@ by_value(__name__)
 GRAM, BITS = 5, 18
 #: Labelled rows that the target's model is fitted on at most, those of the least hashes of doc_id.
 SAMPLE = 20_000
-#: How much the mean log ratio weighs against the Gumbel noise, and the bins a unit of scores that a cut is placed by.
-SHARPNESS, FINE = 200.0, 8
+#: Bins a unit of keys and of toxicity that a cut is placed by.
+FINE, FINE_TONE = 8, 64
 #: Bits of the bucket of a word, and how many labelled documents of either kind a word is taken to be in besides.
 WORD_BITS, PRIOR = 20, 1
 #: What is no letter parts words, case aside.
@@ -46,18 +46,30 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h[at].astype(np.int64), text
 
 
-def count_grams(batches):
-    """Rows (bucket, n-grams of all texts, n-grams of target texts), one set a task."""
+def count_both(batches):
+    """Rows (kind, bucket, a, b), one set a task. Kind g: n-grams of all texts and of good ones. Kind w: labelled toxic
+    and other texts with a word of the bucket; bucket -1 has all texts."""
     process_store("text")
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    toxic, clean, texts = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        chosen = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
+        good, known, bad = (batch[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("good", "known", "toxic"))
         for a, b, data, offsets in slices(batch["text"]):
             bucket, text = gram_buckets(data, offsets)
             raw += np.bincount(bucket, minlength=len(raw))
-            target += np.bincount(bucket[chosen[a:b][text]], minlength=len(raw))
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+            target += np.bincount(bucket[good[a:b][text]], minlength=len(raw))
+        some = np.flatnonzero(known)
+        for a, b, data, offsets in slices(batch["text"].take(pa.array(some))):
+            bucket, text = word_buckets(data, offsets)
+            both = np.unique((text << WORD_BITS) + bucket)  # a word counts once a text
+            bucket, of = both & ((1 << WORD_BITS) - 1), bad[some[a:b]][both >> WORD_BITS]
+            toxic += np.bincount(bucket[of], minlength=len(toxic))
+            clean += np.bincount(bucket[~of], minlength=len(clean))
+        texts += (known & bad).sum(), (known & ~bad).sum()
+    for kind, x, y in (("g", raw, target), ("w", toxic, clean)):
+        at = np.flatnonzero(x + y)
+        cols = [at, x[at], y[at]] if kind == "g" else [np.append(at, -1), np.append(x[at], texts[0]), np.append(y[at], texts[1])]
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(cols[0]), pa.string()), *map(pa.array, cols)], ["kind", "bucket", "a", "b"])
 
 
 def left_out(raw: np.ndarray, target: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -82,75 +94,53 @@ def greatest(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def count_words(batches):
-    """Rows (bucket, toxic texts, clean texts) with a word of the bucket, one set a task. Bucket -1 has all texts."""
-    process_store("text")
-    toxic, clean = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
-    texts = np.zeros(2, np.int64)
-    for batch in batches:
-        chosen = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
-        texts += chosen.sum(), (~chosen).sum()
-        for a, b, data, offsets in slices(batch["text"]):
-            bucket, text = word_buckets(data, offsets)
-            both = np.unique((text << WORD_BITS) + bucket)  # a word counts once a text
-            bucket, of = both & ((1 << WORD_BITS) - 1), chosen[a:b][both >> WORD_BITS]
-            toxic += np.bincount(bucket[of], minlength=len(toxic))
-            clean += np.bincount(bucket[~of], minlength=len(clean))
-    at = np.flatnonzero(toxic + clean)
-    cols = [np.append(at, -1), np.append(toxic[at], texts[0]), np.append(clean[at], texts[1])]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "toxic", "clean"])
-
-
 def tone(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
     """The log ratio of the rates of toxic and clean texts that have a word, of the numbers that have it and of all."""
     n = sum(texts)
     return np.log(toxic * n / texts[0] + PRIOR) - np.log(clean * n / texts[1] + PRIOR)
 
 
-def tone_left_out(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]):
-    """Rows (toxicity, toxic) of labelled texts, each without its own part in the numbers."""
-
-    def run(batches):
-        process_store("text")
-        for batch in batches:
-            chosen, most = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool), [np.zeros(0)]
-            for a, b, data, offsets in slices(batch["text"]):
-                bucket, text = word_buckets(data, offsets)
-                of = chosen[a:b][text]
-                value = tone(np.maximum(toxic[bucket] - of, 0), np.maximum(clean[bucket] - ~of, 0), texts)
-                most.append(greatest(value, text, b - a))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(most)), batch["toxic"]], ["toxicity", "toxic"])
+class Models:
+    """Counts of n-grams (all texts, good ones) and of words (toxic texts, others), and the log ratios of each bucket."""
 
-    return run
+    def __init__(self, raw: np.ndarray, target: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]):
+        self.raw, self.target, self.toxic, self.clean, self.texts = raw, target, toxic, clean, texts
+        self.ratio = log_ratio(raw, target)
+        self.tone = tone(toxic, clean, texts).astype(np.float32) if min(texts) else None
 
 
-def score(ratio: np.ndarray, text_column: str, counts: tuple[np.ndarray, np.ndarray] | None = None, fitted: str = "", words: np.ndarray | None = None):
-    """Adds the number of n-grams and the mean log ratio of a text column to rows, and the greatest of ``words``, the tones by bucket.
+def score(models: Models, text_column: str, good_column: str, toxic_column: str):
+    """Scores rows and drops their text.
 
-    With the ``counts`` of raw and target n-grams, texts where ``fitted`` is true count as left out of the target's model.
+    Adds the number of n-grams, the sum of their log ratios and the greatest tone of a word; for labelled rows besides
+    the same sum, the sum of squares and the greatest tone under models that have not seen the text.
     """
 
     def run(batches):
         process_store("text")
         for batch in batches:
-            count, mean, most = [], [], []
-            own = batch[fitted].to_numpy(zero_copy_only=False).astype(bool) if counts else None
+            good, toxic = (batch[c].to_numpy(zero_copy_only=False) for c in (good_column, toxic_column))
+            fitted, known, bad = good == True, ~np.equal(toxic, None), toxic == True  # noqa: E712 (null is neither)
+            n, own = len(batch), known | ~np.equal(good, None)
+            out = {c: np.zeros(n) for c in ("_n", "_sum", "_tone", "_own", "_square", "_own_tone")}
             for a, b, data, offsets in slices(batch[text_column]):
                 bucket, text = gram_buckets(data, offsets)
-                n = np.bincount(text, minlength=b - a)
-                value = ratio[bucket]
-                if counts:
-                    some = own[a:b][text]
-                    value[some] = left_out(*counts, bucket[some], text[some])
-                count.append(n)
-                mean.append(np.bincount(text, value, b - a) / np.maximum(n, 1))
-                if words is None:
-                    most.append(np.zeros(b - a))
-                else:
+                value = models.ratio[bucket]
+                out["_n"][a:b] = np.bincount(text, minlength=b - a)
+                out["_sum"][a:b] = np.bincount(text, value, b - a)
+                some = fitted[a:b][text]
+                value[some] = left_out(models.raw, models.target, bucket[some], text[some])
+                out["_own"][a:b], out["_square"][a:b] = np.bincount(text, value, b - a), np.bincount(text, value * value, b - a)
+                if models.tone is not None:
                     bucket, text = word_buckets(data, offsets)
-                    most.append(greatest(words[bucket], text, b - a))
-            cols = [pa.array(np.concatenate(x or [np.zeros(0)]).astype(t)) for x, t in ((count, np.int64), (mean, np.float64), (most, np.float64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_n_grams", "_log_ratio", "_toxicity"])
+                    out["_tone"][a:b] = greatest(models.tone[bucket], text, b - a)
+                    seen = known[a:b][text]
+                    bucket, text, of = bucket[seen], text[seen], bad[a:b][text[seen]]
+                    value = tone(np.maximum(models.toxic[bucket] - of, 0), np.maximum(models.clean[bucket] - ~of, 0), models.texts)
+                    out["_own_tone"][a:b] = greatest(value, text, b - a)
+            cols = [pa.array(x, mask=~own) if "own" in c or c == "_square" else pa.array(x) for c, x in out.items()]
+            kept = [c for c in batch.schema.names if c != text_column]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *cols], [*kept, *out])
 
     return run
 
@@ -171,16 +161,31 @@ def judged(labels: DataFrame) -> DataFrame:
     return some[0].unionAll(some[1]).unionAll(some[2])
 
 
-def count(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many n-grams of all texts and of the good texts of ``sample`` fall into each bucket."""
-    good = sample.where("_good")
-    flagged = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left")
-    flagged = flagged.select("text", F.col("_id").isNotNull().alias("target"))
-    counts = flagged.mapInArrow(count_grams, "bucket long, raw long, target long").groupBy("bucket")
-    counts = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # one row a bucket
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    raw[counts["bucket"].to_numpy(np.int64)], target[counts["bucket"].to_numpy(np.int64)] = counts["raw"], counts["target"]
-    return raw, target
+def labelled(docs: DataFrame, sample: DataFrame) -> Plain:
+    """``docs`` with the labels of ``sample`` (at most 3 * SAMPLE rows) as ``_good`` and ``_toxic``, null where there are none."""
+    plain = Plain(docs)
+    return Plain(plain.df.join(F.broadcast(sample), plain["doc_id"] == F.col("_id"), "left").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, plain.names)], "_good", "_toxic"))
+
+
+def fit(docs: DataFrame, sample: DataFrame) -> Models:
+    """The models of all texts and of the labelled ones in ``sample``, in one pass over the texts.
+
+    The target's model of n-grams starts from the raw one with as many pseudo-counts as there are buckets, so buckets
+    without evidence weigh 0.
+    """
+    rows = labelled(docs.select("doc_id", "text"), sample)
+    flags = F.coalesce(rows["_good"], F.lit(False)).alias("good"), rows["_toxic"].isNotNull().alias("known"), F.coalesce(rows["_toxic"], F.lit(False)).alias("toxic")
+    counts = rows.df.select(rows["text"].alias("text"), *flags).mapInArrow(count_both, "kind string, bucket long, a long, b long")
+    counts = counts.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = counts.where("kind = 'g' or a > 0 or bucket = -1").toPandas()  # one row a bucket
+    found = {}
+    for kind, bits in (("g", BITS), ("w", WORD_BITS)):
+        some = counts[(counts["kind"] == kind) & (counts["bucket"] >= 0)]
+        found[kind] = [np.zeros(1 << bits, np.int64 if kind == "g" else np.int32) for _ in "ab"]
+        for x, c in zip(found[kind], "ab"):
+            x[some["bucket"].to_numpy(np.int64)] = some[c]
+    texts = counts[counts["bucket"] == -1]
+    return Models(*found["g"], *found["w"], (int(texts["a"].sum()), int(texts["b"].sum())))
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -189,32 +194,34 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(p_target) - np.log(p_raw)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratio of target and raw probability of each bucket.
+def gumbel(seed: Column | int, *of: Column) -> Column:
+    """Gumbel noise by the columns ``of``, the same in each run."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    u = (F.shiftrightunsigned(F.xxhash64(seed, *of), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return -F.log(-F.log(u))
 
-    Raw counts are of all texts, target counts of the texts of at most SAMPLE labelled rows of quality 1 that are not toxic. The target's
-    model starts from the raw one with as many pseudo-counts as there are buckets, so buckets without evidence weigh 0.
-    """
-    return log_ratio(*count(docs, judged(labels)))
 
+def log_weight(total: Column, n: Column, alike: float) -> Column:
+    """The log importance weight of a text of n n-grams whose log ratios come to ``total``.
 
-def gumbel(seed: int, doc_id: Column, text: Column) -> Column:
-    """Gumbel noise by doc_id and text, the same in each run."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(-F.log(u))
+    N-grams of one text are a cluster sample: they resemble each other by the intraclass correlation ``alike``, so n of them
+    count as n / (1 + (n - 1) * alike) independent ones (Kish's design effect). With 0 the weight is the plain sum.
+    """
+    return total / (1 + F.greatest(n - 1, F.lit(0)) * F.lit(alike))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, counts: tuple | None = None, words: np.ndarray | None = None) -> DataFrame:
-    """(row, n_grams, log_ratio, toxicity, key) for the rows of ``docs``; with ``counts``, those where ``_good`` is true are left out of the model."""
-    plain = Plain(docs)
-    noisy = plain.df.withColumn("_noise", gumbel(seed, plain["doc_id"], plain["text"]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in noisy.schema)
-    text = plain.columns[plain.names.index("text")]
-    fitted = plain.columns[plain.names.index("_good")] if counts else ""
-    scored = noisy.mapInArrow(score(ratio, text, counts, fitted, words), f"{fields}, `_n_grams` long, `_log_ratio` double, `_toxicity` double")
-    row = F.struct(*[F.col(c).alias(n) for c, n in zip(plain.columns, plain.names)]).alias("row")
-    key = F.col("_log_ratio") * SHARPNESS + F.col("_noise")
-    return scored.select(row, *[F.col(f"_{n}").alias(n) for n in ("n_grams", "log_ratio", "toxicity")], key.alias("key"))
+def intraclass(scored: DataFrame) -> float:
+    """The intraclass correlation of the log ratios of good texts by analysis of variance, 0 at least."""
+    good = scored.where("_good and _n > 0")
+    k, n, squares, total, inner, between = good.agg(
+        F.count(F.lit(1)), F.sum("_n"), F.sum(F.col("_n") * F.col("_n")), F.sum("_own"), F.sum("_square"), F.sum(F.col("_own") * F.col("_own") / F.col("_n"))
+    ).first()
+    if k < 2 or n <= k:
+        return 0.0
+    within, among = (inner - between) / (n - k), (between - total * total / n) / (k - 1)
+    size = (n - squares / n) / (k - 1)
+    both = among + (size - 1) * within
+    return max(0.0, (among - within) / both) if both > 0 else 0.0
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -253,33 +260,11 @@ def cut_between(at: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float | No
     return float(at[i] + at[i + 1]) / 2 if wrong[i] < 1 else None
 
 
-def least_key(docs: DataFrame, sample: DataFrame, raw: np.ndarray, target: np.ndarray, seed: int) -> float | None:
-    """The key that parts good and bad texts of ``sample``, each scored by a model that has not seen it."""
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.where("_good is not null")), F.col("doc_id") == F.col("_id"))
-    keys = weigh(labelled, log_ratio(raw, target), seed, (raw, target)).where("n_grams > 0")
-    bins = keys.groupBy((F.round(F.col("key") * FINE) / FINE).alias("at"))
-    bins = bins.agg(*[F.sum((F.col("row._good") == x).cast("long")).alias(n) for x, n in ((True, "good"), (False, "bad"))]).toPandas()
-    return cut_between(*[bins[c].to_numpy(float) for c in ("at", "good", "bad")])
-
-
-def toxic_words(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray | None, float]:
-    """The tone of each bucket of words, and the value of a toxic text's greatest; none and infinity where labels cannot tell.
-
-    The value parts the toxic and the other texts of ``sample`` best, each scored without its own part in the numbers.
-    """
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
-    counts = known.mapInArrow(count_words, "bucket long, toxic long, clean long").groupBy("bucket")
-    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0 or bucket = -1").toPandas()  # one row a bucket
-    every = counts["bucket"] == -1
-    texts, at = (int(counts["toxic"][every].sum()), int(counts["clean"][every].sum())), counts["bucket"][~every].to_numpy(np.int64)
-    if not min(texts):
-        return None, math.inf
-    toxic, clean = np.zeros(1 << WORD_BITS, np.int32), np.zeros(1 << WORD_BITS, np.int32)
-    toxic[at], clean[at] = counts["toxic"][~every], counts["clean"][~every]
-    bins = known.mapInArrow(tone_left_out(toxic, clean, texts), "toxicity double, toxic boolean")
-    bins = bins.groupBy((F.round(F.col("toxicity") * 64) / 64).alias("at")).agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(n) for x, n in ((True, "toxic"), (False, "clean"))])
-    least = cut_between(*[c.to_numpy(float) for _, c in bins.toPandas()[["at", "toxic", "clean"]].items()])
-    return tone(toxic, clean, texts).astype(np.float32), math.inf if least is None else least
+def cut_of(rows: DataFrame, value: Column, yes: str, fine: int) -> float | None:
+    """Where ``value`` parts the rows in which the boolean column ``yes`` is true from those in which it is false."""
+    bins = rows.groupBy((F.round(value * fine) / fine).alias("at"))
+    bins = bins.agg(*[F.sum((F.col(yes) == x).cast("long")).alias(str(x)) for x in (True, False)]).toPandas()
+    return cut_between(*[bins[c].to_numpy(float) for c in ("at", "True", "False")])
 
 
 def share_of_toxic_kept(found: DataFrame, labels: DataFrame) -> float | None:
@@ -295,42 +280,57 @@ def share_of_target(labels: DataFrame) -> float:
     return good / n if n else 1.0
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29) -> DataFrame:
-    """(row, n_grams, log_ratio, toxicity, key, toxic, kept) for every row of ``docs``, which is the struct ``row``.
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(row, n_grams, log_ratio, weight, toxicity, key, toxic, kept) for every row of ``docs``; ``row`` is a struct of its columns ``carry`` (all).
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic; more columns pass through or are ignored. The
-    importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams. Its
-    logarithm per n-gram, times SHARPNESS, plus Gumbel noise is the key, and the rows of the largest keys are kept (Gumbel
-    top-k: a sample without replacement by importance). How many is read off the keys: all from the one on that parts good
-    and bad labelled texts, whatever the number of labels; or ``share`` of all rows where that is given. Where labels know
-    one kind only, or keys do not tell the two apart, the share is that of quality 1 among labels. Rows that tie with
-    the last key kept are kept, so repeated rows share their fate. Null, empty and shorter texts than an n-gram have
-    ratio 0; as nothing speaks against them, they are on no side of the cut and stay. Without labels all rows stay. Empty
-    input: empty result.
+    importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams (see
+    ``log_weight`` for its length). The log weight plus Gumbel noise is the key, and the k rows of the largest keys are
+    kept: Gumbel top-k, a sample without replacement by importance. k is read off the keys: all rows from the key on that parts
+    good and bad labelled texts best, each weighed by a model that has not seen it, whatever the number of labels; or ``share`` of all rows where that
+    is given. Where labels know one kind only, or keys do not tell the two apart, the share is that of quality 1 among
+    labels. Rows that tie with the last key kept are kept, so repeated rows share their fate. Null, empty and shorter texts
+    than an n-gram have weight 0; as nothing speaks against them, they are on no side of the cut and stay. Without labels all
+    rows stay. Empty input: empty result. Texts of any length are read whole, in slices. Texts are read twice: to fit and to score.
 
     ``kept`` is by quality alone; callers drop what is ``toxic`` besides. Toxicity is the greatest log ratio of a word, how
     much more often labelled toxic texts have it than others, 0 at least: a mean over a text would drown a few words.
     Toxic is what reaches the value that parts the two. Toxic labels are no part of the target.
     """
-    small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "quality")
-    sample = scratch.table(judged(labels), "judged")
-    raw, target = count(docs, sample)
-    ratio = log_ratio(raw, target)
-    words, bound = toxic_words(docs, sample)
-    scored = weigh(docs, ratio, seed, words=words).withColumn("toxic", F.col("toxicity") >= F.lit(bound))
-    if share is None and (least := least_key(docs, sample, raw, target, seed)) is not None:
-        kept = (F.col("key") >= least) | (F.col("n_grams") == 0)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
+    carry = carry or tuple(docs.columns)
+    with small_batches(spark):
+        sample = scratch.table(judged(labels), "judged")
+        models = fit(docs, sample)
+        plain = Plain(docs.select(*carry, F.col("doc_id").alias("_doc"), F.col("text").alias("_text")))
+        rows = plain.df.withColumn("_noise", gumbel(seed, plain["_doc"], plain["_text"])).join(F.broadcast(sample), plain["_doc"] == F.col("_id"), "left")
+        rows = rows.select(*plain.columns[: len(carry)], "_noise", "_good", "_toxic", plain["_text"].alias("_text"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+        added = "".join(f", {c} double" for c in ("_n", "_sum", "_tone", "_own", "_square", "_own_tone"))
+        scored = scratch.table(rows.mapInArrow(score(models, "_text", "_good", "_toxic"), fields + added), "scored")
+    known = scored.where("_good is not null or _toxic is not null")
+    alike = intraclass(known)
+    bound = cut_of(known.where("_toxic is not null"), F.col("_own_tone"), "_toxic", FINE_TONE) if models.tone is not None else None
+    own = known.where("_good is not null and _n > 0")
+    least = cut_of(own, log_weight(F.col("_own"), F.col("_n"), alike) + F.col("_noise"), "_good", FINE) if share is None else None
+    weight = log_weight(F.col("_sum"), F.col("_n"), alike)
+    scored = scored.withColumns({"_weight": weight, "_key": weight + F.col("_noise")})
+    if least is not None:
+        kept = (F.col("_key") >= least) | (F.col("_n") == 0)
     else:
         share = share_of_target(labels) if share is None else share
-        keys = scratch.table(weigh(docs.select("doc_id", "text"), ratio, seed).select("key"), "keys")
-        least = kth_largest(keys, "key", math.ceil(share * keys.count()))
-        kept = F.col("key") >= F.lit(least if least is not None else math.inf)
-    return scored.withColumn("kept", kept)
+        last = kth_largest(scored, "_key", math.ceil(share * scored.count()))
+        kept = F.col("_key") >= F.lit(last if last is not None else math.inf)
+    row = F.struct(*[F.col(c).alias(n) for c, n in zip(plain.columns, carry)]).alias("row")
+    mean = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0))
+    return scored.select(
+        row, F.col("_n").cast("long").alias("n_grams"), mean.alias("log_ratio"), F.col("_weight").alias("weight"), F.col("_tone").alias("toxicity"),
+        F.col("_key").alias("key"), (F.col("_tone") >= F.lit(math.inf if bound is None else bound)).alias("toxic"), kept.alias("kept"),
+    )
 
 
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = resample(docs.select("doc_id", "text"), labels)
+    out = resample(docs.select("doc_id", "text"), labels, carry=("doc_id",))
     kept = (F.col("kept") & ~F.col("toxic")).alias("kept")
-    return out.select("row.doc_id", "n_grams", "log_ratio", F.col("key").alias("gumbel_key"), kept, "toxicity", "toxic")
+    return out.select("row.doc_id", "n_grams", "log_ratio", F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), kept, "toxicity", "toxic")
