@@ -52,12 +52,56 @@ def test_against_brute_force(docs_of, spark):
     assert sorted(repr(r["doc_id"]) for r in clean.collect()) == [r[0] for r in brute(docs, bench) if not r[5]]
 
 
+def brute_near(docs, bench, slop, k=10):
+    """Places where a window's rarest term stands at its place and all others near theirs, without the phrase."""
+    texts = {d: words(x) for d, x in docs}
+    count = {}
+    for w in texts.values():
+        for t in w:
+            count[t] = count.get(t, 0) + 1
+    out = set()
+    for item, x in bench:
+        w = words(x)
+        for i in range(max(1, len(w) - k + 1)) if w else ():
+            g = w[i : i + k]
+            r = min(range(len(g)), key=lambda j: (count.get(g[j], 0), j))
+            for d, t in texts.items():
+                for p in [p for p, y in enumerate(t) if y == g[r]]:
+                    s = p - r
+                    near = all(any(0 <= s + j + e < len(t) and t[s + j + e] == y for e in range(-slop, slop + 1)) for j, y in enumerate(g))
+                    if near and not (s >= 0 and t[s : s + len(g)] == g):
+                        out.add((d, item, s))
+    return out
+
+
 def test_proximity(docs_of, spark):
-    items = spark.createDataFrame([(1, "alpha b c d omega f g h i j")], "item_id long, text string")
-    docs = docs_of([(1, "alpha b c d omega f g h i j"), (2, "alpha b c d x omega f"), (3, "omega " + "z " * 30 + "alpha")] + [(9, "b c d f g h i j")] * 3)
-    keys, found = D.phrase_matches(docs, items, slop=2)
-    got = {(r["doc_id"], r["kind"]) for r in found.join(keys, "key").collect()}
-    assert got == {(1, "phrase"), (2, "proximity")}
+    bench = [(1, "alpha b c d omega f g h i j"), (2, " ".join(VOCAB[:100])), (3, " ".join(VOCAB[5:75] * 2))]
+    docs = [(1, bench[0][1]), (2, "alpha b c d x omega f g h i j"), (3, "omega " + "z " * 30 + "alpha"), (4, "b c d f g h i j"), (5, "b alpha c d omega g f h j i")]
+    for i in range(6, 40):
+        w = list(VOCAB[: rng.randint(20, 90)])
+        for _ in range(rng.randint(1, 6)):
+            a = rng.randrange(len(w) - 1)
+            w[a], w[a + 1] = w[a + 1], w[a]
+        docs.append((i, " ".join(w)))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    keys, found, _ = D.phrase_matches(docs_of(docs), items, slop=2)
+    got = found.join(keys, "key").collect()
+    assert {(r["doc_id"], int(r["item"]), r["start"]) for r in got if r["kind"] == "proximity"} == brute_near(docs, bench, 2)
+    assert {(1, "phrase"), (2, "proximity"), (5, "proximity")} <= {(r["doc_id"], r["kind"]) for r in got}
+
+
+def test_one_plan_at_any_size(docs_of, spark):
+    """Nothing depends on what Spark broadcasts, and no array stands beside exploded words."""
+    bench = [(i, " ".join(rng.choices(VOCAB, k=30))) for i in range(20)]
+    docs = [(i, " ".join(rng.choices(VOCAB, k=10)) + " " + bench[i % 20][1]) for i in range(60)]
+    items, threshold = spark.createDataFrame(bench, "item_id long, text string"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = D.contamination(docs_of(docs), items, slop=1).collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted((repr(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == brute(docs, bench)
 
 
 def test_empty(docs_of, spark):
