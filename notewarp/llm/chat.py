@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,19 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def chain(batches):
+    """The keys of each conversation's beginnings: of a turn, the hash of the key before it and what the turn says."""
+    for batch in batches:
+        paths = []
+        for said in batch["said"].to_pylist():
+            keys, key = [], ""
+            for text in said:
+                key = hashlib.md5((key + text).encode("utf-8", "replace")).hexdigest()
+                keys.append(key)
+            paths.append(keys)
+        yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turns"], pa.array(paths, pa.list_(pa.string()))], ["conv_id", "turns", "path"])
+
+
 def tokenize(path: str):
     """Adds the ids of each part of a turn, so that the loss falls on whole tokens."""
 
@@ -80,20 +95,16 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
     a chain are one interval for each conversation that it passes through: all tables are linear in the turns. A
     conversation is one row, so its own turns must fit into memory; a tree need not.
     """
-    small_batches(turns.sparkSession)
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     head, body, tail = format_turn(role, text)
     one = F.struct("turn", role.alias("role"), head.alias("head"), body.alias("body"), tail.alias("tail"))
     convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-
-    def go_on(keys: Column, t: Column) -> Column:
-        before = F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit(""))
-        return F.array_append(keys, F.md5(F.concat(before, t["head"], t["body"], t["tail"])))
-
-    convs = convs.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), go_on))
+    said = F.transform("turns", lambda t: F.concat(t["head"], t["body"], t["tail"]))
+    convs = convs.select("conv_id", "turns", said.alias("said")).mapInArrow(chain, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, turns {convs.schema['turns'].dataType.simpleString()}, path array<string>")
     convs = scratch.table(convs, "formatted")
     convs.select("conv_id", "path").write.parquet(scratch.path("conversations"))
-    ranked = running_total(scratch, convs.select("path", "turns", F.lit(1).cast("long").alias("one")), [F.col("path")], "one", "rank", "order")
+    # equal conversations are told apart by conv_id, so that they do not crowd one range
+    ranked = running_total(scratch, convs.select("conv_id", "path", "turns", F.lit(1).cast("long").alias("one")), [F.col("path"), F.col("conv_id")], {"one": "rank"}, "order")
     steps = scratch.table(ranked.select("rank", F.posexplode("path").alias("at", "key"), "turns").withColumn("t", F.get("turns", F.col("at"))).drop("turns"), "steps")
     scratch.free("formatted", "order")
     # all that a key stands for is equal
@@ -102,7 +113,7 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
     schema = "key string, rank long, at int, role string, head string, body string, tail string, tokens array<int>, _from long, _to long"
     nodes = scratch.table(nodes.mapInArrow(tokenize(tokenizer), schema).withColumn("n", F.size("tokens").cast("long")), "nodes")
 
-    placed = running_total(scratch, nodes.select("key", "rank", "at", "n"), [F.col("rank"), F.col("at")], "n", "packed_start", "places")
+    placed = running_total(scratch, nodes.select("key", "rank", "at", "n"), [F.col("rank"), F.col("at")], {"n": "packed_start"}, "places")
     placed = scratch.table(placed, "placed")
     owners = placed.select("key", F.col("rank").alias("_owner"), "packed_start", (F.col("packed_start") + F.col("n")).alias("_end"))
     above = steps.select("rank", "key").join(owners, "key").where("_owner < rank")
@@ -162,7 +173,8 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     their own. Rows of a null conv_id are one conversation. Empty input: empty result.
     """
     scratch = Scratch(turns.sparkSession, "chat")
-    build(turns.select("conv_id", "turn", "role", "text"), tokenizer, scratch)
+    with small_batches(turns.sparkSession):
+        build(turns.select("conv_id", "turn", "role", "text"), tokenizer, scratch)
     return read_back(scratch)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitfilter, graph
-from .common import Plain, Scratch, by_value, process_store, small_batches
+from .common import Plain, Scratch, by_value, hot_join, process_store, small_batches
 from .textnp import Words, mix64, shingle_sets, slices
 
 by_value(__name__)
@@ -75,7 +75,7 @@ def postings(k: int, level: np.ndarray, percent: int):
         for batch in batches:
             for a, b, tokens, first, rid in sets_of(batch["text"], k):
                 # the token in the global order: level of frequency, then hash
-                tokens = (tokens >> np.uint64(2)) | (level[sketch_bucket(tokens)].astype(np.uint64) << np.uint64(61))
+                tokens = (tokens >> np.uint64(3)) | (level[sketch_bucket(tokens)].astype(np.uint64) << np.uint64(61))
                 out, who = [], []
                 for i, r in enumerate(rid.tolist()):
                     n = int(first[i + 1] - first[i])
@@ -266,12 +266,16 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
        are of other components. The overlap with the union bounds that with any member; only groups that qualify are opened, their
        members bounded by their own rows, and what is left is compared.
 
-    All comparisons are exact counts over the shingles of whole texts. Null or empty texts, and texts without words, have
+    All comparisons are exact counts over the shingles of whole texts, each shingle known by a 64-bit hash. Null or empty texts, and texts without words, have
     an empty set and no link. Repeated rows give repeated rows. A null doc_id never names a component unless its class
     has no other. Empty input: empty result. Memory: one slice of texts, or the longest text, at a time.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    small_batches(spark)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    with small_batches(docs.sparkSession):
+        return _components(scratch, docs, k, percent)
+
+
+def _components(scratch: Scratch, docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_text_hash"))
     scratch.table(docs.mapInArrow(survey(k), "kind string, a long, b long, c long, n long"), "survey", by="kind")
     rows = scratch.spark.read.schema("a long, b long, c long, n long, kind string").parquet(scratch.path("survey"))
@@ -367,18 +371,29 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     second = linked(asked.mapInArrow(open_groups(percent), "u long, v long"), "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
-    out = table.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    low = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("_low"))
-    out = out.join(low, "label", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("class_id"))
+    # by class first, then by component; classes of many documents and components of many classes stay where they are
+    classes = table.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("_low"), F.count(F.lit(1)).alias("_docs"))
+    classes = classes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    classes = scratch.table(classes, "classes")
+    lows = scratch.table(classes.groupBy("label").agg(F.min("_low").alias("component_id"), F.count(F.lit(1)).alias("_classes")), "lows")
+    named = scratch.table(hot_join(classes.drop("_low"), lows, ["label"], "_classes", classes.count()), "named")
+    full = hot_join(table.where("n > 0"), named, ["rid"], "_docs", table.count())
+    full = full.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("class_id"))
+    empty = table.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("class_id"))
+    out = scratch.table(full.unionByName(empty), "components")
+    scratch.free("survey", "meets", "bits", "members", "posts", "near", "matrix", "components1", "components2", "classes", "lows", "named")
+    for name in ("leaders", "groups"):
+        scratch.free(*[f"{part}_{name}" for part in ("bound", "want", "texts", "links")])
+    return out
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row of the smallest doc_id, and every row without words.
+    """The rows of ``docs`` that stay, with all their columns: of each component the row of the smallest doc_id, and every row without words.
 
-    A null doc_id comes last in its component. Of rows repeated with their doc_id and text one stays.
+    A null doc_id comes last in its component. Of rows repeated with their doc_id and text one stays. Null and empty texts
+    have no words. Empty input: empty result.
     """
-    found = Scratch(docs.sparkSession, "dedup").table(similarity_components(docs, k, percent), "components")
+    found = similarity_components(docs, k, percent)
     empty = found.where("n_shingles = 0").select("doc_id", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first")
     first = found.where("n_shingles > 0").groupBy("class_id").agg(first).select("_first.doc_id", "_first.text_hash")

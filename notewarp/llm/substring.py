@@ -6,17 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bitfilter
-from .common import Scratch, by_value, process_store, small_batches
+from . import bitfilter, graph
+from .common import Scratch, by_value, hot_join, process_store, small_batches
 from .textnp import BASE_WORD, Words, grams, slices, spans
 
 by_value(__name__)
 
 #: Words of the shorter runs of which each window takes its least as anchor.
 ANCHOR = 16
+#: A span has fewer windows than this (k - ANCHOR + 1 at most for k up to 79), so that a place in it fits beside its number.
+PLACES = 64
 
 
 def least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,16 +35,22 @@ def least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return v, at
 
 
-def compacted(w: Words, k: int):
-    """The compacted edges of a slice: (text, first window, windows, anchor hash, hash of all words covered).
+def word_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    return w.hashes(), spans(w.data, w.starts, w.ends, BASE_WORD)
 
-    An edge is a window of k words. Consecutive windows of a text that share their anchor are one nonbranching piece.
+
+def cut_at_anchors(w: Words, k: int):
+    """The spans of a slice: (text, first window, windows, anchor, two hashes of all words covered).
+
+    A span is a run of windows of k words of one text that share their anchor, the least hash among their runs of ANCHOR
+    words, and the last span ends with its text. Equal windows have equal anchors.
     """
-    hashes = w.hashes()
-    n = len(hashes)
+    one, two = word_hashes(w)
+    n = len(one)
     if n < k:
         return None
-    anchors = spans(hashes, np.arange(n - ANCHOR + 1), np.arange(n - ANCHOR + 1) + ANCHOR, BASE_WORD)
+    anchors = spans(one, np.arange(n - ANCHOR + 1), np.arange(n - ANCHOR + 1) + ANCHOR, BASE_WORD)
     _, at = least(anchors, k - ANCHOR + 1)
     each = np.maximum(w.count() - k + 1, 0)
     total = np.concatenate([[0], np.cumsum(each)])
@@ -57,7 +65,7 @@ def compacted(w: Words, k: int):
     count = np.diff(np.append(begin, len(at)))
     first = windows[begin]
     text = np.searchsorted(total, begin, "right") - 1
-    return text, first - w.first[text], count, anchors[at[begin]], spans(hashes, first, first + count + k - 1, BASE_WORD)
+    return text, first - w.first[text], count, anchors[at[begin]], *(spans(h, first, first + count + k - 1, BASE_WORD) for h in (one, two))
 
 
 def kept_hashes(w: Words, keep: np.ndarray) -> list[str]:
@@ -74,9 +82,9 @@ def kept_hashes(w: Words, keep: np.ndarray) -> list[str]:
     return [hashlib.sha256(data[a:b][take[a:b]].tobytes()).hexdigest() for a, b in zip(w.offsets[:-1], w.offsets[1:])]
 
 
-def edges(k: int):
-    """Rows (kind d: document, words, SHA-256 of them all; kind e: compacted edge with its source coordinates)."""
-    names = ["kind", "doc_id", "rk", "first", "windows", "anchor", "span", "sha"]
+def spans_of(k: int):
+    """Rows (kind d: document, words, SHA-256 of them all; kind e: span with its place in its document)."""
+    names = ["kind", "doc_id", "rk", "first", "windows", "anchor", "s1", "s2", "sha"]
 
     def run(batches):
         process_store("text")
@@ -86,17 +94,13 @@ def edges(k: int):
                 doc, rk = batch["doc_id"].slice(a, b - a), batch["rk"].slice(a, b - a)
                 n, none = b - a, pa.nulls(b - a, pa.int64())
                 sha = pa.array(kept_hashes(w, np.ones(len(w.starts), bool)))
-                yield pa.RecordBatch.from_arrays(
-                    [const("d", n), doc, rk, pa.array(w.count().astype(np.int32)), pa.nulls(n, pa.int32()), none, none, sha], names
-                )
-                if found := compacted(w, k):
-                    text, first, count, anchor, span = found
+                yield pa.RecordBatch.from_arrays([const("d", n), doc, rk, pa.array(w.count().astype(np.int32)), pa.nulls(n, pa.int32()), none, none, none, sha], names)
+                if found := cut_at_anchors(w, k):
+                    text, first, count, *hashes = found
                     at = np.flatnonzero(~np.asarray(doc.is_null())[text])  # a row without doc_id is compared with none
                     text = pa.array(text[at])
-                    yield pa.RecordBatch.from_arrays(
-                        [const("e", len(at)), doc.take(text), rk.take(text), pa.array(first[at].astype(np.int32)), pa.array(count[at].astype(np.int32)), pa.array(anchor[at].view(np.int64)), pa.array(span[at].view(np.int64)), pa.nulls(len(at), pa.string())],
-                        names,
-                    )
+                    cols = [pa.array(x[at].astype(np.int32)) for x in (first, count)] + [pa.array(h[at].view(np.int64)) for h in hashes]
+                    yield pa.RecordBatch.from_arrays([const("e", len(at)), doc.take(text), rk.take(text), *cols, pa.nulls(len(at), pa.string())], names)
 
     def const(value, n):
         return pa.array([value]).take(pa.array(np.zeros(n, np.int32)))
@@ -104,28 +108,60 @@ def edges(k: int):
     return run
 
 
-def expand(k: int):
-    """The single windows of the pieces that branch: two independent hashes and the source coordinates of each."""
+def edges_of(k: int):
+    """The k-word edges of spans at their source places: two hashes of the edge, those of its two (k-1)-word nodes, span and place in it."""
 
     def run(batches):
         process_store("text")
         for batch in batches:
             for a, b, data, offsets in slices(batch["text"]):
                 w = Words(data, offsets, lower=False)
-                one, first = grams(w.hashes(), w.first, k)
-                two, _ = grams(spans(w.data, w.starts, w.ends, BASE_WORD), w.first, k)
-                at, who = [], []
+                one, two = word_hashes(w)
+                edge, first = grams(one, w.first, k)
+                other, _ = grams(two, w.first, k)
+                node, node_first = grams(one, w.first, k - 1)
+                at, nodes, of, place = [], [], [], []
                 for i in range(a, b):
-                    for piece in batch["pieces"][i].as_py():
-                        at.append(np.arange(piece["first"], piece["first"] + piece["windows"]) + first[i - a])
-                        who.append(np.full(piece["windows"], i))
-                if not at:
-                    continue
-                at, who = np.concatenate(at), np.concatenate(who)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), batch["doc_id"].take(pa.array(who)), batch["rk"].take(pa.array(who)), pa.array((at - first[who - a]).astype(np.int32))],
-                    ["h1", "h2", "doc_id", "rk", "first"],
-                )
+                    for x in batch["cut"][i].as_py():
+                        steps = np.arange(x["windows"])
+                        at.append(steps + x["first"] + first[i - a])
+                        nodes.append(steps + x["first"] + node_first[i - a])
+                        of.append(np.full(x["windows"], x["sid"]))
+                        place.append(steps)
+                if at:
+                    at, nodes = np.concatenate(at), np.concatenate(nodes)
+                    cols = [x.view(np.int64) for x in (edge[at], other[at], node[nodes], node[nodes + 1])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(of) * PLACES + np.concatenate(place))], ["h1", "h2", "u", "v", "at"])
+
+    return run
+
+
+def digests(k: int):
+    """BLAKE2b of the words, joined by one space, at the places that each row asks for."""
+
+    def run(batches):
+        process_store("text")
+        for batch in batches:
+            for a, b, data, offsets in slices(batch["text"]):
+                w = Words(data, offsets, lower=False)
+                inside = np.zeros(len(data) + 1, np.int8)
+                inside[w.starts] += 1
+                inside[w.ends] -= 1
+                take = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+                behind = w.ends[w.ends < len(data)]
+                plain = np.where(take, data, np.uint8(32))
+                take[behind] = True  # one byte between words
+                start, plain = (np.cumsum(take) - take)[w.starts], plain[take].tobytes()
+                size, out, who, asked = w.ends - w.starts, [], [], []
+                for i in range(a, b):
+                    for x in batch["asked"][i].as_py():
+                        low, high = w.first[i - a] + x["first"], w.first[i - a] + x["first"] + x["windows"] + k - 2
+                        out.append(hashlib.blake2b(plain[start[low] : start[high] + size[high]], digest_size=16).digest())
+                        who.append(i)
+                        asked.append((x["first"], x["windows"]))
+                who, asked = pa.array(who, pa.int64()), np.array(asked, np.int32).reshape(-1, 2)
+                cols = [batch["doc_id"].take(who), batch["rk"].take(who), pa.array(asked[:, 0]), pa.array(asked[:, 1]), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "first", "windows", "digest"])
 
     return run
 
@@ -147,56 +183,134 @@ def remove(k: int):
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[w.first[1:]] - total[w.first[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["rk"].slice(a, b - a), pa.array(removed.astype(np.int64)), pa.array(kept_hashes(w, ~gone))], ["rk", "n_removed", "kept_sha256"]
+                    [batch["doc_id"].slice(a, b - a), batch["rk"].slice(a, b - a), pa.array(removed.astype(np.int64)), pa.array(kept_hashes(w, ~gone))], ["doc_id", "rk", "n_removed", "kept_sha256"]
                 )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with their word counts, the repeated spans (rk, first, windows), and the texts that have any.
-
-    ``docs``: doc_id, text. Words are runs without white space, unchanged. A span is ``windows`` consecutive windows of
-    ``k`` words of the row ``rk`` from word ``first`` on, the word sequences of which all start in a document of a smaller
-    doc_id as well.
+def compact(scratch: Scratch, edges: DataFrame, spans_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The repeated edges (h1, h2, run, place in it) and the runs they compact to: nonbranching paths of the graph.
 
-    Each window is an edge of the De Bruijn graph of words. Its anchor is the least hash among its runs of 16 words,
-    so equal windows have equal anchors, and consecutive windows of one anchor form one piece of a nonbranching path: a
-    seventeenth of the rows that windows would be. One aggregation by anchor finds the anchors that two documents
-    share and whether their pieces differ. A join brings these back to the pieces. A piece whose whole word sequence
-    occurs in a smaller document is repeated as it is. Only the first source of each piece of an anchor whose pieces
-    differ (where paths branch) is cut into single windows, which are compared by two independent 64-bit hashes, at
-    the source coordinates that the piece carries.
+    ``edges``: h1, h2, u, v, at, low, high of every edge of ``spans_`` (sid, doc_id, rk, first: where its source is). Edges that two
+    documents share, between (k-1)-word nodes, make the graph; a node with one edge in and one edge out does not branch.
+    Edges that follow each other in one source across such nodes are a run; runs (run, doc_id, rk, first, windows, u, v) that meet
+    at such a node are one path, found by joins on the node (``path``: the least run of it, by ``graph.components``).
     """
+    repeated = edges.groupBy("h1", "h2").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("at", "low").alias("at"), F.first("u").alias("u"), F.first("v").alias("v")
+    )
+    repeated = scratch.table(repeated.where("low < high").drop("high", "low"), "repeated")
+    ends = repeated.select(F.col("u").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(repeated.select(F.col("v").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    through = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("node")
+    through = scratch.table(through, "through")
+    place = spans_.select("sid", "doc_id", "rk", F.col("first").alias("_first"))
+    there = repeated.withColumn("sid", F.shiftright("at", PLACES.bit_length() - 1)).join(place, "sid").withColumn("pos", (F.col("_first") + F.col("at").bitwiseAND(F.lit(PLACES - 1))).cast("int"))
+    there = there.join(through.withColumn("_through", F.lit(True)), F.col("u") == F.col("node"), "left")
+    order = Window.partitionBy("doc_id", "rk").orderBy("pos")
+    fresh = F.col("_through").isNull() | F.coalesce(F.lag("pos").over(order) != F.col("pos") - 1, F.lit(True))
+    there = there.select("h1", "h2", "u", "v", "doc_id", "rk", "pos", F.sum(fresh.cast("int")).over(order).alias("no"))
+    there = scratch.table(there, "steps")
+    runs = there.groupBy("doc_id", "rk", "no").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("windows"), F.min_by("u", "pos").alias("u"), F.max_by("v", "pos").alias("v"))
+    runs = scratch.table(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
+    met = runs.select("run", F.col("v").alias("node")).join(through, "node").join(runs.select(F.col("run").alias("next"), F.col("u").alias("node")), "node")
+    paths = scratch.table(graph.components(scratch, met.select(F.col("run").alias("u"), F.col("next").alias("v")), "paths"), "path")
+    steps = there.join(runs.select("doc_id", "rk", "no", "run", F.col("first").alias("_first")), ["doc_id", "rk", "no"])
+    steps = scratch.table(steps.select("h1", "h2", "run", (F.col("pos") - F.col("_first")).alias("step")), "graph")
+    runs = runs.join(paths.select(F.col("node").alias("run"), F.col("label").alias("path")), "run", "left").withColumn("path", F.coalesce("path", "run"))
+    scratch.free("repeated", "through", "steps")
+    return steps, scratch.table(runs, "compacted")
+
+
+def verified(scratch: Scratch, found: DataFrame, texts: DataFrame, k: int) -> None:
+    """Compares the words of each repeated span with those at its source, by BLAKE2b of both, and raises an error where they differ."""
+    here = found.select("doc_id", "rk", "first", "windows")
+    there = found.select(*[F.col(f"source.{c}").alias(c) for c in ("doc_id", "rk", "first")], "windows")
+    asked = here.unionByName(there).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("first", "windows")).alias("asked"))
+    made = texts.join(asked, ["doc_id", "rk"]).select("doc_id", "rk", "text", "asked")
+    made = scratch.table(made.mapInArrow(digests(k), "doc_id long, rk long, first int, windows int, digest binary"), "digests")
+    keys = ["s_doc", "s_rk", "s_first", "windows"]
+    pairs = found.select("doc_id", "rk", "first", "windows", *[F.col(f"source.{c}").alias(n) for c, n in zip(("doc_id", "rk", "first"), keys)])
+    pairs = scratch.table(pairs.join(made, ["doc_id", "rk", "first", "windows"]).select(*keys, "digest").groupBy(*keys, "digest").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    source = made.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "rk", "first"), keys)], "windows", F.col("digest").alias("_digest"))
+    checked = pairs.join(source, keys).agg(F.sum("n"), F.sum((F.col("digest") != F.col("_digest")).cast("long"))).first()
+    n = found.count()
+    scratch.free("digests", "pairs")
+    if n and (checked[0] != n or checked[1]):
+        raise RuntimeError(f"{n - (checked[0] or 0)} repeated spans have no source, {checked[1]} differ from theirs")
+
+
+def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """The documents with their word counts, the repeated spans, the texts that have any, the compacted runs, and the folder of all.
+
+    ``docs``: doc_id, text. Words are runs without white space, unchanged. A repeated span (doc_id, rk, first, windows, source) is
+    ``windows`` consecutive windows of ``k`` words of a row from word ``first`` on, which stand at the place ``source`` of a document
+    of a smaller doc_id as well. ``rk`` is a hash that tells rows of one doc_id apart.
+
+    1. Each text is cut into spans at its anchors; a window has one anchor by its content, so equal windows meet by anchor.
+       Anchors that one document alone has go.
+    2. An anchor with one span for all its documents is a path as it is. The spans of other anchors are cut, once each, into k-word
+       edges between (k-1)-word nodes, the De Bruijn graph of what may repeat; ``compact`` finds the repeated ones and their nonbranching runs.
+    3. A span gets back the runs that its edges are on. Each occurrence of it in a document larger than a run's source
+       is repeated there. ``verified`` compares the words at both places.
+
+    Anchors, spans and sources that make up more than a HOT-th of their tables stay where they are (``hot_join``).
+    """
+    if not ANCHOR < k < ANCHOR + PLACES:
+        raise ValueError(f"a window has {ANCHOR + 1} to {ANCHOR + PLACES - 1} words")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rk"))
-    schema = "kind string, doc_id long, rk long, first int, windows int, anchor long, span long, sha string"
-    scratch.table(docs.mapInArrow(edges(k), schema), "edges", by="kind")
-    rows = spark.read.schema(schema).parquet(scratch.path("edges"))
+    schema = "kind string, doc_id long, rk long, first int, windows int, anchor long, s1 long, s2 long, sha string"
+    scratch.table(docs.mapInArrow(spans_of(k), schema), "rows", by="kind")
+    rows = spark.read.schema(schema).parquet(scratch.path("rows"))
     base = rows.where("kind = 'd'").select("doc_id", "rk", F.col("first").cast("long").alias("n_words"), "sha")
-    piece = rows.where("kind = 'e'").select("anchor", "span", "doc_id", "rk", "first", "windows")
-
-    shared = piece.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), (F.min("span") != F.max("span")).alias("branches"))
-    shared = shared.where("_low < _high").select("anchor", "_low", "branches")
-    shared = scratch.table(piece.join(shared, "anchor"), "shared")
-    plain = shared.where("not branches and doc_id > _low").select("rk", "first", "windows")
-    branch = shared.where("branches").drop("_low")
-    source = branch.groupBy("anchor", "span").agg(F.min("doc_id").alias("_low"))
-    branch = scratch.table(branch.join(source, ["anchor", "span"]), "branches")
-    again = branch.where("doc_id > _low").select("rk", "first", "windows")
-
-    involved = scratch.table(shared.select("rk").distinct(), "involved")
+    pieces = rows.where("kind = 'e'").select("anchor", "s1", "s2", "doc_id", "rk", "first", "windows")
+
+    some = pieces.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("branches"), F.count(F.lit(1)).alias("n"))
+    some = scratch.table(some.where("_low < _high").select("anchor", "branches", "n"), "anchors")
+    shared = scratch.table(hot_join(pieces, some, ["anchor"], "n", pieces.count()), "shared")
+    found = shared.groupBy("anchor", "s1", "s2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"), F.first("branches").alias("branches"),
+        F.min_by(F.col("rk"), F.col("doc_id")).alias("rk"),
+    )
+    # the source is one place in the smallest document
+    source = shared.groupBy("anchor", "s1", "s2", "doc_id", "rk").agg(F.min("first").alias("first")).withColumnRenamed("doc_id", "low")
+    found = scratch.table(found.join(source, ["anchor", "s1", "s2", "low", "rk"]).withColumn("sid", F.monotonically_increasing_id()), "spans")
+    origin = found.select("sid", F.col("low").alias("doc_id"), "rk", "first")
+
+    involved = scratch.table(shared.select("doc_id", "rk").distinct(), "involved")
     texts = docs.mapInArrow(bitfilter.rows(bitfilter.build(involved, "rk"), "rk"), docs.schema)
-    texts = scratch.table(texts.join(involved, "rk", "left_semi").dropDuplicates(["rk"]), "texts")
-    cut = branch.where("doc_id = _low").groupBy("rk").agg(F.collect_set(F.struct("first", "windows")).alias("pieces"))
-    windows = texts.join(cut, "rk").select("doc_id", "rk", "text", "pieces").mapInArrow(expand(k), "h1 long, h2 long, doc_id long, rk long, first int")
-    windows = scratch.table(windows, "windows")
-    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high")
-    single = windows.join(low, ["h1", "h2"]).where("doc_id > _low").select("rk", "first", F.lit(1).alias("windows"))
-    found = scratch.table(plain.unionByName(again).unionByName(single), "found")
-    scratch.free("windows", "branches", "shared", "involved")
-    return base, found, texts
+    texts = scratch.table(texts.join(involved, ["doc_id", "rk"], "left_semi").dropDuplicates(["doc_id", "rk"]), "texts")
+    cut = found.where("branches").groupBy(F.col("low").alias("doc_id"), "rk").agg(F.collect_list(F.struct("sid", "first", "windows")).alias("cut"))
+    edges = texts.join(cut, ["doc_id", "rk"]).select("text", "cut").mapInArrow(edges_of(k), "h1 long, h2 long, u long, v long, at long")
+    edges = scratch.table(edges, "edges")
+    bounds = found.where("branches").select("sid", "low", "high")
+    graph_edges = edges.withColumn("sid", F.shiftright("at", PLACES.bit_length() - 1)).join(bounds, "sid").drop("sid")
+    steps, runs = compact(scratch, graph_edges, origin)
+
+    on = edges.select("h1", "h2", "at").join(steps, ["h1", "h2"]).withColumns({"sid": F.shiftright("at", PLACES.bit_length() - 1), "i": F.col("at").bitwiseAND(F.lit(PLACES - 1)).cast("int")})
+    # places of a span that go on along a run are one stretch
+    on = on.groupBy("sid", "run", (F.col("i") - F.col("step")).alias("off")).agg(F.collect_set("i").alias("is"))
+    on = on.select("sid", "run", "off", F.explode(stretches(F.sort_array("is"))).alias("x")).select("sid", "run", "off", "x.i", "x.windows")
+    on = on.join(runs.select("run", F.col("doc_id").alias("_doc"), F.col("rk").alias("_rk"), F.col("first").alias("_at")), "run")
+    place = F.struct(F.col("_doc").alias("doc_id"), F.col("_rk").alias("rk"), (F.col("_at") + F.col("i") - F.col("off")).cast("int").alias("first"))
+    on = on.groupBy("sid").agg(F.collect_list(F.struct("i", "windows", place.alias("source"))).alias("on"))
+    own = F.array(F.struct(F.lit(0).alias("i"), "windows", F.struct(F.col("low").alias("doc_id"), "rk", "first").alias("source")))
+    along = found.join(on, "sid", "left").withColumn("on", F.when(F.col("branches"), F.col("on")).otherwise(own)).where("on is not null")
+    along = scratch.table(along.select("anchor", "s1", "s2", "on", "n"), "along")
+    hits = hot_join(shared.select("anchor", "s1", "s2", "doc_id", "rk", "first"), along, ["anchor", "s1", "s2"], "n", shared.count())
+    hits = hits.select("doc_id", "rk", "first", F.explode(F.filter("on", lambda x: x["source"]["doc_id"] < F.col("doc_id"))).alias("x"))
+    hits = scratch.table(hits.select("doc_id", "rk", (F.col("first") + F.col("x.i")).alias("first"), "x.windows", "x.source"), "found")
+    scratch.free("anchors", "shared", "spans", "involved", "edges", "graph", "along")
+    verified(scratch, hits, texts, k)
+    return base, hits, texts, runs, scratch
+
+
+def stretches(places: Column) -> Column:
+    """The runs (i, windows) of consecutive numbers in a sorted array of at most PLACES."""
+    begins = F.filter(places, lambda i: ~F.array_contains(places, i - 1))
+    ends = F.filter(places, lambda i: ~F.array_contains(places, i + 1))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("i"), (b - a + 1).alias("windows")))
 
 
 def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
@@ -205,14 +319,17 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     Each word that a repeated window of ``k`` words covers is removed (see ``repeated_spans``); windows are judged on the
     input. Null and empty texts have no words, texts under ``k`` words no window. Repeated rows, having one doc_id,
     don't make each other repeated, and give repeated rows. A row without doc_id keeps its words and makes none go.
+    Empty input: empty result.
     """
-    base, found, texts = repeated_spans(docs, k)
-    spans_ = found.groupBy("rk").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
-    done = texts.join(spans_, "rk").select("rk", "text", "spans").mapInArrow(remove(k), "rk long, n_removed long, kept_sha256 string")
-    out = base.join(done, "rk", "left")
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
-    )
+    with small_batches(docs.sparkSession):
+        base, found, texts, _, scratch = repeated_spans(docs, k)
+        spans_ = found.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
+        done = texts.join(spans_, ["doc_id", "rk"]).select("doc_id", "rk", "text", "spans").mapInArrow(remove(k), "doc_id long, rk long, n_removed long, kept_sha256 string")
+        out = base.join(done, ["doc_id", "rk"], "left")
+        out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+        out = scratch.table(out, "removed")
+    scratch.free("rows", "texts", "found", "runs", "compacted", "path")
+    return out
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

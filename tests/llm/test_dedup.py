@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from notewarp.llm import ngram_join, substring
 
 rng = random.Random(11)
@@ -118,6 +120,47 @@ def test_removal(docs_of):
     assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_removal(rows)
 
 
+def brute_runs(rows, k):
+    """The nonbranching paths of the graph of the windows that two documents share, as sets of windows."""
+    seen = {}
+    for d, x in rows:
+        w = words(x, False)
+        for j in range(len(w) - k + 1):
+            seen.setdefault(tuple(w[j : j + k]), set()).add(d)
+    edges = [g for g, d in seen.items() if len(d) > 1]
+    out, into = {}, {}
+    for g in edges:
+        out.setdefault(g[:-1], []).append(g)
+        into.setdefault(g[1:], []).append(g)
+    return {g: out[g[1:]][0] for g in edges if len(out.get(g[1:], [])) == 1 == len(into[g[1:]])}, set(edges)
+
+
+def test_paths_are_nonbranching_and_whole(docs_of):
+    """Spans that differ around a shared middle: its edges compact to runs, and runs that meet at a node without branch to one path."""
+    middle = [f"m{i}" for i in range(70)]
+    rows = [(i, " ".join([f"a{i}{j}" for j in range(30)] + middle + [f"z{i}{j}" for j in range(30)])) for i in range(4)]
+    rows += [(9, " ".join(middle[:60])), (10, " ".join(["x"] * 5 + middle[15:] + ["y"] * 40))]
+    _, found, _, runs, _ = substring.repeated_spans(docs_of(rows), 50)
+    follows, edges = brute_runs(rows, 50)
+    got = runs.collect()
+    text = {d: words(x, False) for d, x in rows}
+    of = {}
+    for r in got:
+        at = [tuple(text[r["doc_id"]][r["first"] + i : r["first"] + i + 50]) for i in range(r["windows"])]
+        assert all(follows.get(a) == b for a, b in zip(at, at[1:]))
+        of |= {g: r["path"] for g in at}
+    assert got and set(of) <= edges and all(of[a] == of[b] for a, b in follows.items() if a in of and b in of)
+    assert {r["source"]["doc_id"] for r in found.collect()} <= {d for d, _ in rows}
+
+
+def test_words_are_compared(docs_of):
+    rows = [(1, " ".join(f"w{i}" for i in range(70))), (2, " ".join(f"w{i}" for i in range(60)))]
+    _, found, texts_, _, scratch = substring.repeated_spans(docs_of(rows), 50)
+    moved = found.withColumn("source", F.struct("source.doc_id", "source.rk", (F.col("source.first") + 1).alias("first")))
+    with pytest.raises(RuntimeError):
+        substring.verified(scratch, moved, texts_, 50)
+
+
 def test_sliding_minimum():
     import numpy as np
 
