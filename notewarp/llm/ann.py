@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ by_value(__name__)
 #: leaf has at least before it is split, and leaves that are aimed at.
 SAMPLE, BRANCHES, LEAF, LEAVES = 16_384, 8, 24, 128
 #: Queries for which all vectors are compared to calibrate the number of leaves, and the recall asked of them.
-PROBES, RECALL = 256, 0.95
+PROBES, RECALL = 256, 0.93
 #: Vectors and queries that meet in one task step at most.
 BLOCK, ASKED = 1024, 2048
 
@@ -112,7 +111,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def closest(asked: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, n: int):
-    """(query, vec_id, score) of the n best rows for each query, by (score, smaller id), without its own id."""
+    """(query, place of the row, score) of the n best rows for each query, by (score, smaller id), without those of its own id."""
     near = unit(asked) @ unit(rows).T
     near[own[:, None] == ids[None, :]] = -np.inf
     out = []
@@ -125,18 +124,19 @@ def closest(asked: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarra
         if len(ok):
             score = cosine(np.broadcast_to(asked[i], rows[ok].shape), rows[ok])
             best = np.lexsort((ids[ok], -score))[:n]
-            out.append((np.full(len(best), own[i]), ids[ok][best], score[best]))
+            out.append((np.full(len(best), own[i]), ok[best], score[best]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
 def probe_all(own: np.ndarray, asked: np.ndarray, n: int):
-    """For mapInArrow: the best of each batch for a few given queries, by comparison with every vector."""
+    """For mapInArrow: the best of each batch, and their leaves, for a few given queries, by comparison with every vector."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                q, v, s = closest(asked, np.array(batch["vec_id"]), own, vectors(batch["embedding"]), n)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+                q, at, s = closest(asked, np.array(batch["vec_id"]), own, vectors(batch["embedding"]), n)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), batch["vec_id"].take(at), pa.array(s, pa.float64()), batch["leaf"].take(at)], ["query_id", "vec_id", "score", "leaf"])
 
     return run
 
@@ -172,12 +172,13 @@ def ask_leaves(tree: Tree, counts: np.ndarray, width: int, n: int):
 
 
 def meet(n: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        asked, rows = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (left, right))
-        q, v, s = closest(asked, right["vec_id"].to_numpy(), left["query_id"].to_numpy(), rows, n)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, at, s = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        ids = right["vec_id"].combine_chunks()
+        if len(left) and len(right):
+            asked, rows = (vectors(x["embedding"].combine_chunks()) for x in (left, right))
+            q, at, s = closest(asked, np.array(ids), np.array(left["query_id"].combine_chunks()), rows, n)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": ids.take(pa.array(at, pa.int64())).cast(pa.int64()), "score": pa.array(s, pa.float64())})
 
     return run
 
@@ -193,46 +194,49 @@ def nearest_neighbours(table: DataFrame, every: int = 50, n: int = 5, recall: fl
     ``table``: vec_id, embedding; more columns are ignored. Nearness is the largest cosine in double precision on the
     vectors as they are, ties to the smaller vec_id; a query's own row is no candidate, and there are fewer than n rows
     only if there are fewer candidates. Vectors null, empty, zero or with null or non-finite components take no part, nor
-    do rows without vec_id or of another dimension than the most frequent one. Rows that repeat a vec_id count once (the
-    least of their vectors). Empty input: empty result.
+    do rows without vec_id or of another dimension than the most frequent one. Each row that repeats a vec_id is a candidate of
+    its own; such an id asks once, by the least of its vectors, and all its rows are its own. Empty input: empty result.
 
     A k-means tree of a bounded sample puts every vector into a leaf. A query goes through the tree with a priority queue
     of nodes by the cosine of their centres and visits leaves in that order. The number of visits is calibrated: for
     PROBES queries all vectors are compared, and the visits widen until they would have found ``recall`` of the true
     neighbours. Leaves and their queries meet in blocks of bounded size, so a leaf of equal vectors is no hot spot.
     """
+    with small_batches(table.sparkSession):
+        return _search(table, every, n, recall)
+
+
+def _search(table: DataFrame, every: int, n: int, recall: float) -> DataFrame:
     spark, scratch = table.sparkSession, Scratch(table.sparkSession, "ann")
-    small_batches(spark)
     rows = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "rows")
+    kind = rows.schema["embedding"].dataType.simpleString()
     size = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if size is None:
         return empty
     rows = rows.where(F.size("embedding") == size["d"])
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def some(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-        got = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(k).collect()
+        got = df.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(k).collect()
         return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64).reshape(len(got), -1 if got else 1)
 
+    own, asked = some(queries, PROBES)
+    if not len(own):
+        return empty
     tree = Tree(unit(some(rows, SAMPLE)[1]))
-    index = scratch.table(rows.mapInArrow(put_in_leaves(tree), "leaf long, vec_id long, embedding array<double>"), "index")
+    index = scratch.table(rows.mapInArrow(put_in_leaves(tree), f"leaf long, vec_id long, embedding {kind}"), "index")
     counts = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a leaf
         counts[r["leaf"]] = r["n"]
 
-    own, asked = some(queries, PROBES)
-    if not len(own):
-        return empty
-    truth = best(rows.mapInArrow(probe_all(own, asked, n), "query_id long, vec_id long, score double"), n)
-    truth = truth.join(index.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
+    truth = best(index.mapInArrow(probe_all(own, asked, n), "query_id long, vec_id long, score double, leaf long"), n).select("query_id", "leaf").collect()
     place = {q: {leaf: k for k, leaf in enumerate(tree.visits(row))} for q, row in zip(own.tolist(), unit(asked))}
     needed = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in truth) or [1]
     width = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
 
-    visits = queries.mapInArrow(ask_leaves(tree, counts, width, n), "leaf long, query_id long, embedding array<double>")
+    visits = queries.mapInArrow(ask_leaves(tree, counts, width, n), f"leaf long, query_id long, embedding {kind}")
     visits = scratch.table(visits, "visits")
     asked_of = {r["leaf"]: -(-r["n"] // ASKED) for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = spark.createDataFrame([(i, int(max(1, -(-counts[i] // BLOCK))), int(asked_of.get(i, 0))) for i in range(tree.leaves)], "leaf long, b int, a int")
@@ -244,9 +248,11 @@ def nearest_neighbours(table: DataFrame, every: int = 50, n: int = 5, recall: fl
         return df.withColumn(other + "_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("a", "b")
 
     cell = ["leaf", "a_part", "b_part"]
-    left, right = dealt(visits, "query_id", "a", "b"), dealt(index, "vec_id", "b", "a")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(meet(n), "query_id long, vec_id long, score double")
-    return best(found, n).select("query_id", "rank", "vec_id", "score")
+    left, right = dealt(visits, "query_id", "a", "b"), dealt(index.withColumn("_row", F.monotonically_increasing_id()), "_row", "b", "a").drop("_row")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet(n), "query_id long, vec_id long, score double")
+    found = scratch.table(best(found, n).select("query_id", "rank", "vec_id", "score"), "found")
+    scratch.free("rows", "index", "visits")
+    return found
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

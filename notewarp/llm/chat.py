@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, process_store, running_total, small_batches
+from .common import Scratch, by_value, hot_join, process_store, running_total, salted_join, small_batches
 
 by_value(__name__)
 
@@ -108,15 +108,15 @@ def build(turns: DataFrame, tokenizer: str, scratch: Scratch) -> None:
     steps = scratch.table(ranked.select("rank", F.posexplode("path").alias("at", "key"), "turns").withColumn("t", F.get("turns", F.col("at"))).drop("turns"), "steps")
     scratch.free("formatted", "order")
     # all that a key stands for is equal
-    nodes = steps.groupBy("key").agg(F.min(F.struct("rank", "at")).alias("_o"), F.first("t").alias("t"))
-    nodes = nodes.select("key", "_o.rank", F.col("_o.at").alias("at"), "t.role", "t.head", "t.body", "t.tail")
-    schema = "key string, rank long, at int, role string, head string, body string, tail string, tokens array<int>, _from long, _to long"
+    nodes = steps.groupBy("key").agg(F.min(F.struct("rank", "at")).alias("_o"), F.first("t").alias("t"), F.count(F.lit(1)).alias("uses"))
+    nodes = nodes.select("key", "_o.rank", F.col("_o.at").alias("at"), "uses", "t.role", "t.head", "t.body", "t.tail")
+    schema = "key string, rank long, at int, uses long, role string, head string, body string, tail string, tokens array<int>, _from long, _to long"
     nodes = scratch.table(nodes.mapInArrow(tokenize(tokenizer), schema).withColumn("n", F.size("tokens").cast("long")), "nodes")
 
-    placed = running_total(scratch, nodes.select("key", "rank", "at", "n"), [F.col("rank"), F.col("at")], {"n": "packed_start"}, "places")
+    placed = running_total(scratch, nodes.select("key", "rank", "at", "n", "uses"), [F.col("rank"), F.col("at")], {"n": "packed_start"}, "places")
     placed = scratch.table(placed, "placed")
-    owners = placed.select("key", F.col("rank").alias("_owner"), "packed_start", (F.col("packed_start") + F.col("n")).alias("_end"))
-    above = steps.select("rank", "key").join(owners, "key").where("_owner < rank")
+    owners = placed.select("key", F.col("rank").alias("_owner"), "packed_start", (F.col("packed_start") + F.col("n")).alias("_end"), "uses")
+    above = hot_join(steps.select("rank", "key"), owners, ["key"], "uses", steps.count()).where("_owner < rank")
     above = above.groupBy("rank", "_owner").agg(F.min("packed_start").alias("start"), F.max("_end").alias("end"))
     above = above.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("above"))
     heads = placed.groupBy("rank").agg(F.min("packed_start").alias("_head"))
@@ -151,7 +151,7 @@ def read_back(scratch: Scratch) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the written tree."""
     steps = scratch.read("conversations").select("conv_id", F.posexplode("path").alias("at", "key"))
     nodes = scratch.read("tree").select("key", "formatted", "loss")
-    parts = steps.join(nodes, "key").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss"))).alias("parts"))
+    parts = salted_join(steps, nodes, "key", "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss"))).alias("parts"))
     parts = parts.withColumn("formatted", F.array_join(F.transform("parts", lambda p: p["formatted"]), ""))
     lost = F.transform("parts", lambda p: unescape(F.substr(p["formatted"], p["loss"]["from"].cast("int") + 1, (p["loss"]["to"] - p["loss"]["from"]).cast("int"))))
     parts = parts.withColumns({"turns": parse(F.col("formatted")), "lost": F.array_join(lost, "")})

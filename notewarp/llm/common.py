@@ -150,6 +150,21 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     return some.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, parts: int = 32) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, where rows of ``right`` may be wide.
+
+    Keys with more than a HOT-th of the rows of ``left``, HOT at most, are dealt over ``parts`` by a hash of ``spread``, and
+    their rows of ``right`` go to each part.
+    """
+    most = max(1, left.count() // HOT)
+    hot = F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def running_total(scratch: Scratch, df: DataFrame, order: list, values: dict[str, str], name: str) -> DataFrame:
     """Adds for each (column, out) of ``values`` the sum of the column over all rows before this one in the global ``order``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Plain, Scratch
+from .common import WORD, Plain, Scratch, running_total
 
 #: Bits of the hash that each level of histogram resolves.
 LEVEL_BITS = 12
@@ -16,30 +16,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
-    """Target words per source.
+def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
+    """(_src, _source_size, _target): target words per source.
 
     ``sizes`` has one row per source: ``_src``, ``_source_size``. Sources by code point, null last, get ``weights`` in
     turn; ``budget`` times all words is shared by weight, no source above ``cap`` times its size, the excess reshared
     by weight until none is above. That fixed point is a water level: the capped sources are those of the smallest
-    capacity per weight, so one ordered pass over the (small, already aggregated) source table finds it.
+    capacity per weight, so running totals in that order find it. Sources may be many: both orders are dealt by range.
     """
-    order = Window.orderBy(F.col("_src").asc_nulls_last())
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    s = sizes.withColumn("_w", turn).withColumn("_cap", cap * F.col("_source_size"))
+    src = F.col("_src").asc_nulls_last()
+    s = running_total(scratch, sizes.withColumn("_one", F.lit(1).cast("long")), [src], {"_one": "_turn"}, "turns").drop("_one")
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_turn") % len(weights)).cast("int") + 1)
+    s = s.withColumn("_w", turn).drop("_turn").withColumn("_cap", cap * F.col("_source_size"))
     s = s.withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    up = Window.orderBy("_ratio", F.col("_src").asc_nulls_last())
-    below, rest = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    s = s.withColumn("_total", budget * F.sum("_source_size").over(Window.partitionBy())).withColumn(
-        "_level",
-        F.try_divide(F.col("_total") - F.coalesce(F.sum("_cap").over(below), F.lit(0.0)), F.sum("_w").over(rest)),
-    )
-    s = s.withColumn("_at", F.row_number().over(up))
-    first = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_at", "_level"))).over(Window.partitionBy())
-    s = s.withColumn("_water", first["_level"])
-    target = F.when(F.col("_water").isNull() | (F.col("_ratio") < F.col("_water")), F.col("_cap")).otherwise(
-        F.col("_w") * F.col("_water")
-    )
+    s = running_total(scratch, s, [F.col("_ratio"), src], {"_cap": "_caps", "_w": "_ws"}, "levels")
+    total, weight = s.agg(F.sum("_source_size"), F.sum("_w")).first()
+    level = F.try_divide(F.lit(budget * (total or 0)) - F.col("_caps"), F.lit(float(weight or 0)) - F.col("_ws"))
+    at = F.struct("_ratio", F.col("_src").isNull(), "_src", level.alias("_level"))
+    water = s.agg(F.min(F.when(level <= F.col("_ratio"), at))["_level"]).first()[0]
+    target = F.col("_cap") if water is None else F.when(F.col("_ratio") < F.lit(water), F.col("_cap")).otherwise(F.col("_w") * F.lit(water))
     return s.select("_src", "_source_size", target.alias("_target"))
 
 
@@ -73,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     )
     sized = sized.withColumns({f"_b{i}": bucket(i) for i in range(LEVELS)})
 
-    targets = source_targets(sized.groupBy("_src").agg(F.sum("size").alias("_source_size")), weights, budget, cap)
+    targets = source_targets(scratch, sized.groupBy("_src").agg(F.sum("size").alias("_source_size")), weights, budget, cap)
     whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
     plan = scratch.table(
         targets.withColumn("_whole", whole.cast("long")).withColumn(
@@ -111,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     chosen = scratch.table(sure.unionByName(last).drop("_in", "_edge"), "chosen")
     out = fill(scratch, chosen)
     copies = F.least(F.col("_whole") + F.col("_extra"), F.lit(int(cap)))
-    return out.select(
+    out = out.select(
         "doc_id",
         F.col("_src").alias("source"),
         F.col("_hash"),
@@ -121,6 +116,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
+    out = scratch.table(out, "mix")
+    scratch.free("sized", "turns", "levels", "targets", "edge", "chosen", "fill", *[f"level{i}" for i in range(LEVELS)])
+    return out
 
 
 def fill(scratch: Scratch, chosen: DataFrame) -> DataFrame:
@@ -174,7 +172,10 @@ def refine(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` as ``mix`` takes them, each as often as its copies, none if it has none."""
+    """The rows of ``docs``, with all their columns, as ``mix`` takes them: each as often as its copies, none if it has none.
+
+    Texts without words (null, empty) are taken as often as their hash says. Rows that are equal share their copies. Empty input: empty result.
+    """
     plan = mix(docs, weights, budget, cap, seed).groupBy(F.col("_hash").alias("_h"))
     plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
     plan = Scratch(docs.sparkSession, "mixed").table(plan, "copies")

@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The country codes of two digits; 1 and 7 have one, all others three (ITU-T E.164).
+TWO_DIGITS = (
+    20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66,
+    81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98,
+)
+#: Permutations after which a date that has not come back to its form would stay as it is; that many are never needed.
+WALK = 64
 #: Days from 1800-01-01 on that a date can be: 400 years, 146,097 days, the product of these two.
 EPOCH, DAYS = "1800-01-01", (189, 773)
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NANP_PLUS = r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
-ABROAD = r"(?<![\w+])\+[1-9]\d{0,2}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)"
+ABROAD = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{1,4}){2,6}(?!\d)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 YMD = r"(?<!\d)\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}(?!\d)"
@@ -161,7 +168,7 @@ def kind_of(s: Column) -> Column:
     return (
         F.when(x.contains("@"), F.lit("email"))
         .when(x.rlike(r"^[A-Z]"), F.when(mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
-        .when(x.startswith("+"), F.when((F.length(d) == 11) & d.startswith("1") & good_nanp, F.lit("nanp")).otherwise(F.lit("abroad")))
+        .when(x.startswith("+"), F.when((F.length(d) == 11) & d.startswith("1") & good_nanp, F.lit("nanp")).when(F.length(d).between(7, 15), F.lit("abroad")))
         .when(x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(s["p"], lambda o: o <= 255), F.lit("ip")))
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(area.between(1, 899) & (area != 666) & ~x.rlike(r"-00-|-0000$"), F.lit("ssn")))
         .when(s["date"].isNotNull(), F.lit("date"))
@@ -203,9 +210,8 @@ def pseudonym(f: Feistel, kind: Column, s: Column) -> Column:
         return let(out, lambda o: refill(x, F.concat(F.left(d, F.length(d) - 10), text(o["a"] + 200), text(o["b"] + 2_000_000))))
 
     def abroad() -> Column:
-        code = F.regexp_extract(x, r"^\+(\d{1,3})(?=\D)", 1)
-        code = F.when(code != "", code).otherwise(F.substr(d, F.lit(1), F.lit(2)))
-        return let(code, lambda c: refill(x, F.concat(c, f.number("abroad", F.substr(d, F.length(c) + 1)))))
+        size = F.when(d.rlike("^[17]"), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(*map(str, TWO_DIGITS)), 2).otherwise(3)
+        return let(size, lambda n: refill(x, F.concat(F.substr(d, F.lit(1), n), f.number("abroad", F.substr(d, n + 1)))))
 
     def ip() -> Column:
         a, b, c, e = (F.get(s["p"], F.lit(i)).cast("long") for i in range(4))
@@ -234,8 +240,17 @@ def pseudonym(f: Feistel, kind: Column, s: Column) -> Column:
             sep = F.regexp_extract(x, r"[\-/.]", 0)
             return let(order, lambda o: F.concat(F.get(o, F.lit(0)), sep, F.get(o, F.lit(1)), sep, F.get(o, F.lit(2))))
 
-        out = let(day, lambda n: f.pair("date", F.floor(n / DAYS[1]), n % DAYS[1], *DAYS))
-        return let(let(out, lambda o: F.date_add(F.lit(EPOCH).cast("date"), (o["a"] * DAYS[1] + o["b"]).cast("int"))), written)
+        def ok(t: Column) -> Column:
+            """Whether a date reads the same way: month first only where the day says so, without padding only where that shows."""
+            return ((p["first"] != "m") | (F.dayofmonth(t) > 12)) & (wide | (F.month(t) < 10) | (F.dayofmonth(t) < 10))
+
+        def step(at: Column, _: Column) -> Column:
+            moved = lambda o: let(o["a"] * DAYS[1] + o["b"], lambda n: F.struct(n.alias("n"), ok(F.date_add(F.lit(EPOCH).cast("date"), n.cast("int"))).alias("done")))
+            return F.when(at["done"], at).otherwise(let(f.pair("date", F.floor(at["n"] / DAYS[1]), at["n"] % DAYS[1], *DAYS), moved))
+
+        # permuted until it has the form of the value (cycle walking), so that it is read back as what it is
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(day.alias("n"), F.lit(False).alias("done")), step, lambda at: F.when(at["done"], at["n"]))
+        return let(F.coalesce(out, day), lambda n: written(F.date_add(F.lit(EPOCH).cast("date"), n.cast("int"))))
 
     def card() -> Column:
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), f.number("card", F.substr(d, F.lit(2), F.length(d) - 2)))
@@ -251,15 +266,19 @@ def pseudonym(f: Feistel, kind: Column, s: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, invert: bool = False) -> DataFrame:
     """``docs`` (text; more columns pass through) with values in ``text`` replaced, and ``n_values``, how many.
 
+    Where ``docs`` has a column n_values of its own that one stays, and the new one is called n_values_.
+
     Values are e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), US social security numbers, IBANs
     (modulus 97) and dates of 1800 to 2199. What is not valid stays. A value becomes another valid value of its kind
     and pattern by a keyed permutation, a Feistel network over the numbers of the kind, so equal values have equal
     pseudonyms in all documents, different ones of a pattern different ones, and ``invert`` with the same key gives the
-    values back. Of an address the domain stays, of a card the first digit, of a phone number the country's code, of an
-    IBAN the country; check digits are made anew. IPv4 numbers lose leading zeros; of dates with separators on which day
-    and month can be confused the day counts as first.
+    values back. Of an address the domain stays, of a card the first digit, of a phone number the country's code, however
+    the number is grouped (7 to 15 digits behind a plus sign in up to seven groups; groups that follow after one space are part of it), of an
+    IBAN the country; check digits are made anew. IPv4 numbers lose leading zeros. A date in which day and month can be confused
+    counts as day first; one that can be month first only stays so, and one without padding stays without.
 
-    Row by row, without a shuffle. Null text: null, 0 values. Texts without a digit or @ pass as they are.
+    Row by row, without a shuffle. Null text: null, 0 values. Texts without a digit or @ pass as they are. Repeated rows become
+    equal rows. Empty input: empty result.
     """
     f = Feistel(key, invert)
     some = F.col("text").rlike("[0-9@]")
@@ -272,7 +291,10 @@ def pseudonymise(docs: DataFrame, key: str, invert: bool = False) -> DataFrame:
     new = F.transform(names[0], lambda x: F.when(x["kind"].isNull(), x["s"]["x"]).otherwise(pseudonym(f, x["kind"], x["s"])))
     joined = F.array_join(F.zip_with(names[1], new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
     text = F.when(F.size(valid) > 0, joined).otherwise(F.col("text"))
-    return out.withColumns({"text": F.coalesce(text, F.col("text")), "n_values": F.coalesce(F.greatest(F.size(valid), F.lit(0)), F.lit(0)).cast("long")}).drop(*names)
+    count = "n_values"
+    while count in docs.columns:
+        count += "_"
+    return out.withColumns({"text": F.coalesce(text, F.col("text")), count: F.coalesce(F.greatest(F.size(valid), F.lit(0)), F.lit(0)).cast("long")}).drop(*names)
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

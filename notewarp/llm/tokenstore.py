@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, give_back, process_store, running_total, small_batches
+from .common import Scratch, by_value, give_back, process_store, running_total, salted_join, small_batches
 from .textnp import BASE_BYTE, BASE_WORD, mix64, powers, slices, spans
 
 by_value(__name__)
@@ -42,7 +42,8 @@ class Encoder:
     A byte-level BPE cuts a text by a pattern before it merges. The pattern always cuts before a space or line feed that
     stands between two characters that are not white space, and before a comma or full stop behind a letter or digit. So
     the ids of a text are those of its pieces between such places, one after the other. A text with such characters in
-    other places (``pieces_of`` tells) is encoded whole. Pieces are known by a 64-bit hash of their bytes.
+    other places (``pieces_of`` tells) is encoded whole. Ids are kept by the bytes of their piece; a 64-bit hash only finds
+    the equal pieces of one slice.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -56,8 +57,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,14 +72,13 @@ class Encoder:
         if len(self.new) > PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        keys = hashes.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in new]
-        if old:
-            new.update([(h, old[h]) for h in [keys[i] for i in missing] if h in old])
-            missing = [i for i in missing if keys[i] not in new]
         view = data.tobytes()
-        texts = [view[a:b].decode() for a, b in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())] if missing else []
-        new.update(zip([keys[i] for i in missing], self.raw(texts)))
+        keys = [view[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        missing = [x for x in keys if x not in new]
+        if old:
+            new.update([(x, old[x]) for x in missing if x in old])
+            missing = [x for x in missing if x not in new]
+        new.update(zip(missing, self.raw([x.decode() for x in missing])))
         found = list(map(new.__getitem__, keys))
         whole = np.flatnonzero(doubtful).tolist()
         found += self.raw([view[offsets[i] : offsets[i + 1]].decode() for i in whole]) if whole else []
@@ -171,10 +171,13 @@ def merkle(hashes: list[bytes]) -> bytes:
     return hashes[0]
 
 
+ROWS = "kind string, key binary, doc_id long, n_tokens long, root binary, recipe array<struct<off:bigint,n:int,hash:binary>>, n int, payload binary"
+
+
 def chunked(path: str, end_id: int):
-    """Rows of chunks: document row, place in it, hash, and the ids where this task meets the hash for the first time."""
-    names = ["rk", "doc_id", "ord", "off", "n", "hash", "n_tokens", "root", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    """Rows of ROWS. Kind recipe: a document and its chunks; ``key`` is its own. Kind chunk: ids where this task meets their hash, the ``key``, for the first time."""
+    chunk = pa.struct([("off", pa.int64()), ("n", pa.int32()), ("hash", pa.binary())])
+    names = ["kind", "key", "doc_id", "n_tokens", "root", "recipe", "n", "payload"]
 
     def run(batches):
         kept = process_store("tokens")
@@ -188,68 +191,87 @@ def chunked(path: str, end_id: int):
                 # each document's end id goes in behind its ids
                 ids = np.insert(found, first[1:], end_id)
                 first = first + np.arange(len(first))
-                places = cut_places(ids)
-                raw, out = ids.tobytes(), [[] for _ in names]
+                places, raw = cut_places(ids), ids.tobytes()
                 at = np.searchsorted(places, first[:-1] + ROLL), np.searchsorted(places, first[1:], "right")
-                for doc, begin, end, low, high in zip(batch["doc_id"].slice(a, b - a).to_pylist(), first[:-1].tolist(), first[1:].tolist(), *(x.tolist() for x in at)):
-                    last, mine = 0, []
-                    for k, e in enumerate(cuts(end - begin, (places[low:high] - begin).tolist())):
+                off, size, hashes, upto, roots, fresh = [], [], [], [0], [], []
+                for begin, end, low, high in zip(first[:-1].tolist(), first[1:].tolist(), *(x.tolist() for x in at)):
+                    last = 0
+                    for e in cuts(end - begin, (places[low:high] - begin).tolist()):
                         payload = raw[(begin + last) * width : (begin + e) * width]
                         h = hashlib.sha256(payload).digest()
-                        mine.append(h)
-                        fresh = h not in seen
-                        seen.add(h)
-                        for x, v in zip(out, (row, doc, k, last, e - last, h, end - begin, None, payload if fresh else None)):
-                            x.append(v)
+                        off.append(last)
+                        size.append(e - last)
+                        hashes.append(h)
+                        if h not in seen:
+                            seen.add(h)
+                            fresh.append((h, e - last, payload))
                         last = e
-                    out[7][-1] = merkle(mine)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+                    roots.append(merkle(hashes[upto[-1] :]))
+                    upto.append(len(hashes))
+                n = b - a
+                recipe = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(off, pa.int64()), pa.array(size, pa.int32()), pa.array(hashes, pa.binary())], fields=list(chunk)))
+                own = [(row + i).to_bytes(8, "big") for i in range(n)]
+                row += n
+                cols = [same("recipe", n), pa.array(own, pa.binary()), batch["doc_id"].slice(a, n), pa.array(np.diff(first)), pa.array(roots, pa.binary()), recipe, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+                m = len(fresh)
+                h, size, payload = zip(*fresh) if m else ((), (), ())
+                cols = [same("chunk", m), pa.array(h, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(chunk)), pa.array(size, pa.int32()), pa.array(payload, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
         give_back()  # what comes next needs the memory
 
+    def same(value, n):
+        return pa.array([value]).take(pa.array(np.zeros(n, np.int32)))
+
     return run
 
 
+#: Children of a node of the manifest.
+FAN = 1024
+
+
+def write_manifest(scratch: Scratch, documents: DataFrame, name: str) -> bytes | None:
+    """The root of a hash tree over all documents in order (ord, start, n_tokens, root), its levels written as ``name``0 and so on.
+
+    A leaf is the SHA-256 of a document's start, length and root, a node that of its up to FAN children in order.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.col("start").cast("string"), F.col("n_tokens").cast("string"), F.hex("root")).cast("binary"), 256)
+    level, step = documents.select("ord", leaf.alias("hash")), 0
+    while True:
+        nodes = level.groupBy(F.floor(F.col("ord") / FAN).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "hash"))).alias("below"))
+        below = F.array_join(F.transform("below", lambda x: x["hash"]), "")
+        level = scratch.table(nodes.select("ord", F.sha2(below.cast("binary"), 256).alias("hash")), f"{name}{step}")
+        top = level.limit(2).collect()
+        if len(top) < 2:
+            return top[0]["hash"] if top else None
+        step += 1
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch) -> None:
     """Writes the ids of all texts under ``scratch`` in ascending doc_id order.
 
-    ``store/kind=chunk``: hash, n, payload (ids, little-endian, two bytes if the vocabulary fits, else four), each once.
-    ``documents``: one row per document in ascending order of (doc_id, ids), null doc_id first: start, n_tokens, the
-    root of its hash tree, and its recipe: chunks as (off, n, hash). ``shards``: one row per file range of ``documents``:
-    first start, number of ids and a digest over its documents' starts and roots.
+    ``store/kind=chunk``: key (the hash), n, payload (ids, little-endian, two bytes if the vocabulary fits, else four), each once.
+    ``documents``: one row per document in ascending order of (doc_id, ids), null doc_id first: its number ``ord``, start, n_tokens, the
+    root of its hash tree, and its recipe: chunks as (off, n, hash). ``manifest``: the tree over all documents; ``root`` its root.
     """
-    small_batches(docs.sparkSession, SLICE)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "rk long, doc_id long, ord int, off long, n int, hash binary, n_tokens long, root binary, payload binary"
-    rows = docs.mapInArrow(chunked(tokenizer, end_id), schema)
-    # the hash meets all its rows in one partition; only the first has the ids, and rows without them are small
-    one = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("payload").isNull(), "rk", "ord"))
-    rows = rows.withColumn("_one", one)
-    kinds = F.when(F.col("_one") == 1, F.array(F.lit("chunk"), F.lit("recipe"))).otherwise(F.array(F.lit("recipe")))
-    rows = rows.withColumn("kind", F.explode(kinds)).drop("_one")
-    rows = rows.withColumn("payload", F.when(F.col("kind") == "chunk", F.col("payload")))
+    # a recipe's key is its own, and a task sends a hash once: no key has more rows than there are tasks
+    rows = docs.mapInArrow(chunked(tokenizer, end_id), ROWS).repartition("key")
+    rows = rows.withColumn("_one", F.row_number().over(Window.partitionBy("key").orderBy("n"))).where("_one = 1").drop("_one")
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(scratch.path("store"))
-    recipe = store(scratch).where("kind = 'recipe'").drop("payload")
-    recipe = recipe.groupBy("rk").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.max("root").alias("root"),
-        F.sort_array(F.collect_list(F.struct("off", "n", "hash"))).alias("recipe"),
-    )
+    recipes = store(scratch).where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "recipe", F.lit(1).cast("long").alias("one"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("root")]
-    placed = running_total(scratch, recipe, order, "n_tokens", "start", "ranges")
-    placed = placed.repartitionByRange(docs.sparkSession.sparkContext.defaultParallelism, "start").sortWithinPartitions("start")
-    placed = placed.withColumn("shard", F.spark_partition_id())
-    placed.select("shard", "doc_id", "start", "n_tokens", "root", "recipe").write.parquet(scratch.path("documents"))
+    placed = running_total(scratch, recipes, order, {"n_tokens": "start", "one": "ord"}, "ranges")
+    placed = placed.repartitionByRange(docs.sparkSession.sparkContext.defaultParallelism, "ord").sortWithinPartitions("ord")
+    documents = scratch.table(placed.select("ord", "doc_id", "start", "n_tokens", "root", "recipe"), "documents")
     scratch.free("ranges")
-    done = scratch.read("documents").select("shard", "start", "n_tokens", F.sha2("root", 256).alias("_h"))
-    shards = done.groupBy("shard").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_ids"), F.bit_xor(F.xxhash64("start", "_h")).alias("digest"))
-    shards.write.parquet(scratch.path("shards"))
+    root = write_manifest(scratch, documents.select("ord", "start", "n_tokens", "root"), "manifest")
+    scratch.table(docs.sparkSession.createDataFrame([(root,)], "root string"), "root")
 
 
 def store(scratch: Scratch) -> DataFrame:
-    schema = "rk long, doc_id long, ord int, off long, n int, hash binary, n_tokens long, root binary, payload binary, kind string"
-    return scratch.spark.read.schema(schema).parquet(scratch.path("store"))
+    names = [x.split(" ")[0] for x in ROWS.split(", ")]
+    return scratch.spark.read.schema(ROWS).parquet(scratch.path("store")).select(*names)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -299,7 +321,7 @@ def read_recipes(batches):
                 for o, v in zip(out, (start, x["hash"], x["n"], 4 * (n - x["off"] - x["n"]))):
                     o.append(v)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["start", "hash", "n", "behind"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["start", "key", "n", "behind"])
 
 
 def shift_rows(batches):
@@ -311,17 +333,36 @@ def shift_rows(batches):
 def read_store(scratch: Scratch, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    Each chunk is read and checked once. The CRC of a document is put together from those of its chunks (CRCs are
-    linear), so no ids are shuffled.
+    The manifest's root must come out of the documents, each document's root out of its recipe, each chunk's hash out of its
+    ids; all else is an error. Each chunk is read once. The CRC of a document is put together from those of its chunks (CRCs are
+    linear), so no ids are shuffled. A chunk of very many documents is dealt over several tasks.
     """
     documents = scratch.read("documents")
-    chunks = store(scratch).where("kind = 'chunk'").select("hash", "n", "payload").mapInArrow(read_chunks(width), "hash binary, crc long")
-    parts = documents.select("start", "n_tokens", "root", "recipe").mapInArrow(read_recipes, "start long, hash binary, n long, behind long")
-    parts = parts.join(chunks, "hash").select("start", "n", "crc", "behind").mapInArrow(shift_rows, "start long, n long, crc long")
+    root = write_manifest(scratch, documents.select("ord", "start", "n_tokens", "root"), "read")
+    if root != scratch.read("root").first()["root"]:
+        raise ValueError("the documents do not give the root of the manifest")
+    chunks = store(scratch).where("kind = 'chunk'").select(F.col("key").alias("hash"), "n", "payload").mapInArrow(read_chunks(width), "hash binary, crc long")
+    parts = documents.select("start", "n_tokens", "root", "recipe").mapInArrow(read_recipes, "start long, key binary, n long, behind long")
+    parts = salted_join(scratch.table(parts, "parts"), chunks.withColumnRenamed("hash", "key"), "key", "start")
+    parts = parts.select("start", "n", "crc", "behind").mapInArrow(shift_rows, "start long, n long, crc long")
     whole = parts.groupBy("start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return documents.select("doc_id", "start").join(whole, "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def read_ids(scratch: Scratch, width: int = 2) -> DataFrame:
+    """(doc_id, start, ids) of every document, put together from its recipe and the chunks; ids are an array in order."""
+    documents = scratch.read("documents").select("doc_id", "start", F.explode("recipe").alias("c")).select("doc_id", "start", "c.off", F.col("c.hash").alias("key"))
+    chunks = store(scratch).where("kind = 'chunk'").select("key", "payload")
+    parts = salted_join(documents, chunks, "key", "start").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("off", "payload"))).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            ids = [np.frombuffer(b"".join(x["payload"] for x in parts), f"<u{width}").astype(np.int64) for parts in batch["parts"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+
+    return parts.mapInArrow(run, "doc_id long, start long, ids array<long>")
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes the ids of every row of ``docs`` (doc_id, text; more columns are ignored) and reads the files back.
 
@@ -329,11 +370,14 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     Rows are in ascending doc_id order, null first; rows of one doc_id by number of ids and root. Repeated rows are
     written as often as they occur, their chunks once. Empty input: empty result.
     """
-    scratch = Scratch(docs.sparkSession, "tokens")
-    write_store(docs, tokenizer, end_id, scratch)
     from tokenizers import Tokenizer
 
-    return read_store(scratch, 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4)
+    scratch = Scratch(docs.sparkSession, "tokens")
+    with small_batches(docs.sparkSession, SLICE):
+        write_store(docs, tokenizer, end_id, scratch)
+        found = scratch.table(read_store(scratch, 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4), "found")
+    scratch.free("parts")
+    return found
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

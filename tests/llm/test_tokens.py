@@ -49,15 +49,41 @@ def test_chunks_are_stored_once_and_damage_is_found(docs_of, spark):
     scratch = Scratch(spark, "t")
     S.write_store(docs_of([(i, f"{i} " + base) for i in range(6)]), PATH, 0, scratch)
     chunks = S.store(scratch).where("kind = 'chunk'")
-    assert chunks.count() == chunks.select("hash").distinct().count()
+    assert chunks.count() == chunks.select("key").distinct().count()
     stored, whole = chunks.selectExpr("sum(n) n").first()["n"], scratch.read("documents").selectExpr("sum(n_tokens) n").first()["n"]
     assert stored < whole / 3
     assert S.read_store(scratch).count() == 6
-    bad = chunks.selectExpr("hash", "n", "concat(substring(payload, 2), substring(payload, 1, 1)) payload").toArrow().to_batches()
+    bad = chunks.selectExpr("key hash", "n", "concat(substring(payload, 2), substring(payload, 1, 1)) payload").toArrow().to_batches()
     with pytest.raises(ValueError):
         list(S.read_chunks(2)(bad))
 
 
+def test_ids_and_manifest(docs_of, spark, tok):
+    rows = [(i, "same text" if i % 3 else f"text {i} " * (50 * i)) for i in range(40)] + [(None, None)]
+    scratch = Scratch(spark, "m")
+    S.write_store(docs_of(rows), PATH, 0, scratch)
+    got = {r["doc_id"]: r["ids"] for r in S.read_ids(scratch).collect()}
+    assert got == {d: [*tok.encode(x or "", add_special_tokens=False).ids, 0] for d, x in rows}
+    documents = scratch.read("documents").select("ord", "start", "n_tokens", "root")
+    assert sorted(r["ord"] for r in documents.collect()) == list(range(41))
+    moved = documents.withColumn("start", documents["start"] + (documents["ord"] == 7).cast("long"))
+    roots = {S.write_manifest(scratch, x, f"x{i}_") for i, x in enumerate((documents, documents.repartition(7), moved))}
+    assert len(roots) == 2 and scratch.read("root").first()["root"] in roots
+
+
+def test_manifest_has_levels(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(S, "FAN", 3)
+    df = spark.range(20).selectExpr("id ord", "id * 2 start", "2L n_tokens", "cast(id as string) root").selectExpr("ord", "start", "n_tokens", "cast(root as binary) root")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [sha(f"{2 * i}|2|{str(i).encode().hex().upper()}") for i in range(20)]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    assert S.write_manifest(Scratch(spark, "l"), df, "n") == level[0]
+    assert S.write_manifest(Scratch(spark, "l"), df.where("false"), "n") is None
+
+
 def test_crcs_of_parts():
     raw = rng.randbytes(5000)
     for cut in (0, 1, 1234, 5000):
