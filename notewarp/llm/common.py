@@ -85,6 +85,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.named: dict[str, str] = {}
         self.opened.append(self)
 
     def path(self, name: str) -> str:
@@ -98,12 +99,23 @@ class Scratch:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def buckets(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """A table dealt into files by ``keys``, so that joins on them leave its rows where they are."""
+        n, own = shuffle_partitions(self.spark), f"{name}_{uuid.uuid4().hex}"
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", self.path(name)).saveAsTable(own)
+        self.named[name] = own
+        return self.spark.table(own)
+
     def free(self, *names: str) -> None:
-        """Deletes the tables of these names, or without any the whole folder."""
+        """Deletes the tables of these names, or without any the whole folder, and lets Spark drop the shuffles that made them."""
         jvm = self.spark.sparkContext._jvm
+        for name in list(names or self.named):
+            if name in self.named:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(name)}")
         for at in [self.path(n) for n in names] or [self.root]:
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # the driver drops the files of shuffles that nothing refers to
 
 
 @contextmanager
