@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
+from collections.abc import Callable, Iterable
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.terms import extract_terms
 from .operators import catalog, search
-from .operators.embed import PREFIX, Embedder, HashEmbedder
+from .operators.embed import PREFIX, Embedder, HashEmbedder, Opened, client_of, write_log
 from .operators.ingest import Decoders, ingest
 from .operators.store import Store
 from .settings import FILE_TYPES, MODES, Settings
@@ -26,15 +29,15 @@ def as_json(value) -> str:
 class Vault:
     """An indexed directory. Each tool returns JSON text; what goes wrong is ``{"error": ...}``."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, decoders: Decoders | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | Opened | None = None, decoders: Decoders | None = None, settings: Settings | None = None):
         if not root:
             raise ValueError("the directory is not set")
         self.spark, self.root = spark, os.path.realpath(os.path.expanduser(root))
-        self.store, self.decoders = Store(spark, store), decoders
+        self.store, self.decoders, self.settings = Store(spark, store), decoders, settings
         self.embedder = embedder or HashEmbedder()
 
     def vector(self, query: str) -> list[float]:
-        return self.embedder.embed([PREFIX["query"] + query])[0]
+        return client_of(self.embedder).embed([PREFIX["query"] + query])[0]
 
     def inside(self, path: str) -> str:
         """The real path, as given or below the directory; it must lie in the directory."""
@@ -75,7 +78,7 @@ class Vault:
             path = self.inside(file_path)
             if not os.path.isfile(path):
                 raise FileNotFoundError(f"File not found: {file_path}")
-            counts = ingest(self.spark, self.root, self.store, self.embedder, paths=[path], decoders=self.decoders)
+            counts = ingest(self.spark, self.root, self.store, self.embedder, paths=[path], decoders=self.decoders, settings=self.settings)
         except (OSError, ValueError) as e:
             return as_json({"error": str(e)})
         return as_json({"file_path": path, "chunks_indexed": counts["chunks"], "errors": counts["errors"]})
@@ -112,14 +115,44 @@ class Vault:
         return as_json({"files": page, "total": total, "offset": offset, "limit": limit, "has_more": more, "next_offset": offset + limit if more else None})
 
 
+#: The tools that ``serve`` offers.
+TOOLS = ("semantic_search", "lexical_search", "hybrid_search", "index_status", "reindex", "get_file", "list_files")
+
+
+def serve(vault: Vault, lines: Iterable[str], out: Callable[[str], None]) -> None:
+    """Answers one JSON line {"tool", "arguments"} after the other with a JSON line {"tool", "result"}; a bad line gets an error."""
+    if vault.settings and vault.settings.diagnostics:
+        write_log(vault.spark, vault.settings.diagnostics, vault.settings)
+    for line in lines:
+        try:
+            asked = json.loads(line)
+            name = asked["tool"]
+            if name not in TOOLS:
+                raise ValueError(f"Unknown tool '{name}'. Must be one of: {list(TOOLS)}")
+            answer = {"tool": name, "result": getattr(vault, name)(**asked.get("arguments", {}))}
+        except (ValueError, KeyError, TypeError) as e:
+            answer = {"error": f"{type(e).__name__}: {e}"}
+        out(json.dumps(answer, ensure_ascii=False))
+
+
+def loaded(place: str | None):
+    """The object named by ``module:name``."""
+    if not place:
+        return None
+    module, _, name = place.partition(":")
+    return getattr(import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> int:
-    """notewarp ingest --vault DIR --store DIR [--file F] [--force-rebuild] [--md-only | --text-only | --full]"""
+    """notewarp ingest | status | search | serve --vault DIR --store DIR; settings come from NOTEWARP_ variables and .env"""
     parser = argparse.ArgumentParser(prog="notewarp", description=main.__doc__)
-    parser.add_argument("command", choices=["ingest", "status", "search"])
+    parser.add_argument("command", choices=["ingest", "status", "search", "serve"])
     settings = Settings.read(dict(os.environ), ".env")
     parser.add_argument("--vault", default=settings.vault)
     parser.add_argument("--store", default=settings.store)
     parser.add_argument("--file")
+    parser.add_argument("--decoders", help="module:name of a Decoders object for PDF, audio and images")
+    parser.add_argument("--embedder", help="module:name of an embedder, or of an Opened one")
     parser.add_argument("--query", default="")
     parser.add_argument("--force-rebuild", action="store_true")
     parser.add_argument("--purge", action="store_true")
@@ -129,15 +162,17 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     if not args.vault or not args.store:
         parser.error("--vault and --store must be set")
-    vault = Vault(SparkSession.builder.appName("notewarp").getOrCreate(), args.vault, args.store)
-    if args.command == "search":
+    vault = Vault(SparkSession.builder.appName("notewarp").getOrCreate(), args.vault, args.store, loaded(args.embedder), loaded(args.decoders), settings)
+    if args.command == "serve":
+        serve(vault, sys.stdin, lambda x: print(x, flush=True))
+    elif args.command == "search":
         print(vault.hybrid_search(args.query))
     elif args.command == "status":
         print(vault.index_status())
     elif args.file:
         print(vault.reindex(args.file))
     else:
-        print(as_json(ingest(vault.spark, vault.root, vault.store, vault.embedder, args.mode or "full", purge=args.purge, rebuild=args.force_rebuild)))
+        print(as_json(ingest(vault.spark, vault.root, vault.store, vault.embedder, args.mode or "full", purge=args.purge, decoders=vault.decoders, rebuild=args.force_rebuild, settings=settings, report=print)))
     return 0
 
 

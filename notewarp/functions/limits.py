@@ -23,27 +23,25 @@ def pace(calls: DataFrame, rpm: float, last: float = 0.0, by: tuple[str, ...] =
     return calls.withColumn("emit", F.col("_spent") + F.greatest(F.lit(last), F.max("_slack").over(w))).drop("_spent", "_slack")
 
 
-def adapt(limited: Column, s: Settings = Settings()) -> Column:
-    """The states (batch, failures, successes) after each of an ordered array of outcomes, true for one that was limited.
+def adapt(calls: DataFrame, s: Settings = Settings(), by: tuple[str, ...] = (), order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+    """Adds (batch, failures, successes), the state after each call, to ordered calls with a boolean ``hit``: it was limited.
 
-    A limited call shrinks the batch by the factor down to the least; after enough successes in a row it is restored.
+    A limited call shrinks the batch by the factor down to the least; after enough successes in a row it is restored. So
+    the state is told by two counts, which windows give in time linear in the calls: successes since the last hit, and hits
+    since the batch was last restored.
     """
-    first = F.struct(F.lit(s.batch).alias("batch"), F.lit(0).alias("failures"), F.lit(0).alias("successes"))
-
-    def step(states: Column, hit: Column) -> Column:
-        now = F.element_at(states, -1)
-        less = F.greatest(F.lit(s.min_batch), F.floor(now["batch"] * s.factor).cast("int"))
-        calm = (F.lit(s.recovery) > 0) & (now["successes"] + 1 >= s.recovery)
-        return F.array_append(
-            states,
-            F.struct(
-                F.when(hit, less).when(calm, F.lit(s.batch)).otherwise(now["batch"]).alias("batch"),
-                F.when(hit, now["failures"] + 1).when(calm, 0).otherwise(now["failures"]).alias("failures"),
-                F.when(hit | calm, 0).otherwise(now["successes"] + 1).alias("successes"),
-            ),
-        )
-
-    return F.aggregate(limited, F.array(first), step, lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))))
+    up = lambda *key: Window.partitionBy(*by, *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    calls = calls.withColumn("_hits", one(hit).over(up())).withColumn("_calm", one(~hit).over(up("_hits")))
+    restored = (F.col("_calm") == s.recovery) if s.recovery > 0 else F.lit(False)
+    calls = calls.withColumn("_epoch", one(restored).over(up())).withColumn("failures", one(hit).over(up("_epoch")))
+    ladder = [s.batch]
+    while len(ladder) < 64 and (less := max(s.min_batch, int(ladder[-1] * s.factor))) != ladder[-1]:
+        ladder.append(less)
+    batch = F.get(F.array(*[F.lit(b) for b in ladder]), F.least(F.col("failures"), F.lit(len(ladder) - 1)).cast("int"))
+    calm = F.col("_calm") % s.recovery if s.recovery > 0 else F.col("_calm")
+    return calls.withColumns({"batch": batch, "successes": calm}).drop("_hits", "_calm", "_epoch")
 
 
 def retryable(message: Column) -> Column:

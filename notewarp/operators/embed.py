@@ -6,15 +6,16 @@ import hashlib
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.limits import HEADER_TAGS
@@ -152,18 +153,40 @@ class Limiter:
         raise AssertionError
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, settings: Settings | None = None, share: int | None = None) -> DataFrame:
-    """``chunks`` with ``embedding`` and, where that failed, ``error``.
+#: What a worker keeps of the clients it has opened.
+CLIENTS: dict[str, Embedder] = {}
+
+
+@dataclass(frozen=True)
+class Opened:
+    """A client that each Python worker opens once, by ``make``; tasks carry the function, not the client."""
+
+    make: Callable[[], Embedder]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def client(self) -> Embedder:
+        if self.name not in CLIENTS:
+            CLIENTS[self.name] = self.make()
+        return CLIENTS[self.name]
+
+
+def client_of(embedder: Embedder | Opened) -> Embedder:
+    return embedder.client() if isinstance(embedder, Opened) else embedder
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder | Opened, settings: Settings | None = None, share: int | None = None) -> DataFrame:
+    """``chunks`` with ``embedding`` and, where that failed, ``error``; ``calls`` has the records of calls as JSON lines where ``settings`` ask for diagnostics.
 
     A chunk with content is embedded by itself, texts in batches of the size that the worker's limiter has when the
     batch begins. A failed batch marks its own rows only. ``share`` tasks are taken to run at once (by default all cores).
     """
-    settings, share = settings or Settings(rpm=1e9), share or chunks.sparkSession.sparkContext.defaultParallelism
+    settings, share, opened = settings or Settings(rpm=1e9), share or chunks.sparkSession.sparkContext.defaultParallelism, embedder
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = Limiter(settings, share)
+        limiter, embedder = Limiter(settings, share), client_of(opened)
         for b in batches:
             out: list[list[float] | None] = [None] * len(b)
+            calls: list[list[str]] = [[] for _ in range(len(b))]
             errors = b["error"].tolist()
             todo = [i for i, e in enumerate(errors) if e is None]
             media = {i for i in todo if "content" in b and b["content"].iloc[i] is not None}
@@ -181,9 +204,10 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, settings: Settings | Non
                         return [embedder.embed_media(bytes(rows[0]["content"]), rows[0]["mime_type"] or "")]
                     return embedder.embed([PREFIX["document"] + r["text"] for r in rows])
 
+                log = (lambda entry, own=calls[group[0]]: own.append(json.dumps(entry, ensure_ascii=False, default=str))) if settings.diagnostics else None
                 try:
                     limiter.wait(len(group))
-                    made = limiter.call(fn, "media" if one else "text", len(group), size // 4)
+                    made = limiter.call(fn, "media" if one else "text", len(group), size // 4, log)
                     if any(len(v) != embedder.dim for v in made) or len(made) != len(group):
                         raise ValueError(f"vectors must be {len(group)} of {embedder.dim} numbers")
                     for i, v in zip(group, made):
@@ -191,17 +215,18 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, settings: Settings | Non
                 except Exception as e:  # see Limiter.call; the rows keep the error
                     for i in group:
                         errors[i] = str(e)[:300] or type(e).__name__
-            yield b.assign(embedding=out, error=errors)
+            yield b.assign(embedding=out, error=errors, calls=calls)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    return chunks.mapInPandas(run, f"{fields}, embedding array<float>")
+    return chunks.mapInPandas(run, f"{fields}, embedding array<float>, calls array<string>")
 
 
-def write_log(path: str) -> Callable[[dict], None]:
-    """A log that appends JSON lines to a file."""
+def snapshot(settings: Settings) -> str:
+    """The settings as one JSON line, to begin a log with."""
+    return json.dumps({"ts": datetime.now(timezone.utc).isoformat(), "kind": "config"} | asdict(settings), ensure_ascii=False)
 
-    def log(entry: dict) -> None:
-        with open(path, "a", encoding="utf-8") as f:
-            f.write(json.dumps(entry, ensure_ascii=False, default=str) + "\n")
 
-    return log
+def write_log(spark: SparkSession, path: str, settings: Settings, embedded: DataFrame | None = None) -> None:
+    """Appends a snapshot of the settings, or the records of calls, as JSON lines to the folder ``path`` of any file system."""
+    lines = spark.createDataFrame([(snapshot(settings),)], "value string") if embedded is None else embedded.select(F.explode("calls").alias("value"))
+    lines.write.mode("append").text(path)

@@ -29,7 +29,8 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tracker_stats(_state(spark, sf_dir))
+    docs = t.table(spark, sf_dir, "documents")
+    return C.tracker_stats(docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("doc_id").cast("double").alias("indexed_at")))
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ h AS (SELECT rel_path, CASE WHEN ext IN ('.md', '.canvas') THEN 'text' WHEN ext
 SQL = {
     "index_status": "SELECT CASE WHEN n_chars > 100 THEN lang ELSE 'unknown' END AS file_type, count(*) AS n_chunks FROM documents GROUP BY 1",
     "indexed_files": "SELECT DISTINCT source AS file_path FROM documents WHERE n_chars > 100 ORDER BY 1",
-    "tracker_stats": f"WITH {_STATE} SELECT count(*) AS tracked_files, max(indexed_at) AS last_indexed_at FROM state",
+    "tracker_stats": "SELECT count(*) AS tracked_files, max(CAST(doc_id AS DOUBLE)) AS last_indexed_at FROM documents",
     "incremental_diff": f"WITH {_STATE}, {_NOW} SELECT path, mtime FROM now_ n WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.file_path = n.path AND s.mtime >= n.mtime)",
     "orphans": f"WITH {_STATE}, {_NOW} SELECT file_path FROM state EXCEPT SELECT path FROM now_",
     "mark_indexed": f"WITH {_STATE}, {_NOW} SELECT path AS file_path, mtime, CAST(1e9 AS DOUBLE) AS indexed_at FROM now_ UNION ALL SELECT * FROM state WHERE file_path NOT IN (SELECT path FROM now_)",

@@ -18,12 +18,9 @@ def pace_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adaptive_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch size after each call of a user, an error being a limited call."""
-    calls = t.table(spark, sf_dir, "events").groupBy("user_id")
-    calls = calls.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == "error").alias("hit")))).alias("c"))
-    states = F.arrays_zip(F.col("c").alias("c"), L.adapt(F.transform("c", lambda x: x["hit"])).alias("s"))
-    return calls.select(F.explode(states).alias("x")).select(
-        F.col("x.c.event_id").alias("event_id"), F.col("x.s.batch").cast("long").alias("batch"), F.col("x.s.failures").cast("long").alias("failures"), F.col("x.s.successes").cast("long").alias("successes")
-    )
+    calls = t.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("hit"))
+    states = L.adapt(calls, by=("user_id",), order=("ts", "event_id"))
+    return states.select("event_id", *[F.col(c).cast("long").alias(c) for c in ("batch", "failures", "successes")])
 
 
 def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:

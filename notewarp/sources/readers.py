@@ -40,6 +40,14 @@ def numbered(df: DataFrame, chunks: Column, keep: tuple[str, ...] = ()) -> DataF
     return df.select("file_path", *keep, F.posexplode(chunks).alias("chunk_index", "_c")).select("file_path", *keep, F.col("chunk_index").cast("long"), "_c.*")
 
 
+def with_errors(df: DataFrame, chunks: Column, file_type: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of each row without ``error``, and one row for each with: a single pass over what was read."""
+    rows = df.select("file_path", *keep, "error", F.posexplode_outer(F.when(F.col("error").isNull(), chunks)).alias("chunk_index", "_c"))
+    rows = rows.where("chunk_index is not null or error is not null")
+    type_ = F.when(F.col("error").isNull(), F.lit(file_type)).alias("file_type")
+    return as_chunks(rows.select("file_path", *keep, "error", F.col("chunk_index").cast("long"), type_, "_c.*"))
+
+
 def front_matter(text: str) -> tuple[str | None, str | None, str, str | None]:
     """(fenced text, tags, body, error) of a note. Without a YAML mapping at the start all is body."""
     import yaml
@@ -81,8 +89,7 @@ def read_notes(files: DataFrame) -> DataFrame:
     notes = files.select("file_path", "content").mapInPandas(parse, "file_path string, front string, tags string, body string, error string")
     front = F.when(F.col("front").isNotNull(), F.array(F.struct(F.col("front").alias("text"), F.lit(None).cast("string").alias("heading"))))
     chunks = F.concat(F.coalesce(front, F.array().cast("array<struct<text:string,heading:string>>")), X.section_chunks(F.col("body")))
-    good = numbered(notes.where("error is null"), chunks, ("tags",)).withColumnRenamed("tags", "frontmatter_tags")
-    return as_chunks(good.withColumn("file_type", F.lit("text"))).unionByName(as_chunks(notes.where("error is not null").drop("body")))
+    return with_errors(notes.withColumnRenamed("tags", "frontmatter_tags"), chunks, "text", ("frontmatter_tags",))
 
 
 def canvas_chunks(data: Column) -> Column:
@@ -112,10 +119,9 @@ def canvas_chunks(data: Column) -> Column:
 
 def read_canvases(files: DataFrame) -> DataFrame:
     text = F.decode("content", "UTF-8")
-    files = files.select("file_path", F.from_json(text, CANVAS, {"mode": "PERMISSIVE"}).alias("data"), F.get_json_object(text, "$").isNull().alias("_bad"))
-    good = numbered(files.where("not _bad"), canvas_chunks(F.col("data"))).withColumn("file_type", F.lit("text"))
-    bad = files.where("_bad").select("file_path", F.lit("not a JSON canvas").alias("error"))
-    return as_chunks(good).unionByName(as_chunks(bad))
+    bad = F.when(F.get_json_object(text, "$").isNull(), F.lit("not a JSON canvas")).alias("error")
+    files = files.select("file_path", F.from_json(text, CANVAS, {"mode": "PERMISSIVE"}).alias("data"), bad)
+    return with_errors(files, canvas_chunks(F.col("data")), "text")
 
 
 def page_chunks(pages: Column) -> Column:
@@ -141,9 +147,7 @@ def decoded(files: DataFrame, decode: Callable[[bytes], list], out: str) -> Data
 
 
 def read_pdfs(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    pages = decoded(files, extract, "array<string>")
-    good = numbered(pages.where("error is null"), page_chunks(F.col("found"))).withColumn("file_type", F.lit("pdf"))
-    return as_chunks(good).unionByName(as_chunks(pages.where("error is not null")))
+    return with_errors(decoded(files, extract, "array<string>"), page_chunks(F.col("found")), "pdf")
 
 
 def segments(ms: Column) -> Column:
@@ -182,9 +186,11 @@ def read_audio(files: DataFrame, duration: Callable[[bytes], int], cut: Callable
         return out
 
     found = decoded(files, run, "array<struct<i:bigint,start:double,end:double,bytes:binary,mime:string>>")
-    rows = media_rows(found.where("error is null").select("file_path", F.explode("found").alias("s")), "audio")
-    rows = rows.withColumns({"chunk_index": F.col("s.i"), "content": F.col("s.bytes"), "mime_type": F.coalesce("s.mime", "mime_type"), "segment_start_s": F.col("s.start"), "segment_end_s": F.col("s.end")})
-    return as_chunks(rows).unionByName(as_chunks(found.where("error is not null")))
+    whole = X.mime_type(X.extension(F.col("file_path")))
+    pieces = F.transform("found", lambda s: F.struct(s["i"].alias("i"), F.lit("").alias("text"), s["bytes"].alias("content"), F.coalesce(s["mime"], whole).alias("mime_type"), s["start"].alias("segment_start_s"), s["end"].alias("segment_end_s")))
+    rows = found.select("file_path", "error", F.explode_outer(F.when(F.col("error").isNull(), pieces)).alias("s")).where("s is not null or error is not null")
+    kind = F.when(F.col("error").isNull(), F.lit("audio")).alias("file_type")
+    return as_chunks(rows.select("file_path", "error", kind, "s.*").withColumnRenamed("i", "chunk_index"))
 
 
 def image_plan(ext: Column, length: Column, width: Column, height: Column) -> Column:
@@ -198,5 +204,5 @@ def read_images(files: DataFrame, prepare: Callable[[bytes], bytes] | None = Non
     if prepare is None:
         return as_chunks(media_rows(files, "image"))
     done = decoded(files, lambda raw: [prepare(raw)], "array<binary>")
-    good = media_rows(done.where("error is null").withColumn("content", F.get("found", F.lit(0))), "image")
-    return as_chunks(good).unionByName(as_chunks(done.where("error is not null")))
+    mime = X.mime_type(X.extension(F.col("file_path")))
+    return with_errors(done, F.transform("found", lambda x: F.struct(F.lit("").alias("text"), x.alias("content"), mime.alias("mime_type"))), "image")

@@ -7,8 +7,8 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -55,30 +55,38 @@ class ListingReader(DataSourceReader):
 
 class ChangesReader(DataSourceStreamReader):
     """Changes between stored listings. An offset is the number of a listing; a batch compares two of them, so it can be
-    replayed. Listings are kept in the folder ``state``, which must outlive the query."""
+    replayed. Listings are kept in the folder ``state`` of any file system that Arrow opens, which must outlive the query."""
 
     def __init__(self, root: str, state: str):
-        self.root, self.state = root, Path(state)
-        self.state.mkdir(parents=True, exist_ok=True)
+        self.root = root
+        if "://" in state or state.startswith("file:"):
+            self.fs, self.state = FileSystem.from_uri(state)
+        else:
+            self.fs, self.state = LocalFileSystem(), os.path.abspath(state)
+        self.fs.create_dir(self.state, recursive=True)
 
-    def stored(self, version: int) -> dict[str, list]:
-        file = self.state / f"{version}.json"
-        return json.loads(file.read_text()) if version and file.exists() else {}
+    def versions(self) -> list[int]:
+        names = [f.base_name for f in self.fs.get_file_info(FileSelector(self.state))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def newest(self) -> int:
-        return max([int(p.stem) for p in self.state.glob("*.json")], default=0)
+    def stored(self, version: int) -> dict[str, list]:
+        if version not in self.versions():
+            return {}
+        with self.fs.open_input_stream(f"{self.state}/{version}.json") as f:
+            return json.loads(f.read())
 
     def initialOffset(self) -> dict:
         return {"version": 0}
 
     def latestOffset(self) -> dict:
-        version = self.newest()
+        version = max(self.versions(), default=0)
         now = {path: [mtime, size] for path, _, mtime, size in walk(self.root, self.root)}
         if now != self.stored(version):
             version += 1
-            part = self.state / f".{uuid.uuid4().hex}"
-            part.write_text(json.dumps(now))
-            part.replace(self.state / f"{version}.json")
+            part = f"{self.state}/{uuid.uuid4().hex}.part"
+            with self.fs.open_output_stream(part) as f:
+                f.write(json.dumps(now).encode())
+            self.fs.move(part, f"{self.state}/{version}.json")
         return {"version": version}
 
     def partitions(self, start: dict, end: dict):
@@ -93,9 +101,9 @@ class ChangesReader(DataSourceStreamReader):
                 yield path, kind, ts
 
     def commit(self, end: dict) -> None:
-        for p in self.state.glob("*.json"):
-            if int(p.stem) < end["version"]:
-                p.unlink(missing_ok=True)
+        for version in self.versions():
+            if version < end["version"]:
+                self.fs.delete_file(f"{self.state}/{version}.json")
 
 
 class VaultSource(DataSource):

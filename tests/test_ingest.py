@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from notewarp import api
 from notewarp.operators import catalog, embed, ingest
 from notewarp.operators.store import Store
+from notewarp.settings import Settings
 from notewarp.sources.vault import scan
 from notewarp.streaming import watch
 
@@ -107,6 +108,40 @@ def test_tools(spark, vault, tmp_path):
     assert json.loads(v.reindex("a.md"))["chunks_indexed"] == 1
 
 
+def test_serve_paces_and_logs(spark, vault, tmp_path):
+    settings = Settings(rpm=600, batch=2, diagnostics=str(tmp_path / "log"))
+    opened = embed.Opened(lambda: embed.HashEmbedder(16))
+    v = api.Vault(spark, str(vault), str(tmp_path / "store"), opened, DECODERS, settings)
+    told, began = [], time.time()
+    counts = ingest.ingest(spark, str(vault), v.store, opened, decoders=DECODERS, settings=settings, report=told.append)
+    assert counts == {"files": 6, "chunks": 7, "errors": 0} and time.time() - began > 0.1 and "6 files" in told[0] and "a minute" in told[-1]
+    log = [json.loads(r["value"]) for r in spark.read.text(settings.diagnostics).collect()]
+    assert sum(x["kind"] == "config" for x in log) == 1 and sum(x.get("batch_size", 0) for x in log) == 7 and all(x["success"] for x in log if x["kind"] != "config")
+    out = []
+    api.serve(v, [json.dumps({"tool": "lexical_search", "arguments": {"query": "autophagy"}}), '{"tool": "drop"}', "oops", '{"tool": "index_status"}'], out.append)
+    got = [json.loads(x) for x in out]
+    assert json.loads(got[0]["result"])[0]["match_terms"] == 1 and "error" in got[1] and "error" in got[2] and json.loads(got[3]["result"])["total_chunks"] == 7
+    assert api.loaded(None) is None and api.loaded("json:dumps") is json.dumps
+
+
+def test_each_file_is_read_once(spark, vault, tmp_path, capsys):
+    chunks = ingest.chunk_files(spark, scan(spark, str(vault)), ingest.Decoders(pdf=DECODERS.pdf, image=bytes, audio_ms=len, audio_cut=lambda raw, a, b: raw))
+    chunks.explain()
+    assert capsys.readouterr().out.count("path#") and chunks._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas read(") == 6  # one for each kind
+
+
+def test_commits_touch_few_parts_and_vectors_have_one_width(spark, vault, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    run(spark, vault, store)
+    before = store.parts(store.version())
+    run(spark, vault, store, paths=[str(vault / "a.md")])
+    after = store.parts(store.version())
+    assert sum(n == store.version() for n in after["index"].values()) == 1 < len(after["index"]) and after["index"].keys() == before["index"].keys()
+    with pytest.raises(ValueError):
+        ingest.ingest(spark, str(vault), store, embed.HashEmbedder(8), decoders=DECODERS, paths=[str(vault / "a.md")])
+    assert store.parts(store.version()) == after and store.index().count() == 7
+
+
 def test_watch(spark, vault, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
 

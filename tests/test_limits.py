@@ -7,8 +7,8 @@ from notewarp.settings import Settings
 
 
 def states(spark, hits, s=Settings()):
-    df = spark.createDataFrame([(hits,)], "h array<boolean>")
-    return [tuple(x) for x in df.select(L.adapt(F.col("h"), s).alias("s")).first()["s"]]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hits)], "arrival int, hit boolean")
+    return [(r["batch"], r["failures"], r["successes"]) for r in L.adapt(df, s).orderBy("arrival").collect()]
 
 
 def by_limiter(hits, s=Settings()):
