@@ -109,7 +109,7 @@ def spans_of(k: int):
 
 
 def edges_of(k: int):
-    """The k-word edges of spans at their source places: two hashes of the edge, those of its two (k-1)-word nodes, span and place in it."""
+    """The k-word edges of spans at their source places: two hashes of the edge, those of its two (k-1)-word nodes, span and place in it, the span's bounds."""
 
     def run(batches):
         process_store("text")
@@ -120,7 +120,7 @@ def edges_of(k: int):
                 edge, first = grams(one, w.first, k)
                 other, _ = grams(two, w.first, k)
                 node, node_first = grams(one, w.first, k - 1)
-                at, nodes, of, place = [], [], [], []
+                at, nodes, of, place, bounds = [], [], [], [], []
                 for i in range(a, b):
                     for x in batch["cut"][i].as_py():
                         steps = np.arange(x["windows"])
@@ -128,46 +128,40 @@ def edges_of(k: int):
                         nodes.append(steps + x["first"] + node_first[i - a])
                         of.append(np.full(x["windows"], x["sid"]))
                         place.append(steps)
+                        bounds.append(np.repeat([[x["low"]], [x["high"]]], x["windows"], axis=1))
                 if at:
                     at, nodes = np.concatenate(at), np.concatenate(nodes)
                     cols = [x.view(np.int64) for x in (edge[at], other[at], node[nodes], node[nodes + 1])]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(of) * PLACES + np.concatenate(place))], ["h1", "h2", "u", "v", "at"])
+                    cols += [np.concatenate(of) * PLACES + np.concatenate(place), *np.concatenate(bounds, axis=1)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["h1", "h2", "u", "v", "at", "low", "high"])
 
     return run
 
 
-def digests(k: int):
-    """BLAKE2b of the words, joined by one space, at the places that each row asks for."""
+def word_digests(w: Words, i: int, asked: list[dict], k: int, plain: bytes, start: np.ndarray) -> list[bytes]:
+    """BLAKE2b of the words, joined by one space, of the asked places of text ``i`` of a slice."""
+    out = []
+    for x in asked:
+        low, high = w.first[i] + x["first"], w.first[i] + x["first"] + x["windows"] + k - 2
+        out.append(hashlib.blake2b(plain[start[low] : start[high] + w.ends[high] - w.starts[high]], digest_size=16).digest())
+    return out
 
-    def run(batches):
-        process_store("text")
-        for batch in batches:
-            for a, b, data, offsets in slices(batch["text"]):
-                w = Words(data, offsets, lower=False)
-                inside = np.zeros(len(data) + 1, np.int8)
-                inside[w.starts] += 1
-                inside[w.ends] -= 1
-                take = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-                behind = w.ends[w.ends < len(data)]
-                plain = np.where(take, data, np.uint8(32))
-                take[behind] = True  # one byte between words
-                start, plain = (np.cumsum(take) - take)[w.starts], plain[take].tobytes()
-                size, out, who, asked = w.ends - w.starts, [], [], []
-                for i in range(a, b):
-                    for x in batch["asked"][i].as_py():
-                        low, high = w.first[i - a] + x["first"], w.first[i - a] + x["first"] + x["windows"] + k - 2
-                        out.append(hashlib.blake2b(plain[start[low] : start[high] + size[high]], digest_size=16).digest())
-                        who.append(i)
-                        asked.append((x["first"], x["windows"]))
-                who, asked = pa.array(who, pa.int64()), np.array(asked, np.int32).reshape(-1, 2)
-                cols = [batch["doc_id"].take(who), batch["rk"].take(who), pa.array(asked[:, 0]), pa.array(asked[:, 1]), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "first", "windows", "digest"])
 
-    return run
+def plain_words(w: Words) -> tuple[bytes, np.ndarray]:
+    """The words of a slice with one space behind each inner one, and where each begins."""
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts] += 1
+    inside[w.ends] -= 1
+    take = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    data = np.where(take, w.data, np.uint8(32))
+    take[w.ends[w.ends < len(data)]] = True
+    return data[take].tobytes(), (np.cumsum(take) - take)[w.starts]
 
 
 def remove(k: int):
-    """The text of each row without the words of its spans: counts, SHA-256 and the text that is kept."""
+    """The text of each row without the words of its spans, as count and SHA-256, and the digests of the places that it asks for."""
+    names = ["doc_id", "rk", "n_removed", "kept_sha256", "digests"]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary())]))
 
     def run(batches):
         process_store("text")
@@ -175,16 +169,19 @@ def remove(k: int):
             for a, b, data, offsets in slices(batch["text"]):
                 w = Words(data, offsets, lower=False)
                 change = np.zeros(len(w.starts) + 1, np.int64)
+                plain, start = plain_words(w)
+                found = []
                 for i in range(a, b):
-                    for x in batch["spans"][i].as_py():
+                    for x in batch["spans"][i].as_py() or ():
                         change[w.first[i - a] + x["first"]] += 1
                         change[w.first[i - a] + x["first"] + x["windows"] + k - 1] -= 1
+                    asked = batch["asked"][i].as_py()
+                    found.append([x | {"digest": d} for x, d in zip(asked, word_digests(w, i - a, asked, k, plain, start))])
                 gone = np.cumsum(change[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[w.first[1:]] - total[w.first[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), batch["rk"].slice(a, b - a), pa.array(removed.astype(np.int64)), pa.array(kept_hashes(w, ~gone))], ["doc_id", "rk", "n_removed", "kept_sha256"]
-                )
+                cols = [pa.array(removed.astype(np.int64)), pa.array(kept_hashes(w, ~gone)), pa.array(found, kind)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["rk"].slice(a, b - a), *cols], names)
 
     return run
 
@@ -222,22 +219,26 @@ def compact(scratch: Scratch, edges: DataFrame, spans_: DataFrame) -> tuple[Data
     return steps, scratch.table(runs, "compacted")
 
 
-def verified(scratch: Scratch, found: DataFrame, texts: DataFrame, k: int) -> None:
-    """Compares the words of each repeated span with those at its source, by BLAKE2b of both, and raises an error where they differ."""
-    here = found.select("doc_id", "rk", "first", "windows")
-    there = found.select(*[F.col(f"source.{c}").alias(c) for c in ("doc_id", "rk", "first")], "windows")
-    asked = here.unionByName(there).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("first", "windows")).alias("asked"))
-    made = texts.join(asked, ["doc_id", "rk"]).select("doc_id", "rk", "text", "asked")
-    made = scratch.table(made.mapInArrow(digests(k), "doc_id long, rk long, first int, windows int, digest binary"), "digests")
+def cleaned(scratch: Scratch, found: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, rk, n_removed, kept_sha256) of the texts with repeated spans. The words of each are compared with those at its
+    source, by BLAKE2b of both, which one pass over the texts makes; where they differ that is an error."""
+    here = found.select("doc_id", "rk", "first", "windows", F.lit(True).alias("own"))
+    there = found.select(*[F.col(f"source.{c}").alias(c) for c in ("doc_id", "rk", "first")], "windows", F.lit(False).alias("own"))
+    place = F.struct("first", "windows")
+    asked = here.unionByName(there).groupBy("doc_id", "rk").agg(F.collect_set(place).alias("asked"), F.collect_set(F.when(F.col("own"), place)).alias("spans"))
+    done = texts.join(asked, ["doc_id", "rk"]).select("doc_id", "rk", "text", "spans", "asked")
+    schema = "doc_id long, rk long, n_removed long, kept_sha256 string, digests array<struct<first:int,windows:int,digest:binary>>"
+    done = scratch.table(done.mapInArrow(remove(k), schema), "done")
+    made = done.select("doc_id", "rk", F.explode("digests").alias("d")).select("doc_id", "rk", "d.*")
     keys = ["s_doc", "s_rk", "s_first", "windows"]
     pairs = found.select("doc_id", "rk", "first", "windows", *[F.col(f"source.{c}").alias(n) for c, n in zip(("doc_id", "rk", "first"), keys)])
-    pairs = scratch.table(pairs.join(made, ["doc_id", "rk", "first", "windows"]).select(*keys, "digest").groupBy(*keys, "digest").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    # a source of very many places meets few different digests of them
+    pairs = pairs.join(made, ["doc_id", "rk", "first", "windows"]).groupBy(*keys, "digest").agg(F.count(F.lit(1)).alias("n"))
     source = made.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "rk", "first"), keys)], "windows", F.col("digest").alias("_digest"))
-    checked = pairs.join(source, keys).agg(F.sum("n"), F.sum((F.col("digest") != F.col("_digest")).cast("long"))).first()
-    n = found.count()
-    scratch.free("digests", "pairs")
-    if n and (checked[0] != n or checked[1]):
-        raise RuntimeError(f"{n - (checked[0] or 0)} repeated spans have no source, {checked[1]} differ from theirs")
+    n, same = found.count(), pairs.join(source, keys).where("digest = _digest").agg(F.sum("n")).first()[0] or 0
+    if same != n:
+        raise RuntimeError(f"{n - same} of {n} repeated spans differ from their sources")
+    return done.select("doc_id", "rk", "n_removed", "kept_sha256")
 
 
 def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
@@ -252,7 +253,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     2. An anchor with one span for all its documents is a path as it is. The spans of other anchors are cut, once each, into k-word
        edges between (k-1)-word nodes, the De Bruijn graph of what may repeat; ``compact`` finds the repeated ones and their nonbranching runs.
     3. A span gets back the runs that its edges are on. Each occurrence of it in a document larger than a run's source
-       is repeated there. ``verified`` compares the words at both places.
+       is repeated there. ``cleaned`` compares the words at both places.
 
     Anchors, spans and sources that make up more than a HOT-th of their tables stay where they are (``hot_join``).
     """
@@ -269,24 +270,23 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     some = pieces.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("branches"), F.count(F.lit(1)).alias("n"))
     some = scratch.table(some.where("_low < _high").select("anchor", "branches", "n"), "anchors")
     shared = scratch.table(hot_join(pieces, some, ["anchor"], "n", pieces.count()), "shared")
-    found = shared.groupBy("anchor", "s1", "s2").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"), F.first("branches").alias("branches"),
-        F.min_by(F.col("rk"), F.col("doc_id")).alias("rk"),
-    )
     # the source is one place in the smallest document
-    source = shared.groupBy("anchor", "s1", "s2", "doc_id", "rk").agg(F.min("first").alias("first")).withColumnRenamed("doc_id", "low")
-    found = scratch.table(found.join(source, ["anchor", "s1", "s2", "low", "rk"]).withColumn("sid", F.monotonically_increasing_id()), "spans")
+    found = shared.groupBy("anchor", "s1", "s2").agg(
+        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"), F.first("branches").alias("branches"), F.min(F.struct("doc_id", "rk", "first")).alias("src")
+    )
+    found = found.select("anchor", "s1", "s2", "n", F.col("src.doc_id").alias("low"), "high", "windows", "branches", "src.rk", "src.first")
+    found = scratch.table(found.withColumn("sid", F.monotonically_increasing_id()), "spans")
+    scratch.free("anchors", "rows/kind=e")
     origin = found.select("sid", F.col("low").alias("doc_id"), "rk", "first")
 
     involved = scratch.table(shared.select("doc_id", "rk").distinct(), "involved")
     texts = docs.mapInArrow(bitfilter.rows(bitfilter.build(involved, "rk"), "rk"), docs.schema)
-    texts = scratch.table(texts.join(involved, ["doc_id", "rk"], "left_semi").dropDuplicates(["doc_id", "rk"]), "texts")
-    cut = found.where("branches").groupBy(F.col("low").alias("doc_id"), "rk").agg(F.collect_list(F.struct("sid", "first", "windows")).alias("cut"))
-    edges = texts.join(cut, ["doc_id", "rk"]).select("text", "cut").mapInArrow(edges_of(k), "h1 long, h2 long, u long, v long, at long")
+    texts = scratch.buckets(texts.join(involved, ["doc_id", "rk"], "left_semi").dropDuplicates(["doc_id", "rk"]), "texts", "doc_id", "rk")
+    scratch.free("involved")
+    cut = found.where("branches").groupBy(F.col("low").alias("doc_id"), "rk").agg(F.collect_list(F.struct("sid", "first", "windows", "low", "high")).alias("cut"))
+    edges = texts.join(cut, ["doc_id", "rk"]).select("text", "cut").mapInArrow(edges_of(k), "h1 long, h2 long, u long, v long, at long, low long, high long")
     edges = scratch.table(edges, "edges")
-    bounds = found.where("branches").select("sid", "low", "high")
-    graph_edges = edges.withColumn("sid", F.shiftright("at", PLACES.bit_length() - 1)).join(bounds, "sid").drop("sid")
-    steps, runs = compact(scratch, graph_edges, origin)
+    steps, runs = compact(scratch, edges, origin)
 
     on = edges.select("h1", "h2", "at").join(steps, ["h1", "h2"]).withColumns({"sid": F.shiftright("at", PLACES.bit_length() - 1), "i": F.col("at").bitwiseAND(F.lit(PLACES - 1)).cast("int")})
     # places of a span that go on along a run are one stretch
@@ -301,8 +301,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame,
     hits = hot_join(shared.select("anchor", "s1", "s2", "doc_id", "rk", "first"), along, ["anchor", "s1", "s2"], "n", shared.count())
     hits = hits.select("doc_id", "rk", "first", F.explode(F.filter("on", lambda x: x["source"]["doc_id"] < F.col("doc_id"))).alias("x"))
     hits = scratch.table(hits.select("doc_id", "rk", (F.col("first") + F.col("x.i")).alias("first"), "x.windows", "x.source"), "found")
-    scratch.free("anchors", "shared", "spans", "involved", "edges", "graph", "along")
-    verified(scratch, hits, texts, k)
+    scratch.free("shared", "spans", "edges", "graph", "along")
     return base, hits, texts, runs, scratch
 
 
@@ -323,12 +322,10 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     """
     with small_batches(docs.sparkSession):
         base, found, texts, _, scratch = repeated_spans(docs, k)
-        spans_ = found.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
-        done = texts.join(spans_, ["doc_id", "rk"]).select("doc_id", "rk", "text", "spans").mapInArrow(remove(k), "doc_id long, rk long, n_removed long, kept_sha256 string")
-        out = base.join(done, ["doc_id", "rk"], "left")
+        out = base.join(cleaned(scratch, found, texts, k), ["doc_id", "rk"], "left")
         out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
         out = scratch.table(out, "removed")
-    scratch.free("rows", "texts", "found", "runs", "compacted", "path")
+    scratch.free("rows", "texts", "found", "done", "runs", "compacted", "path")
     return out
 
 

@@ -158,7 +158,7 @@ def test_words_are_compared(docs_of):
     _, found, texts_, _, scratch = substring.repeated_spans(docs_of(rows), 50)
     moved = found.withColumn("source", F.struct("source.doc_id", "source.rk", (F.col("source.first") + 1).alias("first")))
     with pytest.raises(RuntimeError):
-        substring.verified(scratch, moved, texts_, 50)
+        substring.cleaned(scratch, moved, texts_, 50)
 
 
 def test_sliding_minimum():
