@@ -174,4 +174,4 @@ def clean(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, bench, slop=2).drop("text_hash")
+    return contamination(docs, bench).drop("text_hash", "n_near")
