@@ -16,10 +16,12 @@ by_value(__name__)
 
 #: Bytes of an n-gram, and bits of its bucket.
 GRAM, BITS = 5, 18
+#: N-grams' worth of raw text that the target's model starts from.
+PSEUDO = 1 << 14
 #: Labelled rows that the target's model is fitted on at most, those of the least hashes of doc_id.
 SAMPLE = 20_000
-#: Bins a unit of keys and of toxicity that a cut is placed by.
-FINE, FINE_TONE = 8, 64
+#: Bins a unit of keys, of mean log ratios and of toxicity that a cut is placed by.
+FINE, FINE_MEAN, FINE_TONE = 8, 4096, 64
 #: Bits of the bucket of a word, and how many labelled documents of either kind a word is taken to be in besides.
 WORD_BITS, PRIOR = 20, 1
 #: What is no letter parts words, case aside.
@@ -77,7 +79,7 @@ def left_out(raw: np.ndarray, target: np.ndarray, bucket: np.ndarray, text: np.n
     _, place, times = np.unique((text << BITS) + bucket, return_inverse=True, return_counts=True)
     p_raw = ((raw + 1) / (raw.sum() + len(raw)))[bucket]
     rest = target.sum() - np.bincount(text)[text]
-    return np.log((target[bucket] - times[place] + len(raw) * p_raw) / (rest + len(raw))) - np.log(p_raw)
+    return np.log((target[bucket] - times[place] + PSEUDO * p_raw) / (rest + PSEUDO)) - np.log(p_raw)
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def score(models: Models, text_column: str, good_column: str, toxic_column: str)
     """Scores rows and drops their text.
 
     Adds the number of n-grams, the sum of their log ratios and the greatest tone of a word; for labelled rows besides
-    the same sum, the sum of squares and the greatest tone under models that have not seen the text.
+    the same sum and the greatest tone under models that have not seen the text.
     """
 
     def run(batches):
@@ -122,7 +124,7 @@ def score(models: Models, text_column: str, good_column: str, toxic_column: str)
             good, toxic = (batch[c].to_numpy(zero_copy_only=False) for c in (good_column, toxic_column))
             fitted, known, bad = good == True, ~np.equal(toxic, None), toxic == True  # noqa: E712 (null is neither)
             n, own = len(batch), known | ~np.equal(good, None)
-            out = {c: np.zeros(n) for c in ("_n", "_sum", "_tone", "_own", "_square", "_own_tone")}
+            out = {c: np.zeros(n) for c in ("_n", "_sum", "_tone", "_own", "_own_tone")}
             for a, b, data, offsets in slices(batch[text_column]):
                 bucket, text = gram_buckets(data, offsets)
                 value = models.ratio[bucket]
@@ -130,7 +132,7 @@ def score(models: Models, text_column: str, good_column: str, toxic_column: str)
                 out["_sum"][a:b] = np.bincount(text, value, b - a)
                 some = fitted[a:b][text]
                 value[some] = left_out(models.raw, models.target, bucket[some], text[some])
-                out["_own"][a:b], out["_square"][a:b] = np.bincount(text, value, b - a), np.bincount(text, value * value, b - a)
+                out["_own"][a:b] = np.bincount(text, value, b - a)
                 if models.tone is not None:
                     bucket, text = word_buckets(data, offsets)
                     out["_tone"][a:b] = greatest(models.tone[bucket], text, b - a)
@@ -138,7 +140,7 @@ def score(models: Models, text_column: str, good_column: str, toxic_column: str)
                     bucket, text, of = bucket[seen], text[seen], bad[a:b][text[seen]]
                     value = tone(np.maximum(models.toxic[bucket] - of, 0), np.maximum(models.clean[bucket] - ~of, 0), models.texts)
                     out["_own_tone"][a:b] = greatest(value, text, b - a)
-            cols = [pa.array(x, mask=~own) if "own" in c or c == "_square" else pa.array(x) for c, x in out.items()]
+            cols = [pa.array(x, mask=~own) if "own" in c else pa.array(x) for c, x in out.items()]
             kept = [c for c in batch.schema.names if c != text_column]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *cols], [*kept, *out])
 
@@ -170,8 +172,8 @@ def labelled(docs: DataFrame, sample: DataFrame) -> Plain:
 def fit(docs: DataFrame, sample: DataFrame) -> Models:
     """The models of all texts and of the labelled ones in ``sample``, in one pass over the texts.
 
-    The target's model of n-grams starts from the raw one with as many pseudo-counts as there are buckets, so buckets
-    without evidence weigh 0.
+    The target's model of n-grams starts from the raw one with PSEUDO pseudo-counts, so a bucket that good texts lack
+    weighs the less the more of them there are, and weighs 0 without any.
     """
     rows = labelled(docs.select("doc_id", "text"), sample)
     flags = F.coalesce(rows["_good"], F.lit(False)).alias("good"), rows["_toxic"].isNotNull().alias("known"), F.coalesce(rows["_toxic"], F.lit(False)).alias("toxic")
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Models:
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     p_raw = (raw + 1) / (raw.sum() + len(raw))
-    p_target = (target + len(raw) * p_raw) / (target.sum() + len(raw))
+    p_target = (target + PSEUDO * p_raw) / (target.sum() + PSEUDO)
     return np.log(p_target) - np.log(p_raw)
 
 
@@ -201,27 +203,14 @@ def gumbel(seed: Column | int, *of: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def log_weight(total: Column, n: Column, alike: float) -> Column:
+def log_weight(total: Column, n: Column, rate: float) -> Column:
     """The log importance weight of a text of n n-grams whose log ratios come to ``total``.
 
-    N-grams of one text are a cluster sample: they resemble each other by the intraclass correlation ``alike``, so n of them
-    count as n / (1 + (n - 1) * alike) independent ones (Kish's design effect). With 0 the weight is the plain sum.
+    Nearly each byte is in GRAM n-grams; the mean over the GRAM ways to tile a text with n-grams is a GRAM-th of the sum.
+    The target's model has not seen all n-grams of its kind of text, which takes from the sum in proportion to n: ``rate``
+    is the log ratio an n-gram at which a text is as likely under either model, so that length alone decides nothing.
     """
-    return total / (1 + F.greatest(n - 1, F.lit(0)) * F.lit(alike))
-
-
-def intraclass(scored: DataFrame) -> float:
-    """The intraclass correlation of the log ratios of good texts by analysis of variance, 0 at least."""
-    good = scored.where("_good and _n > 0")
-    k, n, squares, total, inner, between = good.agg(
-        F.count(F.lit(1)), F.sum("_n"), F.sum(F.col("_n") * F.col("_n")), F.sum("_own"), F.sum("_square"), F.sum(F.col("_own") * F.col("_own") / F.col("_n"))
-    ).first()
-    if k < 2 or n <= k:
-        return 0.0
-    within, among = (inner - between) / (n - k), (between - total * total / n) / (k - 1)
-    size = (n - squares / n) / (k - 1)
-    both = among + (size - 1) * within
-    return max(0.0, (among - within) / both) if both > 0 else 0.0
+    return (total - n * F.lit(rate)) / F.lit(float(GRAM))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -285,7 +274,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic; more columns pass through or are ignored. The
     importance of a text is the ratio of its probabilities under the target's and the raw model of hashed n-grams (see
-    ``log_weight`` for its length). The log weight plus Gumbel noise is the key, and the k rows of the largest keys are
+    ``log_weight`` for its length; its rate is the mean that parts good and bad labelled texts best, each under a model that
+    has not seen it, 0 where there is none). The log weight plus Gumbel noise is the key, and the k rows of the largest keys are
     kept: Gumbel top-k, a sample without replacement by importance. k is read off the keys: all rows from the key on that parts
     good and bad labelled texts best, each weighed by a model that has not seen it, whatever the number of labels; or ``share`` of all rows where that
     is given. Where labels know one kind only, or keys do not tell the two apart, the share is that of quality 1 among
@@ -306,14 +296,14 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         rows = plain.df.withColumn("_noise", gumbel(seed, plain["_doc"], plain["_text"])).join(F.broadcast(sample), plain["_doc"] == F.col("_id"), "left")
         rows = rows.select(*plain.columns[: len(carry)], "_noise", "_good", "_toxic", plain["_text"].alias("_text"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        added = "".join(f", {c} double" for c in ("_n", "_sum", "_tone", "_own", "_square", "_own_tone"))
+        added = "".join(f", {c} double" for c in ("_n", "_sum", "_tone", "_own", "_own_tone"))
         scored = scratch.table(rows.mapInArrow(score(models, "_text", "_good", "_toxic"), fields + added), "scored")
     known = scored.where("_good is not null or _toxic is not null")
-    alike = intraclass(known)
     bound = cut_of(known.where("_toxic is not null"), F.col("_own_tone"), "_toxic", FINE_TONE) if models.tone is not None else None
     own = known.where("_good is not null and _n > 0")
-    least = cut_of(own, log_weight(F.col("_own"), F.col("_n"), alike) + F.col("_noise"), "_good", FINE) if share is None else None
-    weight = log_weight(F.col("_sum"), F.col("_n"), alike)
+    rate = cut_of(own, F.col("_own") / F.col("_n"), "_good", FINE_MEAN) or 0.0
+    least = cut_of(own, log_weight(F.col("_own"), F.col("_n"), rate) + F.col("_noise"), "_good", FINE) if share is None else None
+    weight = log_weight(F.col("_sum"), F.col("_n"), rate)
     scored = scored.withColumns({"_weight": weight, "_key": weight + F.col("_noise")})
     if least is not None:
         kept = (F.col("_key") >= least) | (F.col("_n") == 0)

@@ -121,14 +121,14 @@ def test_quality_weights(docs_of, spark):
     rows = [(1, "abcdef"), (2, "abcdeabcde"), (3, "zzzzzz12345"), (4, "abcd")]
     ratio = quality.fit(docs_of(rows), quality.judged(labels_of(spark, [(1, 1, 0), (3, 0, 0)]))).ratio
     bucket = lambda g: int(quality.gram_buckets(np.frombuffer(g.encode(), np.uint8), np.array([0, 5]))[0][0])
-    m, grams = 1 << quality.BITS, lambda x: [x[i : i + 5].translate({d: "0" for d in range(48, 58)}) for i in range(len(x) - 4)]
+    b, m, grams = 1 << quality.BITS, quality.PSEUDO, lambda x: [x[i : i + 5].translate({d: "0" for d in range(48, 58)}) for i in range(len(x) - 4)]
     raw = [g for _, x in rows for g in grams(x)]
-    log = lambda g: math.log((grams("abcdef").count(g) + m * (raw.count(g) + 1) / (len(raw) + m)) / (2 + m)) - math.log((raw.count(g) + 1) / (len(raw) + m))
+    log = lambda g: math.log((grams("abcdef").count(g) + m * (raw.count(g) + 1) / (len(raw) + b)) / (2 + m)) - math.log((raw.count(g) + 1) / (len(raw) + b))
     for g in ("abcde", "bcdef", "zzzzz", "00000"):
         assert ratio[bucket(g)] == pytest.approx(log(g))
     got = quality.resample(docs_of(rows), labels_of(spark, [(1, 1, 0), (3, 0, 0)]), share=0.5).collect()
-    for r in got:  # one good text has no intraclass correlation, so the weight is the plain sum
-        assert r["weight"] == pytest.approx(sum(map(log, grams(r["row"]["text"]))))
+    for r in got:  # these two labels are not told apart, so there is no rate
+        assert r["weight"] == pytest.approx(sum(map(log, grams(r["row"]["text"]))) / 5)
 
 
 def test_gumbel_top_k_samples_by_importance(spark):
@@ -147,19 +147,10 @@ def test_gumbel_top_k_samples_by_importance(spark):
     assert all(abs(got[i] - want[i]) < 0.025 for i in range(5))
 
 
-def test_design_effect(spark):
-    """The intraclass correlation by its textbook formula, and what it makes of a weight."""
-    texts = [[0.4, 0.1, 0.6, 0.2], [-0.5, -0.1, 0.0], [1.0, 0.8], [0.1, 0.3, -0.2, 0.1, 0.2]]
-    rows = [(len(t), sum(t), sum(x * x for x in t), True) for t in texts] + [(5, 9.0, 99.0, False)]
-    got = quality.intraclass(spark.createDataFrame(rows, "_n int, _own double, _square double, _good boolean"))
-    n, k = sum(map(len, texts)), len(texts)
-    mean = sum(map(sum, texts)) / n
-    among = sum(len(t) * (sum(t) / len(t) - mean) ** 2 for t in texts) / (k - 1)
-    within = sum((x - sum(t) / len(t)) ** 2 for t in texts for x in t) / (n - k)
-    size = (n - sum(len(t) ** 2 for t in texts) / n) / (k - 1)
-    assert got == pytest.approx((among - within) / (among + (size - 1) * within)) and 0 < got < 1
-    one = spark.range(1).select(quality.log_weight(F.lit(12.0), F.lit(31), 0.1), quality.log_weight(F.lit(12.0), F.lit(0), 0.1)).first()
-    assert tuple(one) == (3.0, 12.0)
+def test_length(spark):
+    """What a rate makes of a weight, and that of a text without n-grams."""
+    one = spark.range(1).select(quality.log_weight(F.lit(12.0), F.lit(30), 0.1), quality.log_weight(F.lit(0.0), F.lit(0), 0.1)).first()
+    assert tuple(one) == pytest.approx((1.8, 0.0))
 
 
 def kept_of(docs_of, spark, n):
@@ -171,7 +162,6 @@ def kept_of(docs_of, spark, n):
     return {r["row"]["doc_id"] for r in quality.resample(docs_of(good + junk), labels).where("kept").collect()}
 
 
-@pytest.mark.xfail(reason="known weakness: with eight labels weights are small against the Gumbel noise, and junk passes", strict=False)
 def test_quality_with_a_handful_of_labels(docs_of, spark):
     assert kept_of(docs_of, spark, 4) == set(range(100))
 
@@ -227,7 +217,6 @@ def shares_kept(spark, sf):
     return {r["quality"]: r["share"] for r in rows.collect()}
 
 
-@pytest.mark.xfail(reason="known weakness: with 399 labels the draw loses some 4 % of quality 1", strict=False)
 def test_labelled_documents_with_few_labels(spark):
     got = shares_kept(spark, "sf0.01")
     assert got[1] >= 0.99 and got[0] <= 0.5
