@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Plain, Scratch, by_value, process_store, small_batches
+from .common import Plain, Scratch, by_value, give_back, process_store, small_batches
 from .textnp import LOWER, Words, slices
 
 by_value(__name__)
@@ -103,12 +103,23 @@ def tone(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.nda
 
 
 class Models:
-    """Counts of n-grams (all texts, good ones) and of words (toxic texts, others), and the log ratios of each bucket."""
+    """Counts of n-grams (all texts, good ones) and of words that toxic texts have (in toxic texts, in others), and the log ratios of each bucket.
 
-    def __init__(self, raw: np.ndarray, target: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]):
-        self.raw, self.target, self.toxic, self.clean, self.texts = raw, target, toxic, clean, texts
-        self.ratio = log_ratio(raw, target)
-        self.tone = tone(toxic, clean, texts).astype(np.float32) if min(texts) else None
+    Words are given by their buckets ``at``; the others have no tone. What is derived is made anew where a copy arrives.
+    """
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray, at: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]):
+        self.given = raw, target, at, toxic, clean, texts
+        self.raw, self.target, self.texts = raw, target, texts
+        self.toxic, self.clean = (np.zeros(1 << WORD_BITS, np.int32) for _ in "ab")
+        self.toxic[at], self.clean[at] = toxic, clean
+        self.ratio, self.tone = log_ratio(raw, target), None
+        if min(texts):
+            self.tone = np.zeros(1 << WORD_BITS, np.float32)
+            self.tone[at] = tone(toxic, clean, texts)
+
+    def __reduce__(self):
+        return Models, self.given
 
 
 def score(models: Models, text_column: str, good_column: str, toxic_column: str):
@@ -178,16 +189,20 @@ def fit(docs: DataFrame, sample: DataFrame) -> Models:
     rows = labelled(docs.select("doc_id", "text"), sample)
     flags = F.coalesce(rows["_good"], F.lit(False)).alias("good"), rows["_toxic"].isNotNull().alias("known"), F.coalesce(rows["_toxic"], F.lit(False)).alias("toxic")
     counts = rows.df.select(rows["text"].alias("text"), *flags).mapInArrow(count_both, "kind string, bucket long, a long, b long")
-    counts = counts.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.where("kind = 'g' or a > 0 or bucket = -1").toPandas()  # one row a bucket
-    found = {}
-    for kind, bits in (("g", BITS), ("w", WORD_BITS)):
-        some = counts[(counts["kind"] == kind) & (counts["bucket"] >= 0)]
-        found[kind] = [np.zeros(1 << bits, np.int64 if kind == "g" else np.int32) for _ in "ab"]
-        for x, c in zip(found[kind], "ab"):
-            x[some["bucket"].to_numpy(np.int64)] = some[c]
-    texts = counts[counts["bucket"] == -1]
-    return Models(*found["g"], *found["w"], (int(texts["a"].sum()), int(texts["b"].sum())))
+    counts = counts.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("kind = 'g' or a > 0 or bucket = -1")
+    found = counts.select((F.col("kind") == "w").alias("word"), F.col("bucket").cast("int").alias("bucket"), "a", "b").toArrow()  # one row a bucket
+    grams, words = [np.zeros(1 << BITS, np.int64) for _ in "ab"], []
+    for batch in found.to_batches():
+        word, bucket, *ab = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        for x, c in zip(grams, ab):
+            x[bucket[~word]] = c[~word]
+        words.append([x[word] for x in (bucket, *ab)])
+    del found
+    at, toxic, clean = (np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32) for x in (zip(*words) if words else [()] * 3))
+    texts, some = at == -1, at >= 0
+    models = Models(*grams, at[some], toxic[some], clean[some], (int(toxic[texts].sum()), int(clean[texts].sum())))
+    give_back()  # the driver's memory is small
+    return models
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
