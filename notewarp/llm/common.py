@@ -45,6 +45,16 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def thrifty(run):
+    """The batch function ``run``, after which an idle Python worker holds little: the next step may be the JVM's."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``. Where that is unset a local master gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitfilter, graph
-from .common import Plain, Scratch, by_value, hot_join, process_store, small_batches
+from .common import Plain, Scratch, by_value, hot_join, process_store, small_batches, thrifty
 from .textnp import Words, mix64, shingle_sets, slices
 
 by_value(__name__)
@@ -277,7 +277,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
 def _components(scratch: Scratch, docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_text_hash"))
-    scratch.table(docs.mapInArrow(survey(k), "kind string, a long, b long, c long, n long"), "survey", by="kind")
+    scratch.table(docs.mapInArrow(thrifty(survey(k)), "kind string, a long, b long, c long, n long"), "survey", by="kind")
     rows = scratch.spark.read.schema("a long, b long, c long, n long, kind string").parquet(scratch.path("survey"))
     table = rows.where("kind = 'd'").select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("rid"), "n")
 
@@ -292,7 +292,7 @@ def _components(scratch: Scratch, docs: DataFrame, k: int, percent: int) -> Data
         level += over > 0 if step == 1 else over > step * 6 * np.sqrt(usual + 1)
 
     text = docs.select("text")
-    posted = text.mapInArrow(postings(k, level, percent), "token long, rid long, n int")
+    posted = text.mapInArrow(thrifty(postings(k, level, percent)), "token long, rid long, n int")
     frequent = F.shiftrightunsigned("token", 61) > 0
     # what a frequent token has is dealt over SALT parts, so that none holds all of it
     posted = posted.withColumn("salt", F.when(frequent, F.pmod("rid", F.lit(SALT))).otherwise(0).cast("int"))
@@ -314,23 +314,23 @@ def _components(scratch: Scratch, docs: DataFrame, k: int, percent: int) -> Data
     best = meets.where("v is not null").select(F.col("rid").alias("u"), "v")
 
     involved = meets.select("rid")
-    bits = text.mapInArrow(class_bits(k), "rid long, n int, bits binary, odd binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
+    bits = text.mapInArrow(thrifty(class_bits(k)), "rid long, n int, bits binary, odd binary").join(involved, "rid", "left_semi").dropDuplicates(["rid"])
     bits = scratch.table(bits, "bits")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bits.select(F.col("rid").alias("u"), F.col("n").alias("n_u"), F.col("odd").alias("odd_u")), "u")
         both = both.join(bits.select(F.col("rid").alias("v"), F.col("n").alias("n_v"), F.col("odd").alias("odd_v")), "v")
-        return both.select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(bound_pairs(percent), "u long, v long")
+        return both.select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(thrifty(bound_pairs(percent)), "u long, v long")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, by their texts."""
         both = scratch.table(pairs, f"bound_{name}")
         want = scratch.table(both.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), f"want_{name}")
-        texts = text.mapInArrow(class_texts(k, bitfilter.build(want, "rid")), "rid long, text string").join(want, "rid", "left_semi").dropDuplicates(["rid"])
+        texts = text.mapInArrow(thrifty(class_texts(k, bitfilter.build(want, "rid"))), "rid long, text string").join(want, "rid", "left_semi").dropDuplicates(["rid"])
         texts = scratch.table(texts, f"texts_{name}")
         both = both.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
-        both = both.select("u", "v", "text_u", "text_v").mapInArrow(compare(k, percent), "u long, v long")
+        both = both.select("u", "v", "text_u", "text_v").mapInArrow(thrifty(compare(k, percent)), "u long, v long")
         return scratch.table(both, f"links_{name}")
 
     first = linked(bounded(best), "leaders")
@@ -368,7 +368,7 @@ def _components(scratch: Scratch, docs: DataFrame, k: int, percent: int) -> Data
     stored = scratch.table(opened.select("gid", "rid", "n", "bits", "odd").groupBy("gid").applyInArrow(matrix, schema), "matrix")
     asked = near.join(bits.select(F.col("rid").alias("u"), "n", "odd"), "u").join(stored, "gid")
     asked = asked.select("u", "n", "odd", "gid", "twice", "rids", "ns", "rows", "union")
-    second = linked(asked.mapInArrow(open_groups(percent), "u long, v long"), "groups")
+    second = linked(asked.mapInArrow(thrifty(open_groups(percent)), "u long, v long"), "groups")
     labels = scratch.table(graph.components(scratch, first.unionByName(second), "cc_b"), "components2")
 
     # by class first, then by component; classes of many documents and components of many classes stay where they are

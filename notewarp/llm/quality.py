@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Plain, Scratch, by_value, give_back, process_store, small_batches
+from .common import Plain, Scratch, by_value, give_back, process_store, small_batches, thrifty
 from .textnp import LOWER, Words, slices
 
 by_value(__name__)
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Models:
     """
     rows = labelled(docs.select("doc_id", "text"), sample)
     flags = F.coalesce(rows["_good"], F.lit(False)).alias("good"), rows["_toxic"].isNotNull().alias("known"), F.coalesce(rows["_toxic"], F.lit(False)).alias("toxic")
-    counts = rows.df.select(rows["text"].alias("text"), *flags).mapInArrow(count_both, "kind string, bucket long, a long, b long")
+    counts = rows.df.select(rows["text"].alias("text"), *flags).mapInArrow(thrifty(count_both), "kind string, bucket long, a long, b long")
     counts = counts.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("kind = 'g' or a > 0 or bucket = -1")
     found = counts.select((F.col("kind") == "w").alias("word"), F.col("bucket").cast("int").alias("bucket"), "a", "b").toArrow()  # one row a bucket
     grams, words = [np.zeros(1 << BITS, np.int64) for _ in "ab"], []
@@ -312,7 +312,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         rows = rows.select(*plain.columns[: len(carry)], "_noise", "_good", "_toxic", plain["_text"].alias("_text"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
         added = "".join(f", {c} double" for c in ("_n", "_sum", "_tone", "_own", "_own_tone"))
-        scored = scratch.table(rows.mapInArrow(score(models, "_text", "_good", "_toxic"), fields + added), "scored")
+        scored = scratch.table(rows.mapInArrow(thrifty(score(models, "_text", "_good", "_toxic")), fields + added), "scored")
     known = scored.where("_good is not null or _toxic is not null")
     bound = cut_of(known.where("_toxic is not null"), F.col("_own_tone"), "_toxic", FINE_TONE) if models.tone is not None else None
     own = known.where("_good is not null and _n > 0")
