@@ -38,3 +38,15 @@ def rows(bits: np.ndarray, column: str):
             yield batch.filter(pa.array(hit(bits, batch[column].to_numpy(zero_copy_only=False).astype(np.int64))))
 
     return run
+
+
+def parted(table: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``table`` in two, by DataFrame operations only: the rows whose ``column`` may be in ``ids`` (of the same column name), and those whose is not.
+
+    The column has uniformly hashed longs. The bits are longs beside the number of their word, at most BITS / 64 rows, so they are broadcast.
+    """
+    word = F.col(column).bitwiseAND(F.lit(BITS // 64 - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(column, 58).cast("int"))
+    words = F.broadcast(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    both = table.join(words, word == F.col("_word"), "left").withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    return tuple(both.where(x).drop("_word", "_bits", "_may") for x in (F.col("_may"), ~F.col("_may")))

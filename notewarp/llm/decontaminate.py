@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .common import Plain, Scratch
 
 #: What stands between words, once A-Z are lower case.
@@ -169,7 +170,10 @@ def clean(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
     """
     found = contamination(docs, bench, k).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     plain = Plain(docs)
-    return plain.back(plain.df.join(found, plain["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(plain["text"]) == F.col("_h")), "left_anti"))
+    # only texts whose hash a contaminated one may have are joined, the others stay where they are
+    may, clear = bitfilter.parted(plain.df.withColumn("_hash", F.xxhash64(plain["text"])), "_hash", found.select(F.col("_h").alias("_hash")))
+    kept = may.join(found, plain["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    return plain.back(clear.unionByName(kept))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     source of its own, last in order. A source without words has target 0. Repeated rows have equal hashes and count as
     one unit of the threshold only inside the last bucket, where they are taken one by one. Empty input: empty result.
     """
+    return decide(docs, weights, budget, cap, seed)[0].drop("_rule")
+
+
+def decide(docs: DataFrame, weights: tuple[int, ...], budget: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mix`` with ``_rule``, the copies that the threshold alone gives, and the thresholds of each source: _src, _whole and the cuts."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     sized = scratch.table(
         docs.select(
@@ -87,11 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     edge = edge.withColumn("_n", F.row_number().over(order_in)).select("_src", "_hash", "doc_id", "size", "_n", fits.alias("_fits"))
     edge = scratch.table(edge, "edge")
 
-    inside = F.lit(False)
-    open_ = F.lit(True)
-    for i in range(LEVELS):
-        inside = inside | (open_ & (F.col(f"_b{i}") < F.col(f"_cut{i}")))
-        open_ = open_ & (F.col(f"_b{i}") == F.col(f"_cut{i}"))
+    inside, open_ = under()
     cols = ["_source_size", "_target", "_whole", *[f"_cut{i}" for i in range(LEVELS)]]
     out = sized.join(plan.select(F.col("_src").alias("_s"), *cols), F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
     out = out.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_edge", F.coalesce(open_, F.lit(False)))
@@ -107,6 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     out = fill(scratch, chosen)
     copies = F.least(F.col("_whole") + F.col("_extra"), F.lit(int(cap)))
     out = out.select(
+        rule(cap).alias("_rule"),
         "doc_id",
         F.col("_src").alias("source"),
         F.col("_hash"),
@@ -117,8 +119,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
         (copies * F.col("size")).alias("taken"),
     )
     out = scratch.table(out, "mix")
-    scratch.free("sized", "turns", "levels", "targets", "edge", "chosen", "fill", *[f"level{i}" for i in range(LEVELS)])
-    return out
+    scratch.free("sized", "turns", "levels", "targets", "edge", "chosen", "fill", *[f"level{i}" for i in range(LEVELS - 1)])
+    return out, plan.select("_src", "_whole", *[f"_cut{i}" for i in range(LEVELS)])
 
 
 def fill(scratch: Scratch, chosen: DataFrame) -> DataFrame:
@@ -143,6 +145,20 @@ def bucket(level: int) -> Column:
     return F.shiftrightunsigned("_hash", 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int")
 
 
+def under() -> tuple[Column, Column]:
+    """Whether a row beside its source's cuts lies under the threshold, and whether it lies in the last bucket, which is decided row by row."""
+    inside, open_ = F.lit(False), F.lit(True)
+    for i in range(LEVELS):
+        inside = inside | (open_ & (F.col(f"_b{i}") < F.col(f"_cut{i}")))
+        open_ = open_ & (F.col(f"_b{i}") == F.col(f"_cut{i}"))
+    return inside, open_
+
+
+def rule(cap: float) -> Column:
+    """The copies of a row that the threshold alone gives."""
+    return F.least(F.col("_whole") + F.coalesce(under()[0], F.lit(False)).cast("long"), F.lit(int(cap)))
+
+
 def same(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     """The documents in the boundary buckets of the levels before ``level``, beside their source's plan."""
     on = F.col("_src").eqNullSafe(F.col("_s"))
@@ -176,19 +192,23 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float =
 
     Texts without words (null, empty) are taken as often as their hash says. Rows that are equal share their copies. Empty input: empty result.
     """
-    plan = mix(docs, weights, budget, cap, seed).groupBy(F.col("_hash").alias("_h"))
-    plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    plan = Scratch(docs.sparkSession, "mixed").table(plan, "copies")
+    taken, plan = decide(docs, weights, budget, cap, seed)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    # the rule gives the copies beside the row; few hashes, of the last buckets and of ``fill``, have others
+    odd = scratch.table(taken.where("copies != _rule").select("_hash").distinct(), "odd")
+    odd = taken.join(odd, "_hash", "left_semi").groupBy(F.col("_hash").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    odd = scratch.table(odd, "copies")
     plain = Plain(docs)
-    rows = plain.df.withColumn("_hash", doc_hash(seed, plain.__getitem__)).join(plan, F.col("_hash") == F.col("_h"))
+    rows = plain.df.withColumn("_hash", doc_hash(seed, plain.__getitem__))
+    usual = rows.withColumns({f"_b{i}": bucket(i) for i in range(LEVELS)}).join(odd, F.col("_hash") == F.col("_h"), "left_anti")
+    usual = usual.join(plan, plain["source"].eqNullSafe(F.col("_src"))).withColumn("_n", rule(cap))
     # rows that are equal share their copies: the first ones get what is over
+    shared = rows.join(odd, F.col("_hash") == F.col("_h"))
     turn = F.row_number().over(Window.partitionBy("_hash").orderBy("_h"))
-    if plan.where("_rows > 1").isEmpty():
-        rows = rows.withColumn("_n", F.col("_copies"))
-    else:
-        over = (turn <= F.col("_copies") % F.col("_rows")).cast("long")
-        rows = rows.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + over)
-    return plain.back(rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))))
+    over = (turn <= F.col("_copies") % F.col("_rows")).cast("long")
+    shared = shared.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + over)
+    both = usual.select(*plain.columns, "_n").unionByName(shared.select(*plain.columns, "_n"))
+    return plain.back(both.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

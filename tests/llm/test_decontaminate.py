@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from notewarp.llm import bitfilter
 from notewarp.llm import decontaminate as D
 
 rng = random.Random(5)
@@ -109,3 +110,25 @@ def test_empty(docs_of, spark):
     got = D.contamination(docs_of([(1, "a b"), (2, None)]), items).collect()
     assert [(r["n_hit"], r["contaminated"]) for r in got] == [(0, False)] * 2
     assert D.contamination(docs_of([(1, "a")]).where("false"), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
+
+
+def test_clean_joins_only_what_may_be_contaminated(docs_of, spark):
+    passage = " ".join(f"v{i}" for i in range(12))
+    rows = [(i, f"{passage} d{i}" if i % 10 == 0 else f"some clean text of number {i}") for i in range(400)] + [(None, passage), (None, None), (7, passage), (3, "some clean text of number 3")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = D.clean(docs_of(rows), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [r for r in rows if not (r[1] or "").startswith(passage)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(want, key=key)
+    # the hash of few clean texts passes for a contaminated one; all others need no join
+    assert "Union" in plan.toString()
+    hashed = docs_of(rows).selectExpr("xxhash64(text) as h", "text")
+    may, clear = bitfilter.parted(hashed, "h", hashed.where(f"text like '{passage}%'").select("h"))
+    assert 42 <= may.count() < 60 and may.count() + clear.count() == len(rows)
+    assert clear.where(f"text like '{passage}%'").isEmpty()

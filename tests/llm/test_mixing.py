@@ -72,3 +72,23 @@ def test_empty_and_wordless(docs_of):
     assert M.mix(docs_of([(1, "a", None, "s")]).where("false")).collect() == []
     got = M.mix(docs_of([(1, None, None, "s"), (2, " ", None, None)])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_mixed_takes_what_mix_says_and_leaves_texts_in_place(spark, docs):
+    more = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    taken = {}
+    for r in M.mix(more).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # far less than the copies of all documents
+        out = M.mixed(more)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: v for k, v in taken.items() if v}
+    assert "SortMergeJoin" not in plan.split("== Initial Plan ==")[0]
