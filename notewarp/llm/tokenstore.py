@@ -23,6 +23,8 @@ by_value(__name__)
 ROLL, LEAST, MEAN, MOST = 16, 128, 512, 4096
 #: Pieces of text whose ids a Python worker keeps, in each of two generations.
 PIECES = 200_000
+#: Pieces that are encoded as one text.
+JOINED = 1000
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
 #: Bytes that begin a piece: 1 for a space or line feed, 2 for a comma or full stop.
@@ -54,6 +56,13 @@ class Encoder:
         self.tok.encode_special_tokens = special_as_text
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(f"<u{array(self.code).itemsize}")
+        # a token of a byte-level BPE is written with one character a byte
+        size = {i: len(t) for t, i in self.tok.get_vocab(with_added_tokens=False).items()}
+        added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+        size |= {i: len(t.encode()) for i, t in added.items()}
+        self.bytes_of = np.zeros(max(size, default=0) + 1, np.int64)
+        self.bytes_of[list(size)] = list(size.values())
+        self.joins = not any(" " in t for t in added.values())
         self.forget()
 
     def forget(self) -> None:
@@ -63,6 +72,19 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, pieces: list[bytes]) -> list[bytes]:
+        return self.raw([x.decode() for x in pieces])
+
+    def joined(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of ``spaced`` pieces, which the pattern parts again when they follow each other in one text. The bytes of the tokens tell where a piece ends."""
+        whole = b"".join(self.raw([b"".join(pieces[i : i + JOINED]).decode() for i in range(0, len(pieces), JOINED)]))
+        upto, ends = np.cumsum(self.bytes_of[np.frombuffer(whole, self.kind)]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        at = np.searchsorted(upto, ends)
+        if len(pieces) and (not len(upto) or upto[-1] != ends[-1] or (upto[at] != ends).any()):
+            return self.apart(pieces)
+        cut = [0, *((at + 1) * self.kind.itemsize).tolist()]
+        return [whole[a:b] for a, b in zip(cut, cut[1:])]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and where those of each text begin."""
         starts, ends, doubtful = pieces_of(data, offsets)
@@ -74,12 +96,19 @@ class Encoder:
         new, old = self.new, self.old
         view = data.tobytes()
         keys = [view[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        missing = [x for x in keys if x not in new]
+        found = list(map(new.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
         if old:
-            new.update([(x, old[x]) for x in missing if x in old])
-            missing = [x for x in missing if x not in new]
-        new.update(zip(missing, self.raw([x.decode() for x in missing])))
-        found = list(map(new.__getitem__, keys))
+            for i in missing:
+                if (x := old.get(keys[i])) is not None:
+                    found[i] = new[keys[i]] = x
+            missing = [i for i in missing if found[i] is None]
+        missing = np.array(missing, np.int64)
+        alike = self.joins & spaced(data, starts[at[missing]], ends[at[missing]])
+        for some, ids_of in ((missing[alike], self.joined), (missing[~alike], self.apart)):
+            some = some.tolist()
+            for i, x in zip(some, ids_of([keys[i] for i in some])):
+                found[i] = new[keys[i]] = x
         whole = np.flatnonzero(doubtful).tolist()
         found += self.raw([view[offsets[i] : offsets[i + 1]].decode() for i in whole]) if whole else []
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
@@ -127,6 +156,13 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[keep], ends[keep], doubtful & (np.diff(offsets) > 0)
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a piece begins with a space and ends, behind it, with an ASCII character that is not white space or a letter of U+00C0 to U+00FF."""
+    last = data[ends - 1]
+    solid = np.where(last < 128, ~BLANK[last], (data[ends - 2] == 0xC3) & (ends - starts > 2))
+    return (data[starts] == 32) & (ends - starts > 1) & solid
+
+
 def cut_places(ids: np.ndarray) -> np.ndarray:
     """Where a rolling hash over the last ROLL ids hits; the place is that behind them."""
     n = len(ids)

@@ -32,6 +32,23 @@ def test_pieces_give_the_ids_of_whole_texts(tok):
     assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_encoded_together(tok, monkeypatch):
+    texts = [" ".join("".join(rng.choices(["ab", "re", "é", "中", "1", "-", "'s", "\t", "\u3000", "\xa0", "!", "🙂"], k=rng.randint(1, 6))) for _ in range(40)) for _ in range(300)]
+    encoder, asked = S.Encoder(PATH), []
+    monkeypatch.setattr(encoder, "raw", lambda x, raw=encoder.raw: (asked.append(len(x)), raw(x))[1])
+    for a, b, data, offsets in slices(pa.array(texts, pa.string())):
+        ids, first = encoder.encode(data, offsets)
+        assert [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:])] == [e.ids for e in tok.encode_batch(texts[a:b], add_special_tokens=False)]
+    words = {f" w{i}x": tok.encode(f" w{i}x", add_special_tokens=False).ids for i in range(2500)}
+    asked.clear()
+    ids, _ = encoder.encode(np.frombuffer("".join(words).encode()[1:], np.uint8), np.array([0, len("".join(words)) - 1]))
+    assert ids.tolist()[-len(words[" w2499x"]) :] == words[" w2499x"] and sum(asked) < 10
+    assert all(np.frombuffer(encoder.new[w.encode()], encoder.kind).tolist() == i for w, i in list(words.items())[1:])
+    # where the tokens' bytes do not part at the pieces, each is encoded alone
+    encoder.bytes_of += 1
+    assert encoder.joined([b" one", b" two"]) == encoder.apart([b" one", b" two"])
+
+
 def test_round_trip(docs_of, tok):
     base = " ".join(rng.choices(["foo", "bar,", "Übung", "qux."], k=3000))
     rows = [(5, "hello there"), (3, None), (None, "no id"), (9, base), (2, base + " more"), (9, base), (7, ""), (1, "x" * 20000)]
