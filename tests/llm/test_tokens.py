@@ -49,6 +49,24 @@ def test_words_are_encoded_together(tok, monkeypatch):
     assert encoder.joined([b" one", b" two"]) == encoder.apart([b" one", b" two"])
 
 
+def test_hashes_of_pieces_take_little_memory():
+    import tracemalloc
+
+    data = np.frombuffer((" one two three four" * 250_000).encode()[: S.SLICE], np.uint8)
+    starts = np.flatnonzero(data == 32)
+    ends = np.append(starts[1:], len(data))
+    S.process_store().pop("powers", None)
+    tracemalloc.start()
+    got = S.piece_hashes(data, starts, ends)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * len(data)
+    assert (got == S.spans(data, starts, ends, S.BASE_BYTE)).all() and len(set(got[:-1].tolist())) == 4
+    long = np.frombuffer(b" a " + b"x" * (3 * S.BLOCK) + b" b", np.uint8)
+    starts = np.flatnonzero(long == 32)
+    assert (S.piece_hashes(long, starts, np.append(starts[1:], len(long))) == S.spans(long, starts, np.append(starts[1:], len(long)), S.BASE_BYTE)).all()
+
+
 def test_round_trip(docs_of, tok):
     base = " ".join(rng.choices(["foo", "bar,", "Übung", "qux."], k=3000))
     rows = [(5, "hello there"), (3, None), (None, "no id"), (9, base), (2, base + " more"), (9, base), (7, ""), (1, "x" * 20000)]
