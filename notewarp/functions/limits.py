@@ -9,6 +9,32 @@ from ..settings import Settings
 
 #: Parts of header names that tell about rate limits.
 HEADER_TAGS = ("retry-after", "ratelimit", "rate-limit", "x-goog-", "x-ratelimit")
+#: Ranges of keys that rows are dealt into to be numbered: hardly more than twice as many.
+RANGES = 1024
+
+
+def placed(rows: DataFrame, by: str, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``place``: how many rows with the same ``by`` come before by ``key``, nulls last, and then ``ties``.
+
+    Rows are dealt by ``by`` and ranges of ``key``, numbered in each range, and the counts of the ranges before are added, so
+    that no task gets all rows of one ``by`` unless they share one key. The ranges end at keys that a hash chooses: they are the
+    same each time they are found, and where they end decides who does the work, not what comes out.
+    """
+    step = F.greatest(F.lit(1), F.floor(rows.agg(F.count(F.lit(1))).scalar() / RANGES).cast("long"))
+    ends = rows.where(F.pmod(F.xxhash64(key), step) == 0).agg(F.sort_array(F.collect_set(key))).scalar()
+    # how many ends the key has reached, to an octal digit at a time
+    rows = rows.withColumns({"_ends": ends, "_range": F.lit(0)})
+    for h in (512, 64, 8, 1):
+        digit = [f"if(get(_ends, _range + {k * h - 1}) <= `{key}`, {h}, 0)" for k in range(1, 8)]
+        rows = rows.withColumn("_range", F.expr(" + ".join(["_range", *digit])))
+    rows = rows.withColumn("_range", F.when(F.col(key).isNull(), 4096).otherwise(F.col("_range"))).drop("_ends")
+    up = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_by", "_of", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(by, "_range").orderBy(F.col(key).asc_nulls_last(), *ties)
+    rows = rows.withColumn("place", F.row_number().over(inside) - 1)
+    rows = rows.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return rows.withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_by", "_of", "_before")
 
 
 def pace(calls: DataFrame, rpm: float, last: float = 0.0, by: tuple[str, ...] = (), order: tuple[str, ...] = ("arrival",)) -> DataFrame:

@@ -90,11 +90,9 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batches of 100 that the chunks of each type are embedded in."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("file_type").orderBy("chunk_id")) - 1
-    rows = t.chunks(spark, sf_dir).withColumn("batch", F.floor(at / 100).cast("long"))
-    return rows.groupBy("file_type", "batch").agg(F.count(F.lit(1)).alias("n"), L.token_estimate(F.sum(F.length("text"))).alias("est_tokens"))
+    rows = t.chunks(spark, sf_dir).select("file_type", "chunk_id", F.length("text").alias("n_chars"))
+    rows = L.placed(rows, "file_type", "chunk_id", ties=("n_chars",)).withColumn("batch", F.floor(F.col("place") / 100).cast("long"))
+    return rows.groupBy("file_type", "batch").agg(F.count(F.lit(1)).alias("n"), L.token_estimate(F.sum("n_chars")).alias("est_tokens"))
 
 
 QUERIES = {

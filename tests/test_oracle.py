@@ -47,3 +47,41 @@ def test_plans_push_down_and_use_a_top_k(spark, sf_dir, capsys):
     plans.QUERIES["semantic_topk"](spark, sf_dir).explain("formatted")
     text = capsys.readouterr().out
     assert "TakeOrderedAndProject" in text and "SortMergeJoin" not in text
+
+
+def most_read(spark, job):
+    """The rows and bytes of shuffles that the busiest task of ``job`` reads."""
+    sc = spark.sparkContext._jsc.sc()
+    tracker, group = spark.sparkContext.statusTracker(), f"most-read-{os.urandom(4).hex()}"
+    spark.sparkContext.setJobGroup(group, group)
+    job()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sc.listenerBus().waitUntilEmpty()
+    rows = size = 0
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = sc.statusStore().taskList(stage, 0, 10_000)
+        for read in (tasks.apply(i).taskMetrics().get().shuffleReadMetrics() for i in range(tasks.size())):
+            rows, size = max(rows, read.recordsRead()), max(size, read.localBytesRead() + read.remoteBytesRead())
+    return rows, size
+
+
+def test_batches_of_one_type_are_dealt_over_tasks(spark, tmp_path):
+    """Rows without type, key or text among them; keys without value come last, as in the SQL."""
+    n = 6000
+    docs = duckdb.sql(f"""SELECT i AS doc_id, repeat(md5(i::VARCHAR), 1 + i % 7) AS text, CASE WHEN i % 50 = 0 THEN NULL WHEN i % 40 = 0 THEN 'de' ELSE 'en' END AS lang,
+        CASE WHEN i % 30 <> 0 THEN 's' || i % 3 END AS source FROM range({n}) t(i)""")
+    docs = duckdb.sql("SELECT *, length(text) AS n_chars FROM (SELECT * REPLACE (CASE WHEN source IS NULL THEN 'x' WHEN doc_id % 11 <> 0 THEN text END AS text) FROM docs)")
+    docs.write_parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(f"SELECT file_type, batch, n, est_tokens FROM ({plans.SQL['embed_batches']})").fetchall()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = plans.QUERIES["embed_batches"](spark, str(tmp_path)).select("file_type", "batch", "n", "est_tokens")
+        out = []
+        rows, size = most_read(spark, lambda: out.extend(got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n"] for r in out) == n
+    assert norm([tuple(r) for r in out]) == norm(want)
+    assert rows < n / 2 and size < 100_000
